@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.llm import quality_rules, sharding, url_filters
+from corpusgraph.llm import decontamination, packing, quality_rules, sharding, simhash, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,8 +29,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The production vocabulary; a file of the installed package of public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op8_simhash_near_dedup, op9_benchmark_decontamination)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op5_url_filters, op6_sharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 _OP4 = r"""

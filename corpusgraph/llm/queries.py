@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontamination, packing, quality_rules, sharding, simhash, url_filters
+from corpusgraph.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"))
+
+
 def tokenizer_path() -> str:
     """The production vocabulary; a file of the installed package of public vocabularies."""
     import public_tokenizers
@@ -48,13 +54,29 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op8_simhash_near_dedup, op9_benchmark_decontamination)
+QUERIES = (op2_line_dedup, op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op8_simhash_near_dedup, op9_benchmark_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+_OP2 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, lines, len(list_filter(string_split_regex(lines[i + 1], '[\x20\x09-\x0D]+'), lambda v: v <> '')) AS w FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM d)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l),
+b AS (SELECT *, after - w AS before FROM c),
+x AS (SELECT *, max(i) OVER e AS e_i, max(after) OVER e AS e_after, min(i) OVER s AS s_i, min(before) OVER s AS s_before FROM b
+      WINDOW e AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), s AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+r AS (SELECT DISTINCT doc_id, p, q, array_to_string(lines[p + 1:q + 1], chr(10)) AS run FROM (
+      SELECT doc_id, lines, i AS p, e_i AS q FROM x WHERE e_after - before >= 50 UNION ALL SELECT doc_id, lines, s_i, i FROM x WHERE after - s_before >= 50)),
+k AS (SELECT doc_id, p, q, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM r),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(p, q + 1)))) AS gone FROM k WHERE nth > 1 GROUP BY doc_id)
+SELECT o.doc_id, CASE WHEN gone IS NULL THEN o.text ELSE coalesce(array_to_string(list_filter(d.lines, lambda v, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text,
+    coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted
+FROM documents o LEFT JOIN d USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
 _OP4 = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT rid, doc_id, x, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS words,
@@ -87,4 +109,4 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _OP4, "op5_url_filters": _OP5}
+    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash, url_filters
+from corpusgraph.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = (op2_line_dedup, op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op8_simhash_near_dedup, op9_benchmark_decontamination)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = (op2_line_dedup, op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -108,5 +112,13 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 """.replace("@LABELS@", ", ".join(f"'{x}'" for x in url_filters.LISTED_LABELS))
 
 
+_OP10 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5}
+    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5, "op10_warc": _OP10}

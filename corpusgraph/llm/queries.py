@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash, url_filters, warc
+from corpusgraph.llm import decontamination, html_extraction, line_dedup, packing, quality_rules, sharding, simhash, toxicity, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"))
@@ -46,6 +50,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +67,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = (op2_line_dedup, op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_warc)
+QUERIES = (
+    op1_html_extraction, op2_line_dedup, op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op7_toxicity,
+    op8_simhash_near_dedup, op9_benchmark_decontamination, op10_warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

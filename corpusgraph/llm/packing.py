@@ -237,7 +237,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame
     sequence.  Ties on (doc_id, start) of repeated rows are ranked in an unspecified order.
     """
     spark, capacity = pieces.sparkSession, length // unit
-    pieces = pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("long"))
+    # written first: range partitioning reads its input twice, and the pieces' ids are costly
+    pieces = materialize(pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("long")), "pieces")
     ranked, _ = global_positions(pieces, ["_class", "doc_id", "start"], F.lit(1), "_at", "pack")
     counts = {r["_class"]: r["n"] for r in ranked.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     first, total = {}, 0

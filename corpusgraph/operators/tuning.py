@@ -48,7 +48,8 @@ def objective(nodes: DataFrame, edges: DataFrame, key: str, threshold: float, ta
 
 
 def tune_threshold_multi(nodes: DataFrame, edges: DataFrame, key: str, low: float = -1.0, high: float = 2.0, evaluations: int = 25) -> tuple[float, float]:
-    """Threshold of the least objective: an even search, halved twice around the best point."""
+    """Threshold of the least objective within ``low`` and ``high``: an even search, narrowed twice
+    around the best point."""
     tried: dict[float, float] = {}
 
     def visit(points: Iterable[float]) -> None:
@@ -59,7 +60,7 @@ def tune_threshold_multi(nodes: DataFrame, edges: DataFrame, key: str, low: floa
     per, span = max(3, evaluations // 3), high - low
     centre = (low + high) / 2
     for _ in range(3):
-        visit(round(centre - span / 2 + i * span / (per - 1), 6) for i in range(per))
+        visit(min(high, max(low, round(centre - span / 2 + i * span / (per - 1), 6))) for i in range(per))
         centre = min(tried, key=lambda t: (tried[t], t))
         span /= 4
     best = min(tried, key=lambda t: (tried[t], t))

@@ -22,7 +22,7 @@ RULES: dict[str, tuple[int, str]] = {
     "few_words": (0, "n_words < 20"),
     "repeated_words": (1, "100 * n_repeat_words > 30 * n_words"),
     "symbols": (2, "10 * n_symbols > n_words"),
-    "duplicate_lines": (3, "10 * n_dup_lines > 3 * n_lines"),
+    "duplicate_lines": (3, "2 * n_dup_lines > n_lines"),
     "long_or_short_words": (4, "word_chars > 20 * n_words or word_chars < 2 * n_words"),
     "exclamations": (5, "2 * n_bangs > n_words"),
 }
@@ -86,7 +86,7 @@ def _repeated_words(words: Column, n: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
-    """Add the measurements of the rules to ``docs``, under one struct column ``_m``.
+    """Add the measurements of the rules to ``docs``, under one struct column ``__quality``.
 
     Null and empty texts measure zero everywhere.  Columns of ``docs`` keep their names and
     values, whatever they are called.
@@ -104,7 +104,7 @@ def measure(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
             _count_chars(t, "!").alias("n_bangs"),
         )
 
-    return docs.withColumn("_m", let(_split_words(t), build))
+    return docs.withColumn("__quality", let(_split_words(t), build))
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -115,9 +115,9 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple
     m = measure(docs.select(key, text, *keep), text)
     flat = m.select(
         key, *keep,
-        F.col("_m.n_words").alias("n_words"), F.col("_m.word_chars").alias("word_chars"), F.col("_m.n_symbols").alias("n_symbols"),
-        F.col("_m.lines.n").alias("n_lines"), F.col("_m.lines.dup").alias("n_dup_lines"),
-        F.col("_m.n_repeat_words").alias("n_repeat_words"), F.col("_m.n_bangs").alias("n_bangs"),
+        F.col("__quality.n_words").alias("n_words"), F.col("__quality.word_chars").alias("word_chars"), F.col("__quality.n_symbols").alias("n_symbols"),
+        F.col("__quality.lines.n").alias("n_lines"), F.col("__quality.lines.dup").alias("n_dup_lines"),
+        F.col("__quality.n_repeat_words").alias("n_repeat_words"), F.col("__quality.n_bangs").alias("n_bangs"),
     )
     bits = F.lit(0)
     for bit, condition in RULES.values():
@@ -154,8 +154,8 @@ def apply_policy(docs: DataFrame, policy: str = "v1", text: str = "text") -> Dat
     """The rows of ``docs`` that ``policy`` keeps, with their own columns."""
     m = measure(docs, text)
     bits = F.lit(False)
-    fields = {"n_words": "_m.n_words", "word_chars": "_m.word_chars", "n_symbols": "_m.n_symbols", "n_lines": "_m.lines.n", "n_dup_lines": "_m.lines.dup", "n_repeat_words": "_m.n_repeat_words", "n_bangs": "_m.n_bangs"}
+    fields = {"n_words": "__quality.n_words", "word_chars": "__quality.word_chars", "n_symbols": "__quality.n_symbols", "n_lines": "__quality.lines.n", "n_dup_lines": "__quality.lines.dup", "n_repeat_words": "__quality.n_repeat_words", "n_bangs": "__quality.n_bangs"}
     for rule in POLICIES[policy]:
         condition = " ".join(fields.get(w, w) for w in RULES[rule][1].split(" "))
         bits = bits | F.expr(condition)
-    return m.where(~bits).drop("_m")
+    return m.where(~bits).drop("__quality")

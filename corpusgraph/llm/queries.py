@@ -105,7 +105,7 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(x, '
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
         length(regexp_replace(x, '[^!]', '', 'g'))::BIGINT AS n_bangs FROM w LEFT JOIN r USING (rid)),
 b AS (SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-        + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::BIGINT
+        + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars > 20 * n_words OR word_chars < 2 * n_words)::BIGINT
         + 32 * (2 * n_bangs > n_words)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """

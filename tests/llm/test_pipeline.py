@@ -15,7 +15,7 @@ def test_pipeline_matches_brute_force(spark, sf):
     def good(t):
         n, chars, symbols, dup, rep = measured(t)
         lines = sum(1 for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r"))
-        return n >= 20 and 100 * rep <= 30 * n and 10 * symbols <= n and 10 * dup <= 3 * lines and 2 * n <= chars <= 20 * n and 2 * t.count("!") <= n
+        return n >= 20 and 100 * rep <= 30 * n and 10 * symbols <= n and 2 * dup <= lines and 2 * n <= chars <= 20 * n and 2 * t.count("!") <= n
 
     kept = sorted((i, t) for i, t in docs.items() if good(t))
     kept = list(zip([i for i, _ in kept], deduped(kept, 50), strict=True))

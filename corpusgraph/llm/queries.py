@@ -124,6 +124,19 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 """.replace("@LABELS@", ", ".join(f"'{x}'" for x in url_filters.LISTED_LABELS))
 
 
+_OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item, n, array_to_string(w[p:p + 9], ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, greatest(2, len(w) - 8))) AS p FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT n FROM v),
+g AS (SELECT rid, p, n.n, array_to_string(w[p:p + n.n - 1], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d), n WHERE p + n.n - 1 <= len(w)),
+h AS (SELECT rid, p, n, item FROM g JOIN v USING (n, g)),
+x AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM h) GROUP BY rid),
+y AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (rid) LEFT JOIN y USING (rid)
+"""
+
 _OP10 = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
@@ -133,4 +146,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5, "op10_warc": _OP10}
+    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10}

@@ -7,7 +7,7 @@ text) are written, and how the prompt ends.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,6 @@ class Template:
     sep: str = "\n"
     sep2: str | None = None
     stop_str: str | None = None
-    messages: tuple[tuple[str, str], ...] = field(default=())
 
 
 @dataclass(frozen=True)
@@ -111,8 +110,132 @@ STYLES: dict[str, Style] = {
     "DEFAULT": Style(lambda t, s: F.concat(s, F.lit("\n")), lambda t, m: [m.role, ": ", m.text, "\n"], lambda t, m: [m.role, ":"]),
 }
 
-_VICUNA = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."
-#: Public chat formats, one or more for each style.
+_HUMAN = "A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions."
+_USER = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."
+_TASK = "Below is an instruction that describes a task. Write a response that appropriately completes the request."
+_IM, _IM_ROLES = "<|im_start|>system\n{system_message}", ("<|im_start|>user", "<|im_start|>assistant")
+_SYS, _INST = "[INST] <<SYS>>\n{system_message}\n<</SYS>>\n\n", ("[INST]", "[/INST]")
+_PIPES = ("<|user|>", "<|assistant|>")
+_LOWER, _TITLE, _TASK_ROLES = ("user", "assistant"), ("Human", "Assistant"), ("### Instruction", "### Response")
+
+# Public chat formats by style, as (name, roles, sep, sep2, system message, system
+# template).  Vendors' long system texts are left to the conversations' own system turns.
+_FORMATS: dict[str, list[tuple]] = {
+    "CHATML": [
+        ("chatml", _IM_ROLES, "<|im_end|>", None, "", _IM),
+        ("mpt-7b-chat", _IM_ROLES, "<|im_end|>", None, "", _IM),
+        ("mpt-30b-chat", _IM_ROLES, "<|im_end|>", None, "A conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers.", _IM),
+        ("lemur-70b-chat", _IM_ROLES, "<|im_end|>", None, "You are a helpful, respectful, and honest assistant.", _IM),
+        ("starchat", _PIPES, "<|end|>", None, "", "<system>\n{system_message}"),
+        ("mistral-7b-openorca", _IM_ROLES, "<|im_end|>", None, "You are MistralOrca, a large language model trained by Alignment Lab AI. Write out your reasoning step-by-step to be sure you get the right answers!", _IM),
+        ("dolphin-2.2.1-mistral-7b", _IM_ROLES, "<|im_end|>", None, "You are Dolphin, a helpful AI assistant.", _IM),
+        ("OpenHermes-2.5-Mistral-7B", _IM_ROLES, "<|im_end|>", None, "", _IM),
+        ("Nous-Hermes-2-Mixtral-8x7B-DPO", _IM_ROLES, "<|im_end|>", None, "", _IM),
+        ("qwen-7b-chat", _IM_ROLES, "<|im_end|>", None, "You are a helpful assistant.", _IM),
+        ("Yi-34b-chat", _IM_ROLES, "<|im_end|>"),
+        ("zephyr", _PIPES, "</s>", None, "", "<|system|>\n{system_message}"),
+        ("catppt", _PIPES, "</s>", None, "", "<|system|>\n{system_message}"),
+        ("TinyLlama", _PIPES, "</s>", None, "", "<|system|>\n{system_message}"),
+        ("orca-2", _IM_ROLES, "<|im_end|>", None, "", _IM),
+        ("llava-chatml", _IM_ROLES, "<|im_end|>", None, "Answer the questions.", _IM),
+    ],
+    "NO_COLON_SINGLE": [
+        ("raw", ("", ""), ""),
+        ("codegeex", ("", ""), "\n\n"),
+        ("oasst_pythia", ("<|prompter|>", "<|assistant|>"), "<|endoftext|>"),
+        ("oasst_llama", ("<|prompter|>", "<|assistant|>"), "</s>"),
+        ("stablelm", ("<|USER|>", "<|ASSISTANT|>"), "", None, "", "<|SYSTEM|>{system_message}"),
+        ("baize", ("[|Human|]", "[|AI|]"), "\n"),
+        ("h2ogpt", ("<|prompt|>", "<|answer|>"), "</s>"),
+        ("baichuan-chat", ("<reserved_102>", "<reserved_103>"), ""),
+        ("baichuan2-chat", ("<reserved_106>", "<reserved_107>"), ""),
+        ("metharme", ("<|user|>", "<|model|>"), "", None, "", "<|system|>{system_message}"),
+        ("xdan-v1", ("### Human", "### Assistant"), "\n", None, "You are a helpful  and harmless assistant named xDAN and created by xDAN-AI.Please response and work on questions thinking step by step."),
+        ("yuan", ("", ""), "<sep>", None, "", ""),
+    ],
+    "DEFAULT": [
+        ("api_based_default", _LOWER, ""),
+        ("chatgpt", _LOWER, "", None, "You are a helpful assistant."),
+        ("gpt-4-turbo-2024-04-09", _LOWER, ""),
+        ("pplxai", _LOWER, "", None, "Be precise and concise."),
+        ("claude-3-haiku-20240307", _LOWER, ""),
+        ("claude-3-sonnet-20240229", _LOWER, ""),
+        ("claude-3-5-sonnet-20240620", _LOWER, ""),
+        ("claude-3-opus-20240229", _LOWER, ""),
+        ("bard", ("0", "1"), ""),
+        ("gemini", ("user", "model"), ""),
+        ("gemini-1.5-pro", ("user", "model"), ""),
+        ("steerlm", _LOWER, ""),
+    ],
+    "ADD_COLON_SINGLE": [
+        ("one_shot", _TITLE, "\n### ", None, _HUMAN),
+        ("zero_shot", _TITLE, "\n### ", None, _HUMAN),
+        ("openbuddy", ("User", "Assistant"), "\n"),
+        ("claude", _TITLE, "\n\n"),
+        ("redpajama-incite", ("<human>", "<bot>"), "\n"),
+        ("snoozy", ("### Prompt", "### Response"), "\n", None, "The prompt below is a question to answer, a task to complete, or a conversation to respond to; decide which and write an appropriate response.", "### Instruction:\n{system_message}"),
+        ("polyglot_changgpt", ("B", "A"), "\n"),
+        ("xgen", ("### Human", "### Assistant"), "\n", None, _HUMAN + "\n\n"),
+        ("aquila-chat", _TITLE, "###", "", _HUMAN),
+        ("phind", ("### User Message", "### Assistant"), "\n\n", None, "### System Prompt\nYou are an intelligent programming assistant."),
+    ],
+    "ADD_COLON_TWO": [
+        ("vicuna_v1.1", ("USER", "ASSISTANT"), " ", "</s>", _USER),
+        ("airoboros_v1", ("USER", "ASSISTANT"), " ", "</s>"),
+        ("airoboros_v2", ("USER", "ASSISTANT"), "\n", "</s>", "A chat."),
+        ("koala_v1", ("USER", "GPT"), " ", "</s>", "BEGINNING OF CONVERSATION:"),
+        ("alpaca", _TASK_ROLES, "\n\n", "</s>", _TASK),
+        ("manticore", ("USER", "ASSISTANT"), "\n", "</s>"),
+        ("aquila", _TITLE, "###", "</s>", _HUMAN),
+        ("llama2-chinese", _TITLE, "\n", "\n</s><s>", "", "<s>{system_message}</s>"),
+        ("vigogne_chat_v2", _PIPES, "\n", "</s>\n", "", "<|system|>: {system_message}"),
+        ("stable-vicuna", ("### Human", "### Assistant"), "\n", "\n\n", "### Assistant: I am StableVicuna, a large language model created by CarperAI. I am here to chat!\n"),
+    ],
+    "LLAMA2": [
+        ("airoboros_v3", _INST, " ", " </s><s>", "You are a helpful, unbiased, uncensored assistant.", _SYS),
+        ("mistral", _INST, " ", "</s>", "", "[INST] {system_message}\n"),
+        ("llama-2", _INST, " ", " </s><s>", "", _SYS),
+        ("chinese-alpaca2", _INST, " ", " </s><s>", "You are a helpful assistant. 你是一个乐于助人的助手。请你提供专业、有逻辑、内容真实、有价值的详细回复。", _SYS),
+        ("vigogne_chat_v3", _INST, " ", " </s>", "", _SYS),
+    ],
+    "ADD_NEW_LINE_SINGLE": [
+        ("deepseek-coder", ("### Instruction:", "### Response:"), "\n"),
+        ("tulu", _PIPES, "\n"),
+        ("mpt-30b-instruct", _TASK_ROLES, "\n\n", None, _TASK),
+        ("solar", ("### User", "### Assistant"), "\n\n"),
+    ],
+    "FALCON_CHAT": [
+        ("openchat_3.5", ("GPT4 Correct User", "GPT4 Correct Assistant"), "<|end_of_turn|>"),
+        ("tenyxchat", ("User", "Assistant"), "<|end_of_turn|>"),
+        ("falcon-chat", ("User", "Falcon"), "\n", "<|endoftext|>", "", "System: {system_message}"),
+    ],
+    "NO_COLON_TWO": [
+        ("cutegpt", ("问：", "答：\n"), "\n", "\n"),
+        ("aquila-legacy", ("### Human: ", "### Assistant: "), "\n", "</s>", _HUMAN + "\n\n"),
+        ("aquila-v1", ("<|startofpiece|>", "<|endofpiece|>"), "", "</s>"),
+    ],
+    "CHATGLM": [("chatglm", ("问", "答"), "\n"), ("chatglm2", ("问", "答"), "\n\n")],
+    "DOLLY": [("dolly_v2", _TASK_ROLES, "\n\n", "### End", _TASK + "\n\n"), ("vigogne_instruct", _TASK_ROLES, "\n\n", "</s>", "", "### System:\n{system_message}\n\n")],
+    "RWKV": [("rwkv", ("Bob", "Alice"), ""), ("falcon", ("User", "Assistant"), "\n", "<|endoftext|>")],
+    "PHOENIX": [("phoenix", _TITLE, "</s>", None, _HUMAN + "\n\n"), ("ReaLM-7b-v1", _TITLE, "</s>", None, _HUMAN + "\n\n")],
+    "ADD_COLON_SPACE_SINGLE": [("billa", _TITLE, "\n"), ("open-orca", ("User", "Assistant"), "<|end_of_turn|>\n")],
+    "ROBIN": [("Robin", ("###Human", "###Assistant"), "\n", None, _HUMAN), ("tigerbot", _TASK_ROLES, "\n\n", None, _USER)],
+    "CHATGLM3": [("chatglm3", _PIPES, "", None, "", "<|system|>\n{system_message}")],
+    "METAMATH": [("metamath", _TASK_ROLES, "\n\n", "Let's think step by step.", _TASK)],
+    "CHATINTERN": [("internlm-chat", ("<|User|>", "<|Bot|>"), "<eoh>", "<eoa>", "A chat between a curious <|User|> and an <|Bot|>. The <|Bot|> gives helpful, detailed, and polite answers to the <|User|>'s questions.\n\n")],
+    "LLAMA3": [("llama-3", _LOWER, "", None, "", "<|start_header_id|>system<|end_header_id|>\n\n{system_message}<|eot_id|>")],
+    "DEEPSEEK_CHAT": [("deepseek-chat", ("User", "Assistant"), "\n\n", "<｜end▁of▁sentence｜>", "<｜begin▁of▁sentence｜>")],
+    "YUAN2": [("yuan2", _LOWER, "<sep>", "\n")],
+    "CLLM": [("cllm", ("USER", "ASSISTANT"), " ", "</s>", _USER)],
+    "GEMMA": [("gemma", ("user", "model"), "<end_of_turn>\n")],
+}
+# Where generation stops, for the formats that name a stop text.
+_STOPS = {
+    "one_shot": "###", "zero_shot": "###", "deepseek-coder": "<|EOT|>", "baize": "[|Human|]", "rwkv": "\n\n", "billa": "Human:", "redpajama-incite": "<human>", "Robin": "###", "snoozy": "###",
+    "falcon": "\nUser", "tigerbot": "###", "internlm-chat": "<|User|>", "starchat": "<|end|>", "llama-3": "<|eot_id|>", "cutegpt": "<end>", "open-orca": "User", "qwen-7b-chat": "<|endoftext|>",
+    "Yi-34b-chat": "<|endoftext|>", "llama2-chinese": "</s>", "vigogne_chat_v2": "<|user|>", "falcon-chat": "\nUser:", "metharme": "<|user|>", "xdan-v1": "</s>", "zephyr": "</s>", "catppt": "</s>",
+    "TinyLlama": "</s>", "orca-2": "<|im_end|>", "deepseek-chat": "<｜end▁of▁sentence｜>", "yuan2": "<eod>", "solar": "</s>", "yuan": "<eod>", "llava-chatml": "<|im_end|>", "gemma": "<end_of_turn>",
+}
 TEMPLATES: dict[str, Template] = {}
 
 
@@ -125,35 +248,10 @@ def register(template: Template, override: bool = False) -> None:
     TEMPLATES[template.name] = template
 
 
-for _t in (
-    Template("raw", "NO_COLON_SINGLE", ("", ""), sep=""),
-    Template("zero_shot", "ADD_COLON_SINGLE", ("Human", "Assistant"), system_message="A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions.", sep="\n### ", stop_str="###"),
-    Template("vicuna_v1.1", "ADD_COLON_TWO", ("USER", "ASSISTANT"), system_message=_VICUNA, sep=" ", sep2="</s>"),
-    Template("api_based_default", "DEFAULT", ("user", "assistant"), sep=""),
-    Template("open-orca", "ADD_COLON_SPACE_SINGLE", ("User", "Assistant"), system_message="You are a helpful assistant. Please answer truthfully and write out your thinking step by step to be sure you get the right answer. If you make a mistake or encounter an error in your thinking, say so out loud and attempt to correct it. If you don't know or aren't sure about something, say so clearly. You will act as a professional logician, mathematician, and physicist. You will also act as the most appropriate type of expert to answer any particular question or solve the relevant problem; state which expert type your are, if so. Also think of any particular named expert that would be ideal to answer the relevant question or solve the relevant problem; name and act as them, if appropriate.", sep="<|end_of_turn|>\n"),
-    Template("tulu", "ADD_NEW_LINE_SINGLE", ("<|user|>", "<|assistant|>"), sep="\n"),
-    Template("oasst_pythia", "NO_COLON_SINGLE", ("<|prompter|>", "<|assistant|>"), sep="<|endoftext|>"),
-    Template("cutegpt", "NO_COLON_TWO", ("问：", "答：\n"), sep="\n", sep2="\n", stop_str="<end>"),
-    Template("falcon", "RWKV", ("User", "Assistant"), sep="\n", sep2="<|endoftext|>", stop_str="\nUser"),
-    Template("mistral", "LLAMA2", ("[INST]", "[/INST]"), system_template="[INST] {system_message}\n", sep=" ", sep2="</s>"),
-    Template("llama-2", "LLAMA2", ("[INST]", "[/INST]"), system_template="[INST] <<SYS>>\n{system_message}\n<</SYS>>\n\n", sep=" ", sep2=" </s><s>"),
-    Template("llama-3", "LLAMA3", ("user", "assistant"), system_template="<|start_header_id|>system<|end_header_id|>\n\n{system_message}<|eot_id|>", sep="", stop_str="<|eot_id|>"),
-    Template("chatglm", "CHATGLM", ("问", "答"), sep="\n"),
-    Template("chatglm2", "CHATGLM", ("问", "答"), sep="\n\n"),
-    Template("chatml", "CHATML", ("<|im_start|>user", "<|im_start|>assistant"), system_template="<|im_start|>system\n{system_message}", sep="<|im_end|>", stop_str="<|im_end|>"),
-    Template("chatglm3", "CHATGLM3", ("<|user|>", "<|assistant|>"), system_template="<|system|>\n{system_message}"),
-    Template("internlm-chat", "CHATINTERN", ("<|User|>", "<|Bot|>"), sep="<eoh>", sep2="<eoa>", stop_str="<|User|>"),
-    Template("dolly_v2", "DOLLY", ("### Instruction", "### Response"), system_message="Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n", sep="\n\n", sep2="### End"),
-    Template("phoenix", "PHOENIX", ("Human", "Assistant"), sep="</s>"),
-    Template("Robin", "ROBIN", ("###Human", "###Assistant"), system_message="A chat between a curious human and an artificial intelligence assistant.", sep="\n", stop_str="###"),
-    Template("falcon-chat", "FALCON_CHAT", ("User", "Falcon"), system_template="System: {system_message}", sep="\n", stop_str="\nUser:"),
-    Template("metamath", "METAMATH", ("### Instruction", "### Response"), sep="\n\n", sep2="Let's think step by step."),
-    Template("deepseek-chat", "DEEPSEEK_CHAT", ("User", "Assistant"), sep="\n\n", sep2="<｜end▁of▁sentence｜>", stop_str="<｜end▁of▁sentence｜>"),
-    Template("yuan2", "YUAN2", ("user", "assistant"), sep="<sep>", sep2="\n", stop_str="<eod>"),
-    Template("gemma", "GEMMA", ("user", "model"), sep="<end_of_turn>\n"),
-    Template("cllm", "CLLM", ("USER", "ASSISTANT"), system_message=_VICUNA, sep=" ", sep2="</s>"),
-):
-    register(_t)
+for _style, _rows in _FORMATS.items():
+    for _name, _roles, _sep, *_more in _rows:
+        _sep2, _message, _template = [*_more, *(None, "", "{system_message}")[len(_more) :]]
+        register(Template(_name, _style, _roles, _template, _message, _sep, _sep2, _STOPS.get(_name)))
 
 
 def get_template(name: str) -> Template:
@@ -176,8 +274,8 @@ def gather(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", r
     return g.select(key, system.alias("system"), F.filter("t", lambda m: ~m["role"].eqNullSafe(F.lit("system"))).alias("turns"))
 
 
-def render(conversations: DataFrame, template: Template | str, key: str = "conv_id") -> DataFrame:
-    """``(key, prompt)``: each conversation as its template writes it.
+def prompt_of(template: Template | str) -> Column:
+    """The prompt of a gathered conversation (columns ``system`` and ``turns``).
 
     A conversation's own system text takes the place of the template's; user turns get the first
     role label, all others the second.
@@ -196,8 +294,12 @@ def render(conversations: DataFrame, template: Template | str, key: str = "conv_
         return F.when(F.coalesce(m["text"], F.lit("")) == "", as_col(style.open(t, turn))).otherwise(as_col(style.said(t, turn)))
 
     turns = F.col("turns") if style.last is None else F.when(F.size("turns") > style.last, F.slice("turns", -style.last, style.last)).otherwise(F.col("turns"))
-    prompt = F.concat(style.head(t, system), F.array_join(F.transform(turns, piece), ""))
-    return gather(conversations, key).select(key, style.finish(t, prompt).alias("prompt"))
+    return style.finish(t, F.concat(style.head(t, system), F.array_join(F.transform(turns, piece), "")))
+
+
+def render(conversations: DataFrame, template: Template | str, key: str = "conv_id") -> DataFrame:
+    """``(key, prompt)``: each conversation as its template writes it."""
+    return gather(conversations, key).select(key, prompt_of(template).alias("prompt"))
 
 
 def openai_messages(conversations: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -30,13 +30,11 @@ def colon_render(spark, sf_dir):
 
 
 def all_style_renders(spark, sf_dir):
-    """Prompt lengths of every conversation in every style."""
-    c = materialize(read(spark, sf_dir, "conversations"), "conversations")
-    out = None
-    for name in chat.TEMPLATES:
-        one = chat.render(c, name).agg(F.lit(name).alias("template"), F.count("*").alias("n"), F.sum(F.length("prompt")).alias("chars"))
-        out = one if out is None else out.union(one)
-    return out
+    """Characters of all conversations' prompts in every style (its first template)."""
+    first = {t.style: t.name for t in reversed(chat.TEMPLATES.values())}
+    g = chat.gather(read(spark, sf_dir, "conversations"))
+    rows = [F.struct(F.lit(style).alias("style"), F.count("*").alias("n"), F.sum(F.length(chat.prompt_of(name))).alias("chars")) for style, name in sorted(first.items())]
+    return g.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("x")).select("x.*")
 
 
 def openai_messages(spark, sf_dir):

@@ -7,7 +7,7 @@ never reads a text again.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +17,16 @@ from corpusgraph.functions.binding import let
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Rule name -> (bit, failure condition over the measurements).
-RULES: dict[str, tuple[int, str]] = {
-    "few_words": (0, "n_words < 20"),
-    "repeated_words": (1, "100 * n_repeat_words > 30 * n_words"),
-    "symbols": (2, "10 * n_symbols > n_words"),
-    "duplicate_lines": (3, "2 * n_dup_lines > n_lines"),
-    "long_or_short_words": (4, "word_chars > 20 * n_words or word_chars < 2 * n_words"),
-    "exclamations": (5, "2 * n_bangs > n_words"),
+#: Rule name -> (bit, failure condition over a getter of the measurements).
+RULES: dict[str, tuple[int, Callable[[Callable[[str], Column]], Column]]] = {
+    "few_words": (0, lambda m: m("n_words") < 20),
+    "repeated_words": (1, lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
+    "symbols": (2, lambda m: 10 * m("n_symbols") > m("n_words")),
+    "duplicate_lines": (3, lambda m: 2 * m("n_dup_lines") > m("n_lines")),
+    "long_or_short_words": (4, lambda m: (m("word_chars") > 20 * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
+    "exclamations": (5, lambda m: 2 * m("n_bangs") > m("n_words")),
 }
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_bangs")
 BASE = ("few_words", "repeated_words")
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -85,26 +86,23 @@ def _repeated_words(words: Column, n: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def measure(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
-    """Add the measurements of the rules to ``docs``, under one struct column ``__quality``.
-
-    Null and empty texts measure zero everywhere.  Columns of ``docs`` keep their names and
-    values, whatever they are called.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
+def measurements(text: Column, window: int = 8) -> Column:
+    """All MEASURES of a text as one struct; null and empty texts measure zero everywhere."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACE, "") != "")
 
-    def build(words: Column) -> Column:
+    def build(words: Column, line: Column) -> Column:
         return F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.translate(t, SPACE, "")).cast("long").alias("word_chars"),
             _count_chars(t, SYMBOLS).alias("n_symbols"),
-            let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
+            F.size(line).cast("long").alias("n_lines"),
+            (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
             _repeated_words(words, window).alias("n_repeat_words"),
             _count_chars(t, "!").alias("n_bangs"),
         )
 
-    return docs.withColumn("__quality", let(_split_words(t), build))
+    return let(_split_words(t), lambda words: let(lines, lambda line: build(words, line)))
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -112,16 +110,10 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple
 
     Repeated rows give repeated ledger rows; a null key stays null; an empty table gives none.
     """
-    m = measure(docs.select(key, text, *keep), text)
-    flat = m.select(
-        key, *keep,
-        F.col("__quality.n_words").alias("n_words"), F.col("__quality.word_chars").alias("word_chars"), F.col("__quality.n_symbols").alias("n_symbols"),
-        F.col("__quality.lines.n").alias("n_lines"), F.col("__quality.lines.dup").alias("n_dup_lines"),
-        F.col("__quality.n_repeat_words").alias("n_repeat_words"), F.col("__quality.n_bangs").alias("n_bangs"),
-    )
+    flat = docs.select(key, *keep, measurements(F.col(text)).alias("__quality")).select(key, *keep, *[F.col(f"__quality.{m}").alias(m) for m in MEASURES])
     bits = F.lit(0)
-    for bit, condition in RULES.values():
-        bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << bit)).otherwise(F.lit(0)))
+    for bit, fails in RULES.values():
+        bits = bits.bitwiseOR(F.when(fails(F.col), F.lit(1 << bit)).otherwise(F.lit(0)))
     return flat.withColumn("fail_bits", bits.cast("long"))
 
 
@@ -151,11 +143,15 @@ def ablations(led: DataFrame, policies: Mapping[str, tuple[str, ...]] = POLICIES
 
 
 def apply_policy(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``policy`` keeps, with their own columns."""
-    m = measure(docs, text)
-    bits = F.lit(False)
-    fields = {"n_words": "__quality.n_words", "word_chars": "__quality.word_chars", "n_symbols": "__quality.n_symbols", "n_lines": "__quality.lines.n", "n_dup_lines": "__quality.lines.dup", "n_repeat_words": "__quality.n_repeat_words", "n_bangs": "__quality.n_bangs"}
-    for rule in POLICIES[policy]:
-        condition = " ".join(fields.get(w, w) for w in RULES[rule][1].split(" "))
-        bits = bits | F.expr(condition)
-    return m.where(~bits).drop("__quality")
+    """The rows of ``docs`` that ``policy`` keeps, with their own columns.
+
+    The verdict is one expression that binds the measurements, so that a pushed-down filter
+    evaluates them once a row.
+    """
+    def verdict(m: Column) -> Column:
+        failed = F.lit(False)
+        for rule in POLICIES[policy]:
+            failed = failed | RULES[rule][1](lambda name: m[name])
+        return ~failed
+
+    return docs.where(let(measurements(F.col(text)), verdict))

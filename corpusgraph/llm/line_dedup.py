@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from corpusgraph.plans.positions import global_positions
 from corpusgraph.plans.scratch import materialize
 
+#: Deletions of at most so many bytes travel to the texts; beyond, the texts are shuffled to them.
+BROADCAST_BYTES = 32 << 20
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -101,16 +103,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     places, lines = _positions(docs, key, text)
     runs = repeated_runs(lines, min_words)
     gone = runs.groupBy("start").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence((F.col("first") - F.col("start")).cast("int"), (F.col("last") - F.col("start")).cast("int"))))).alias("_gone")
+        F.array_distinct(F.flatten(F.collect_list(F.sequence((F.col("first") - F.col("start")).cast("int"), (F.col("last") - F.col("start")).cast("int"))))).alias("__gone")
     )
-    gone = materialize(places.join(gone, "start").select(F.col("d").alias("_d"), F.col("th").alias("_th"), "_gone"), "line-gone")
-    out = docs.withColumn("_t", F.xxhash64(text))
-    out = out.join(gone, out[key].eqNullSafe(gone["_d"]) & (out["_t"] == gone["_th"]), "left")
+    gone = materialize(places.join(gone, "start").select(F.col("d").alias("__d"), F.col("th").alias("__th"), "__gone"), "line-gone")
+    n_bytes = gone.agg(F.coalesce(F.sum(F.size("__gone") * 4 + 64), F.lit(0))).first()[0]
+    if n_bytes <= BROADCAST_BYTES:  # else both sides are shuffled on the key
+        gone = F.broadcast(gone)
+    out = docs.withColumn("__t", F.xxhash64(text))
+    out = out.join(gone, out[key].eqNullSafe(gone["__d"]) & (out["__t"] == gone["__th"]), "left")
     parts = _lines(F.col(text))
-    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_gone")), lambda i: F.get(p, i)), "\n"))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.element_at(kept, 1))
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("__gone")), lambda i: F.get(p, i)), "\n"))
+    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.element_at(kept, 1))
     return (
         out.withColumn("_n_lines", F.coalesce(F.regexp_count(F.col(text), F.lit("\n")) + 1, F.lit(0)).cast("long"))
-        .withColumn("_n_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn(text, new).drop("_d", "_th", "_t", "_gone")
+        .withColumn("_n_deleted", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+        .withColumn(text, new).drop("__d", "__th", "__t", "__gone")
     )

@@ -21,6 +21,8 @@ SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 RADII = [1, 1, 0]
 MAX_DISTANCE = 4
 HOT_BUCKET = 8192
+#: Keys of dropped documents of at most so many bytes travel to the texts.
+BROADCAST_BYTES = 32 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -221,11 +223,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Where rows share that key, the one with the least text hash stays.  Rows with a null key
     link nothing and all stay.
     """
-    found = near_duplicates(docs, key, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    found = materialize(found, "simhash-kept")
-    out = docs.join(found, docs[key] == found["_kept"], "left").where(F.col("_kept").isNotNull() | F.col(key).isNull())
-    if not found.where("_rows > 1").isEmpty():
-        order = Window.partitionBy("_kept").orderBy(F.xxhash64(text))
-        again = out.where("_rows > 1").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-        out = out.where("_rows is null or _rows = 1").unionByName(again)
-    return out.drop("_kept", "_rows")
+    found = materialize(near_duplicates(docs, key, text).where("doc_id is not null"), "simhash-found")
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
+    if gone.count() * 16 <= BROADCAST_BYTES:  # else both sides are shuffled on the key
+        gone = F.broadcast(gone)
+    out = docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    twins = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twin")).agg(F.count("*").alias("n")).where("n > 1").select("__twin"), "simhash-twins")
+    if twins.isEmpty():
+        return out
+    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    one = out.join(twins, out[key] == F.col("__twin"), "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    return out.join(twins, out[key] == F.col("__twin"), "left_anti").unionByName(one)

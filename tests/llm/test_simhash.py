@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from corpusgraph.llm import simhash as S
@@ -68,7 +69,9 @@ def test_hot_buckets_give_the_same_links(spark, monkeypatch):
     check(spark, planted(rng, 120))
 
 
-def test_rows_and_keep_one(spark):
+@pytest.mark.parametrize("broadcast", [S.BROADCAST_BYTES, -1])
+def test_rows_and_keep_one(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "BROADCAST_BYTES", broadcast)
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(3, text, "a"), (2, text.upper(), "b"), (9, "other words entirely here now", "c"), (9, "other words entirely here now", "c"), (None, text, "d"), (5, None, None), (6, "", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")

@@ -39,7 +39,7 @@ def allpairs_dot_stats(spark, sf_dir):
 
 def ordered_pairs_stats(spark, sf_dir):
     e = pairs.all_pairs(read(spark, sf_dir, "embeddings"), both_ways=True)
-    return e.groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 5).alias("mean"))
+    return e.groupBy("src").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("total"))
 
 
 def cosine_pairs(spark, sf_dir):
@@ -231,7 +231,7 @@ ORACLES = {
         FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 5""",
     "topk_dot_one": """SELECT b.vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY score DESC, b.vec_id LIMIT 5""",
     "allpairs_dot_stats": f"WITH {_P} SELECT count(*) AS n, min(weight) AS lo, max(weight) AS hi, round(avg(weight), 6) AS mean FROM p",
-    "ordered_pairs_stats": f"WITH {_P} SELECT src, count(*) AS n, round(avg(weight), 5) AS mean FROM (SELECT src, weight FROM p UNION ALL SELECT dst, weight FROM p) GROUP BY src",
+    "ordered_pairs_stats": f"WITH {_P} SELECT src, count(*) AS n, round(sum(weight), 6) AS total FROM (SELECT src, weight FROM p UNION ALL SELECT dst, weight FROM p) GROUP BY src",
     "cosine_pairs": """SELECT * FROM (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS weight
         FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE weight > 0.5""",
     "node_stripes": "SELECT (vec_id % 7) AS chunk, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1",

@@ -39,19 +39,28 @@ def _positions(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
         .dropDuplicates(["d", "th"])
     )
     placed, _ = global_positions(seqs, ["d", "th"], F.size("lines") + 1, "start", "line-seqs")
+    placed = materialize(placed, "line-places")
     lines = placed.select("start", F.posexplode("lines").alias("i", "x")).select("start", (F.col("start") + F.col("i")).alias("pos"), "x.a", "x.b", "x.w")
     return placed.select("d", "th", "start"), lines
 
 
-def _name(runs: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """Name the runs that occur twice or more by their first position; others drop out."""
-    seen = runs.groupBy(*keys).agg(F.min("pos").alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return runs.join(seen, keys).select(*keep, "name")
+def _named(runs: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Rows of the runs that occur twice or more, with the first position of each as ``out``.
+
+    Names are pre-aggregated and written.  A table of at most BROADCAST_BYTES travels to the rows;
+    a larger one is joined by a shuffle of both sides, whose large partitions Spark can split: a
+    very common run has one name and many rows.
+    """
+    seen = runs.groupBy(*keys).agg(F.min("pos").alias(out), F.count("*").alias("n")).where("n > 1").drop("n")
+    seen = materialize(seen, "line-seen")
+    if seen.count() * 8 * (len(keys) + 2) <= BROADCAST_BYTES:
+        seen = F.broadcast(seen)
+    return runs.join(seen, keys)
 
 
 def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """``(start, first, last)``: shortest runs of ``min_words`` words that occur earlier too."""
-    named = materialize(_name(lines, ["a", "b"], ["start", "pos", "w"]), "line-names")
+    named = materialize(_named(lines, ["a", "b"], "name").select("start", "pos", "w", "name"), "line-names")
     # only unbroken stretches of repeated lines can be copies
     by_pos = Window.partitionBy("start").orderBy("pos")
     stretch = named.withColumn("stretch", F.col("pos") - F.row_number().over(by_pos)).withColumn(
@@ -64,11 +73,11 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
         stretch.withColumn("e_pos", F.max("pos").over(ahead)).withColumn("e_after", F.max("after").over(ahead))
         .withColumn("s_pos", F.min("pos").over(back)).withColumn("s_before", F.min("before").over(back))
     )
-    both = F.array(
+    ends = F.array(
         F.when(F.col("e_after") - F.col("before") >= min_words, F.struct(F.col("pos").alias("pos"), F.col("e_pos").alias("last"))),
         F.when(F.col("after") - F.col("s_before") >= min_words, F.struct(F.col("s_pos").alias("pos"), F.col("pos").alias("last"))),
     )
-    runs = found.select("start", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("start", "x.*")
+    runs = found.select("start", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("x")).select("start", "x.*")
     runs = materialize(runs.distinct().withColumn("m", F.col("last") - F.col("pos") + 1), "line-runs")
     longest = runs.agg(F.max("m")).first()[0]
     if longest is None:
@@ -76,7 +85,8 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     levels, level, size = [named.select("pos", "name", F.lit(0).alias("level"))], named.select("pos", "name"), 1
     while size * 2 <= longest:
         right = level.select((F.col("pos") - size).alias("pos"), F.col("name").alias("right"))
-        level = materialize(_name(level.withColumnRenamed("name", "left").join(right, "pos"), ["left", "right"], ["pos"]), "line-names")
+        both = materialize(level.withColumnRenamed("name", "left").join(right, "pos"), "line-pairs")
+        level = materialize(_named(both, ["left", "right"], "name").select("pos", "name"), "line-names")
         size *= 2
         levels.append(level.withColumn("level", F.lit(len(levels))))
     names = levels[0]
@@ -88,8 +98,7 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     head = names.withColumnRenamed("name", "left")
     tail = names.select("level", F.col("pos").alias("tail"), F.col("name").alias("right"))
     cls = materialize(keyed.join(head, ["level", "pos"]).join(tail, ["level", "tail"]).select("start", "pos", "last", "m", "left", "right"), "line-classes")
-    first = cls.groupBy("m", "left", "right").agg(F.min("pos").alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return cls.join(first, ["m", "left", "right"]).where("origin < pos").select("start", F.col("pos").alias("first"), "last")
+    return _named(cls, ["m", "left", "right"], "origin").where("origin < pos").select("start", F.col("pos").alias("first"), "last")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:

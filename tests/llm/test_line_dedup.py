@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from corpusgraph.llm import line_dedup as L
 
 
@@ -41,7 +43,9 @@ def test_matches_brute_force(spark):
         assert [got[i] for i, _ in docs] == want
 
 
-def test_nulls_repeats_and_columns(spark):
+@pytest.mark.parametrize("broadcast", [L.BROADCAST_BYTES, -1])
+def test_nulls_repeats_and_columns(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(L, "BROADCAST_BYTES", broadcast)
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, "head\n" + passage, "p"), (2, passage + "\ntail", "q"), (2, passage + "\ntail", "q"), (3, None, "r"), (None, passage, None), (4, "", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")

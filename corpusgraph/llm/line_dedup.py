@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from corpusgraph.plans.positions import global_positions
 from corpusgraph.plans.scratch import materialize
 
-#: Deletions of at most so many bytes travel to the texts; beyond, the texts are shuffled to them.
+#: Tables of at most so many bytes travel to the lines or texts; beyond, both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: What a row of a name table takes in a broadcast hash table (keys, name, and its own overhead).
+ROW_BYTES = 100
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -53,7 +55,7 @@ def _named(runs: DataFrame, keys: list[str], out: str) -> DataFrame:
     """
     seen = runs.groupBy(*keys).agg(F.min("pos").alias(out), F.count("*").alias("n")).where("n > 1").drop("n")
     seen = materialize(seen, "line-seen")
-    if seen.count() * 8 * (len(keys) + 2) <= BROADCAST_BYTES:
+    if seen.count() * ROW_BYTES <= BROADCAST_BYTES:
         seen = F.broadcast(seen)
     return runs.join(seen, keys)
 

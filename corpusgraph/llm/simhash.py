@@ -225,7 +225,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = materialize(near_duplicates(docs, key, text).where("doc_id is not null"), "simhash-found")
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    if gone.count() * 16 <= BROADCAST_BYTES:  # else both sides are shuffled on the key
+    if gone.count() * 64 <= BROADCAST_BYTES:  # else both sides are shuffled on the key
         gone = F.broadcast(gone)
     out = docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
     twins = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twin")).agg(F.count("*").alias("n")).where("n > 1").select("__twin"), "simhash-twins")

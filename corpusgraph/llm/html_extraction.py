@@ -3,7 +3,8 @@
 A page is scanned once into a tree of block elements; inline markup only adds text to its block.
 Paragraphs pass points for their length and commas to their ancestors (all to the parent, half to
 the grandparent, less further up); a container's points are discounted by its link density.  The
-best container is kept with the siblings that look like more of the same.
+best container is kept with what is prose beside it and beside its wrappers, and with the headings
+and pieces in between.
 """
 
 from __future__ import annotations
@@ -35,6 +36,12 @@ NEGATIVE = frozenset(
 )
 _NEVER_NEGATIVE = frozenset("html body article main".split())
 
+#: How a block of prose ends, however short; and how a notice that ends so begins.
+_SENTENCE = re.compile(r"[.!?:;…。！？؟।][\"'”’»)\]]*\Z")
+_NOTICE = re.compile(r"©|\(c\)|copyright\b", re.I)
+#: Blocks of more characters are prose, however they end.
+LONG_BLOCK = 80
+
 #: Containers that are left out inside the article where most of their text is links.
 _LINK_LISTS = frozenset("ul ol dl table div section".split())
 
@@ -234,6 +241,60 @@ def _blocks(top: Node, out: list[str]) -> None:
             stack.append((c, iter(c.children), []))
 
 
+def _is_prose(text: str, links: int) -> bool:
+    return links * 2 <= len(text) and (len(text) > LONG_BLOCK or bool(_SENTENCE.search(text))) and not _NOTICE.match(text)
+
+
+def _has_prose(node: Node) -> bool:
+    """Whether a node that is not mostly links holds a block of prose."""
+    if node.drop or not node.chars or node.link_chars * 2 > node.chars:
+        return False
+    return any(n.tag not in HEADINGS and _is_prose(text, links) for n in _walk(node) for text, _, links in [_own_text(n)] if text)
+
+
+def _keep_level(parent: Node, at: Node) -> None:
+    """Leave in ``parent`` only ``at``, prose beside it, and what stands between or heads them."""
+    runs: list[list] = []  # single nodes, and runs of the parent's own text
+    for c in parent.children:
+        if not isinstance(c, Node) and runs and not isinstance(runs[-1][0], Node):
+            runs[-1].append(c)
+        else:
+            runs.append([c])
+
+    def prose(run: list) -> bool:
+        if isinstance(run[0], Node):
+            return run[0] is at or run[0].tag == "p" and bool(run[0].chars) and run[0].link_chars * 4 < run[0].chars or _has_prose(run[0])
+        text = _SPACE.sub(" ", "".join(t for t, _ in run)).strip()
+        return bool(text) and _is_prose(text, sum(len(t.strip()) for t, link in run if link))
+
+    good = [prose(r) for r in runs]
+    first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+    kept = []
+    for i, run in enumerate(runs):
+        node = run[0] if isinstance(run[0], Node) else None
+        heads = node is not None and node.tag in HEADINGS | {"hgroup", "header"} and (i > first or node.link_chars * 2 <= node.chars)
+        between = first < i < last and (node is None or node.link_chars * 2 <= node.chars)
+        if good[i] or i < last and heads or between:
+            kept += run
+    parent.children = kept
+    at.link_chars = 0  # the links beside it are gone; it is no list of links
+
+
+def _widen(best: Node) -> Node:
+    """The topmost wrapper of the article, with all that is not the article taken out."""
+    at = best
+    while at.parent is not None and at.tag not in ("body", "html", "main"):
+        up = at.parent
+        if up.tag != "main" or at.tag == "article":
+            _keep_level(up, at)
+        else:
+            at.link_chars = 0
+        if at.tag == "article":
+            return up
+        at = up
+    return at
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: blocks joined by blank lines, white space inside a block as one space."""
     if not page:
@@ -242,20 +303,9 @@ def main_text(page: str | None) -> str:
     best = score(root)
     if best is None:
         return ""
-    keep = [best]
-    if best.parent is not None and best.tag not in ("body", "html", "main"):
-        keep = []
-        bar = max(10.0, 0.2 * best.points)
-        for c in best.parent.children:
-            if c is best:
-                keep.append(c)
-            elif isinstance(c, Node) and not c.drop and c.chars:
-                density = c.link_chars / c.chars
-                if c.points * (1 - density) >= bar or (c.tag in HEADINGS or c.tag == "p") and density < 0.25 and (c.chars > 80 or c.tag == "p"):
-                    keep.append(c)
+    top = _widen(best)
     out: list[str] = []
-    for node in keep:
-        _blocks(node, out)
+    _blocks(top, out)
     return "\n\n".join(out)
 
 

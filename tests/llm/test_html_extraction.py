@@ -46,3 +46,16 @@ def test_rows(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(str(r.page_id) + str(r.n_chars > 0) for r in out.collect()) == ["1False", "1True", "NoneFalse"]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_all_sections_of_pages_without_an_article():
+    """Pages of several sections in div and main wrappers: every heading and paragraph, in order."""
+    many = [f"Paragraph {i}, with commas, more commas, and words enough to score well in the first section." for i in range(30)]
+    long = "One long paragraph, of a second section, that has four commas, no more, " + "and many words " * 60 + "in all."
+    junk = '<div id=nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div>'
+    end = "<div>&copy; 2000 Example Inc. All rights reserved.</div><div><a href=1>Terms</a> <a href=2>Privacy</a></div>"
+    for open_, close in (("<div id=content>", "</div>"), ("<main>", "</main>"), ("", ""), ("<div><div>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>")):
+        for a, b in (("<div>", "</div>"), ("<section>", "</section>"), ("<section><div>", "</div></section>")):
+            body = ["<h2>A</h2>", a, *(f"<p>{x}</p>" for x in many), b, "<h2>B</h2>", f"{a}<p>{long}</p>{b}", "<h3><a href=#c>C</a></h3>", "<ul><li>a short item</ul>", f"{a}<p>Yes.</p>{b}", "Loose text.", f"{a}<p>Fin.</p>{b}"]
+            got = main_text(f"<html><body>{junk}{open_}{''.join(body)}{close}{end}</body></html>").split("\n\n")
+            assert got == ["A", *many, "B", long.strip(), "C", "a short item", "Yes.", "Loose text.", "Fin."], (open_, a)

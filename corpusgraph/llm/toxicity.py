@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.llm.simhash import MAX_DISTANCE, fingerprint
 from corpusgraph.plans.scratch import materialize
 
 #: Labelled rows that voters, label model and classifier are fitted on, at most (drawn by a hash of doc_id).
 MAX_LABELLED = 16_000
-#: Learned entries kept; the toxic rows in which one must occur, as a number and as a share of all
-#: toxic rows (words that only a group of near copies shares stay below it).
-MAX_ENTRIES, MIN_DOCS, MIN_SHARE = 4000, 4, 0.015
+#: Learned entries kept; the toxic rows (near copies once) in which one must occur, at any size.
+MAX_ENTRIES, MIN_DOCS = 4000, 4
+#: The share of learned entries that may be toxic rows' by accident.
+FALSE_SHARE = 0.05
 PREFIXES = (3, 4, 5, 6)
 #: Insults and slurs on intellect or worth that any reader would list; fixed values.
 LEXICON = frozenset(
@@ -55,8 +57,36 @@ def draw_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_key") == F.col("_id")).select("text", F.col("_y").cast("int").alias("label")).dropDuplicates()
 
 
+def _first_of_copies(fps: np.ndarray, block: int = 256) -> np.ndarray:
+    """Fingerprints without another one near them that comes before (at most MAX_LABELLED, in blocks)."""
+    fps, keep = np.sort(fps), np.ones(len(fps), bool)
+    for i in range(0, len(fps), block):
+        near = np.bitwise_count(fps[i : i + block, None] ^ fps[None, : i + block]) <= MAX_DISTANCE
+        keep[i : i + block] = ~np.tril(near, i - 1).any(axis=1)
+    return fps[keep]
+
+
+def collapse_copies(sample: DataFrame) -> DataFrame:
+    """``(text, label)`` of the sample with one row for a group of near copies of a label."""
+
+    def scan(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["text", "label", "fp"])
+
+    marked = materialize(sample.mapInArrow(scan, "text string, label int, fp long"), "toxic-marked")
+    got = marked.select("label", "fp").distinct().collect()
+    firsts = [(y, int(fp)) for y in (0, 1) for fp in _first_of_copies(np.array([r["fp"] for r in got if r["label"] == y], np.int64).view(np.uint64)).view(np.int64)]
+    kept = sample.sparkSession.createDataFrame(firsts, "label int, fp long")
+    return marked.join(F.broadcast(kept), ["label", "fp"]).groupBy("label", "fp").agg(F.min("text").alias("text")).select("text", "label")
+
+
 def learn_entries(sample: DataFrame) -> list[str]:
-    """Words and word beginnings that occur mostly in toxic rows, strongest first."""
+    """Words and word beginnings that occur mostly in toxic rows, strongest first.
+
+    Near copies count once.  What must be exceeded is a number of rows and chance, not a share of
+    the toxic rows, so words of a rare language are learned from as many rows as those of a common one.
+    """
 
     def count(batches):
         seen = [Counter(), Counter()]
@@ -68,16 +98,25 @@ def learn_entries(sample: DataFrame) -> list[str]:
             part = names[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[0][e] for e in part], pa.int64()), pa.array([seen[1][e] for e in part], pa.int64())], names=["entry", "clean", "toxic"])
 
-    totals = sample.groupBy().agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
+    rows = materialize(collapse_copies(sample), "toxic-distinct")
+    totals = rows.groupBy().agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.count("*").alias("n")).first()
     if not totals["toxic"] or totals["toxic"] == totals["n"]:
         return []
     n1, n0 = totals["toxic"], totals["n"] - totals["toxic"]
-    counts = sample.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = materialize(counts.where(F.col("clean") + F.col("toxic") >= MIN_DOCS), "toxic-counts")
     lift = F.log((F.col("toxic") + 0.5) / n1) - F.log((F.col("clean") + 0.5) / n0)
     worth = lift * F.sqrt("toxic")
-    # a hit must raise the odds twentyfold, and be no accident of many candidates
-    good = counts.where(F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * n1)).where((lift > float(np.log(20))) & (worth > 6))
-    return [r["entry"] for r in good.orderBy(worth.desc(), "entry").limit(MAX_ENTRIES).collect()]
+    # log of the chance (Chernoff's bound) of so many toxic rows among an entry's, if it had nothing to do with labels
+    both = F.col("clean") + F.col("toxic")
+    in_clean = F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / both * ((n0 + n1) / n0))).otherwise(0.0)
+    chance = -(F.col("toxic") * F.log(F.col("toxic") / both * ((n0 + n1) / n1)) + in_clean)
+    # a hit must raise the odds twentyfold; of all entries learned, a share of FALSE_SHARE may be by accident (Benjamini and Hochberg)
+    good = counts.where((F.col("toxic") >= MIN_DOCS) & (lift > float(np.log(20))))
+    best = good.select("entry", worth.alias("worth"), chance.alias("chance")).orderBy("chance", "entry").limit(MAX_ENTRIES).collect()
+    tested = max(1, counts.count())
+    n_good = max((i for i, r in enumerate(best, 1) if r["chance"] <= np.log(FALSE_SHARE * i / tested)), default=0)
+    return [r["entry"] for r in sorted(best[:n_good], key=lambda r: (-r["worth"], r["entry"]))]
 
 
 @dataclass

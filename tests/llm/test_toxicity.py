@@ -41,6 +41,24 @@ def test_held_out_accuracy_and_rows(spark):
     assert T.score_documents(d.limit(0), T.Scorer({}, 24, np.zeros(54), 0.0)).count() == 0
 
 
+def test_a_rare_language_is_learned_at_any_size(spark):
+    """Toxic words of 1 % of the toxic rows are learned; words that one group of near copies shares are not."""
+    docs, labels = corpus(6000)
+    rng = random.Random(7)
+    rare = rng.sample([i for i, _, t in labels if t], 15)
+    other = [f"szo{i}" for i in range(40)]
+    for i in rare:
+        docs[i] = (i, " ".join([*rng.sample(other, 30), "zumbrak", "kolvent"]), "x")
+    for i in [i for i, _, t in labels if not t][:60]:
+        docs[i] = (i, " ".join(rng.sample(other, 30)), "x")
+    copied = [f"kopie{i}" for i in range(200)]
+    for k, i in enumerate([i for i, _, t in labels if t and i not in rare][:60]):
+        docs[i] = (i, " ".join([*copied, "idiot", "grmpfa", f"nr{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}"]), "x")
+    s = T.fit(*frames(spark, docs, labels))
+    assert {"=zumbrak", "=kolvent"} <= s.entries.keys() and not any(e.startswith(("=szo", "=kopie")) for e in s.entries)
+    assert all(s.score(docs[i][1]) > 0.5 for i in rare) and s.score(" ".join(other)) < 0.5
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = corpus(300)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]

@@ -97,6 +97,27 @@ def jaccard_top_k(rows: DataFrame, queries: DataFrame, items: Column, key: str,
     return top_k(common.select("query_id", "node_id", F.round(F.col("both") / (F.col("qn") + F.col("n") - F.col("both")), 6).alias("score")), k)
 
 
+def entity_link_top_k(rows: DataFrame, queries: DataFrame, entities: Column, links: Column, key: str, k: int = 5) -> DataFrame:
+    """Rows with the best entity and link score for each query row (itself left out).
+
+    Only rows that share an entity or a link with the query score above 0; they meet on the items,
+    and common items are counted by kind.
+    """
+    item = lambda kind, c: F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    def sides(df: DataFrame, name: str, p: str) -> DataFrame:
+        sets = df.select(F.col(key).alias(name), F.coalesce(item("e", entities), F.array()).alias("e"), F.coalesce(item("l", links), F.array()).alias("l"))
+        return sets.select(name, F.size("e").alias(p + "e"), F.size("l").alias(p + "l"), F.explode(F.concat("e", "l")).alias("item"))
+
+    common = (
+        sides(queries, "query_id", "q").join(sides(rows, "node_id", "n"), "item").where("query_id <> node_id")
+        .groupBy("query_id", "node_id", "qe", "ql", "ne", "nl")
+        .agg(F.sum((F.col("item.kind") == "e").cast("int")).alias("e"), F.sum((F.col("item.kind") == "l").cast("int")).alias("l"))
+    )
+    part = lambda x: F.coalesce(F.try_divide(F.col(x), F.col("q" + x) + F.col("n" + x) - F.col(x)), F.lit(0.0))
+    return top_k(common.select("query_id", "node_id", F.round(0.8 * part("e") + 0.2 * part("l"), 6).alias("score")), k)
+
+
 def robust_scale(edges: DataFrame, weight: str = "weight", by: list[str] | None = None, out: str = "scaled") -> DataFrame:
     """``(w - median) / (q75 - q25)`` with exact interpolated percentiles, per ``by``; no spread counts as 1."""
     q = F.percentile(weight, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -96,6 +96,13 @@ def entity_link_pairs(spark, sf_dir):
     return d.join(q, "doc_id").select("doc_id", F.round(metrics.entity_link_score(F.col("e"), F.col("f"), none, none), 6).alias("score"))
 
 
+def entity_link_topk(spark, sf_dir):
+    """Each hundredth page against all pages, on the entities of its text and on its links."""
+    p = read(spark, sf_dir, "pages").where("page_id is not null")
+    body = F.regexp_replace("html", "<[^>]*>", " ")
+    return scorers.entity_link_top_k(p, p.where("page_id % 100 = 0"), text.entities(body), text.links(F.col("html")), "page_id")
+
+
 def embedded_documents(spark, sf_dir):
     e = embedding.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return e.select("doc_id", F.size("embedding").alias("dims"), F.round(metrics.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
@@ -125,7 +132,7 @@ def window_fit(spark, sf_dir):
 
 QUERIES = (
     clean_text, context_clean, path_names, squeezed_names, word_counts, doc_length_hist, distinct_docs, md5_sample, word_chunks, token_chunks, limited_files, page_links,
-    link_jaccard_pages, link_character_overlap, token_jaccard_topk, bm25_topk, entity_counts, entity_link_pairs, embedded_documents, context_prompt, answer_prompts,
+    link_jaccard_pages, link_character_overlap, token_jaccard_topk, bm25_topk, entity_counts, entity_link_pairs, entity_link_topk, embedded_documents, context_prompt, answer_prompts,
     critique_prompts, window_fit,
 )
 

@@ -69,3 +69,20 @@ def test_text(spark):
     assert one(spark, X.parse_date(F.lit("03/02/2024"))) == dt.date(2024, 2, 3) == one(spark, X.parse_date(F.lit("2024-02-03")))
     assert one(spark, X.parse_date(F.lit("nan"))) is None
     assert one(spark, X.entities(F.lit("The Bank Rate at MPC in 2024 was 5.25"))) == ["The Bank Rate", "MPC", "2024", "5.25"]
+
+
+def test_entity_link_top_k_against_all_rows(spark, sf):
+    import __spark_entry__ as entry
+    from corpusgraph.functions import metrics, text
+    from corpusgraph.operators import scorers
+
+    rows = [(0, ["A", "B", "A"], ["x"]), (7, ["B"], ["x", "y"]), (50, ["A", "B"], []), (90, [], ["x"]), (91, ["Z"], ["z"]), (92, None, None)]
+    df = spark.createDataFrame(rows, "id long, e array<string>, l array<string>")
+    got = scorers.entity_link_top_k(df, df.where("id % 100 = 0"), F.col("e"), F.col("l"), "id").orderBy("rank").collect()
+    assert [(r.node_id, r.score, r.rank) for r in got] == [(50, 0.8, 1), (7, 0.5, 2), (90, 0.2, 3)]
+
+    p = spark.read.parquet(f"{sf}/pages.parquet").where("page_id is not null").select("page_id", text.entities(F.regexp_replace("html", "<[^>]*>", " ")).alias("e"), text.links(F.col("html")).alias("l"))
+    score = F.round(metrics.entity_link_score(F.col("a.e"), F.col("b.e"), F.col("a.l"), F.col("b.l")), 6)
+    pairs = p.alias("a").where("page_id % 100 = 0").join(p.alias("b"), F.col("a.page_id") != F.col("b.page_id")).select(F.col("a.page_id").alias("q"), F.col("b.page_id").alias("n"), score.alias("s")).where("s > 0").collect()
+    want = {(q, r.n, r.s) for q in {r.q for r in pairs} for r in sorted((r for r in pairs if r.q == q), key=lambda r: (-r.s, r.n))[:5]}
+    assert want and {(r.query_id, r.node_id, r.score) for r in entry.queries()["entity_link_topk"](spark, sf).collect()} == want

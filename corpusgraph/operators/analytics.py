@@ -204,12 +204,14 @@ def connectivity(nodes: DataFrame, edges: DataFrame, key: str) -> dict[str, floa
     return {"avg_node_connectivity": round(sum(node.values()) / len(node), 6), "node_connectivity": min(apart, default=n - 1), "edge_connectivity": min(edge)}
 
 
-def spread_labels(nodes: DataFrame, edges: DataFrame, key: str, label: str, alpha: float = 0.99, rounds: int = 30, harmonic: bool = False, digits: int = 9) -> DataFrame:
+def spread_labels(nodes: DataFrame, edges: DataFrame, key: str, label: str, alpha: float = 0.99, rounds: int = 30, harmonic: bool = False, digits: int = 9, to_reach: bool = False) -> DataFrame:
     """``(node, predicted)`` by local and global consistency, or by the harmonic function.
 
     Scores ``(node, label, f)`` go along edges for a fixed number of rounds: normalised by both
     ends' strengths and mixed with the seeds, or (``harmonic``) averaged over neighbours with seeds
-    held.  Nodes with a null label are predicted like the others but seed nothing.
+    held.  Nodes with a null label are predicted like the others but seed nothing.  ``to_reach``
+    goes on after the last round until no node is newly reached.  A node that no seed has reached
+    has a row with a null prediction.
     """
     both = symmetric(edges)
     strength = both.groupBy("src").agg(F.sum("weight").alias("s"))
@@ -218,16 +220,23 @@ def spread_labels(nodes: DataFrame, edges: DataFrame, key: str, label: str, alph
     norm = materialize(norm, "spread-edges")
     seeds = nodes.where(F.col(label).isNotNull()).select(F.col(key).alias("node"), F.col(label).alias("label"), F.lit(1.0).alias("f"))
     seeds = materialize(seeds, "spread-seeds")
-    f = seeds
-    for _ in range(rounds):
+    f, done, reached = seeds, 0, -1
+    while done < rounds or to_reach:
+        if done >= rounds - 1 and to_reach:
+            # scores only spread: a round that reaches nothing new is followed by none that does
+            before, reached = reached, f.count()
+            if done >= rounds and before == reached:
+                break
         sent = norm.join(f, norm["dst"] == f["node"]).groupBy(F.col("src").alias("node"), "label").agg(F.sum(F.col("w") * F.col("f")).alias("f"))
         if harmonic:
             f = sent.join(seeds.select("node"), "node", "left_anti").union(seeds)
         else:
             f = sent.withColumn("f", alpha * F.col("f")).union(seeds.withColumn("f", (1 - alpha) * F.col("f"))).groupBy("node", "label").agg(F.sum("f").alias("f"))
         f = materialize(f, "spread")
+        done += 1
     best = F.min_by("label", F.struct(-F.round("f", digits), F.col("label")))
-    return f.groupBy("node").agg(best.alias("predicted"))
+    found = f.groupBy("node").agg(best.alias("predicted"))
+    return nodes.select(F.col(key).alias("node")).where("node is not null").distinct().join(found, "node", "left")
 
 
 def weighted_prf(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:

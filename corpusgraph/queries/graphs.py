@@ -148,14 +148,31 @@ def weighted_prf(spark, sf_dir):
 
 def node_classification(spark, sf_dir):
     nodes, e = _edges(spark, sf_dir)
-    return analytics.spread_labels(nodes, e, "vec_id", "label")
+    return analytics.spread_labels(nodes, e, "vec_id", "label", to_reach=True)
+
+
+def _hidden(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("label", F.when(F.col("vec_id") % 5 == 0, None).otherwise(F.col("label")))
 
 
 def harmonic_classification(spark, sf_dir):
     """Nodes whose number is divisible by 5 are unlabelled, the rest are seeds."""
     nodes, e = _edges(spark, sf_dir)
-    hidden = nodes.withColumn("label", F.when(F.col("vec_id") % 5 == 0, None).otherwise(F.col("label")))
-    return analytics.spread_labels(hidden, e, "vec_id", "label", rounds=5, harmonic=True)
+    return analytics.spread_labels(_hidden(nodes), e, "vec_id", "label", harmonic=True, to_reach=True)
+
+
+def node_classification_prf(spark, sf_dir):
+    """Precision, recall and F1 of ``node_classification`` in full (``weighted_prf`` is of one step)."""
+    nodes, e = _edges(spark, sf_dir)
+    guess = analytics.spread_labels(nodes, e, "vec_id", "label", to_reach=True)
+    return analytics.weighted_prf(nodes.join(guess, nodes["vec_id"] == guess["node"]), "label", "predicted")
+
+
+def harmonic_classification_prf(spark, sf_dir):
+    """Precision, recall and F1 of ``harmonic_classification`` on the nodes whose label it does not see."""
+    nodes, e = _edges(spark, sf_dir)
+    guess = analytics.spread_labels(_hidden(nodes), e, "vec_id", "label", harmonic=True, to_reach=True)
+    return analytics.weighted_prf(nodes.where("vec_id % 5 = 0").join(guess, nodes["vec_id"] == guess["node"]), "label", "predicted")
 
 
 def communities(spark, sf_dir):
@@ -200,7 +217,7 @@ QUERIES = (
     topk_dot, topk_dot_one, allpairs_dot_stats, ordered_pairs_stats, cosine_pairs, node_stripes, every_other_edge, threshold_grid, edge_threshold,
     threshold_graph_edges, mean_edge_weight, graph_quick_stats, avg_clustering, graph_components, graph_connected, shortest_path_context, nearest_path_context,
     hop_stats, path_lengths, modularity_by_label, degree_centrality, topk_graph, label_assortativity, degree_assortativity, numeric_assortativity,
-    node_classification_1step, weighted_prf, node_classification, harmonic_classification, communities, community_colours, evaluate_graph, threshold_objective, robust_scale,
+    node_classification_1step, weighted_prf, node_classification, node_classification_prf, harmonic_classification, harmonic_classification_prf, communities, community_colours, evaluate_graph, threshold_objective, robust_scale,
     minmax_centrality_range, anchor_nodes,
 )
 

@@ -66,6 +66,15 @@ def test_labels_spread(spark, small):
         assert got[1] == "x" and (got[0], got[3]) == ("x", "y") if harmonic else got[1] == "x"
 
 
+def test_labels_reach_every_node_of_a_long_path(spark):
+    """One seed at the end of a path of 12 nodes and two nodes apart: all have rows, the path its seed's label."""
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(11)] + [(20, 21, 1.0)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i, "x" if i == 0 else None) for i in [*range(12), 20, 21]], "id long, label string")
+    for harmonic in (False, True):
+        got = {r.node: r.predicted for r in A.spread_labels(nodes, edges, "id", "label", rounds=2, harmonic=harmonic, to_reach=True).collect()}
+        assert got == {**{i: "x" for i in range(12)}, 20: None, 21: None}
+
+
 def test_weighted_prf(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "t string, p string")
     assert tuple(A.weighted_prf(df, "t", "p").first()) == (round((2 * 1 + 1 / 3) / 4, 6), 0.5, round((2 * 2 / 3 + 0.5) / 4, 6))

@@ -6,6 +6,7 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from corpusgraph.operators.graph import shortest_paths, symmetric
 from corpusgraph.plans.components import connected_components
@@ -252,13 +253,35 @@ def weighted_prf(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def evaluate_graph(nodes: DataFrame, edges: DataFrame, key: str, attribute: str) -> DataFrame:
-    """One row with all statistics; one that is undefined for the graph is null."""
+    """One row of statistics; one that is undefined for the graph is null.
+
+    Counts, clustering, paths, assortativities (the numeric one where ``attribute`` is a number),
+    the modularity of ``attribute`` and of communities by label propagation, and precision, recall
+    and F1 of both node classifiers: ``lgc_`` on all labels, ``harmonic_`` on every fifth node by
+    hash, whose label it does not see.  Left out: node and edge connectivity (``connectivity``, by
+    maximum flows on the driver) and greedy communities (``greedy_communities``), which have no
+    distributed form.
+    """
     edges = materialize(edges, "graph-edges")
     out = quick_stats(nodes, edges)
+    found = materialize(label_propagation(nodes, edges, key), "graph-communities")
+    hidden = F.pmod(F.xxhash64(key), F.lit(5)) == 0
+
+    def prf(prefix: str, seen: DataFrame, judged: DataFrame, harmonic: bool) -> DataFrame:
+        guess = spread_labels(seen, edges, key, attribute, harmonic=harmonic, to_reach=True)
+        scores = weighted_prf(judged.where(F.col(attribute).isNotNull()).join(guess, judged[key] == guess["node"]), attribute, "predicted")
+        return scores.select(*[F.col(c).alias(f"{prefix}_{c}") for c in scores.columns])
+
     parts = [
-        average_clustering(nodes, edges, key), is_connected(nodes, edges, key), degree_assortativity(nodes, edges, key),
+        average_clustering(nodes, edges, key), is_connected(nodes, edges, key), path_stats(nodes, edges, key), degree_assortativity(nodes, edges, key),
         attribute_assortativity(nodes, edges, key, attribute), modularity(edges, nodes, key, attribute),
+        found.agg(F.count_distinct("community").alias("communities")), modularity(edges, found, "node", "community").withColumnRenamed("modularity", "communities_modularity"),
+        prf("lgc", nodes, nodes, False), prf("harmonic", nodes.withColumn(attribute, F.when(~hidden, F.col(attribute))), nodes.where(hidden), True),
     ]
+    if isinstance(nodes.schema[attribute].dataType, NumericType):
+        parts.append(numeric_assortativity(nodes, edges, key, attribute))
+    else:
+        parts.append(quick_stats(nodes, edges).select(F.lit(None).cast("double").alias("numeric_assortativity")))
     for p in parts:
         out = out.crossJoin(p)
     return out

@@ -34,6 +34,17 @@ def test_statistics(small):
     assert tuple(empty) == (0, 0, None, None)
 
 
+def test_evaluation_has_all_blocks(small):
+    nodes, edges = (d.cache() for d in (small[0].where("id < 4"), small[1]))
+    got = A.evaluate_graph(nodes, edges, "id", "num").first().asDict()
+    assert (got["avg_shortest_path"], got["diameter"], got["connected"]) == (1.333333, 2, True)
+    assert got["numeric_assortativity"] == A.numeric_assortativity(nodes, edges, "id", "num").first()[0]
+    found = A.label_propagation(nodes, edges, "id").collect()
+    assert got["communities"] == len({r.community for r in found}) and got["communities_modularity"] is not None
+    assert {f"{c}_{x}" for c in ("lgc", "harmonic") for x in ("precision", "recall", "f1")} <= got.keys()
+    assert 0 <= got["lgc_recall"] <= 1
+
+
 def test_paths(small):
     nodes, edges = small
     paths = G.shortest_paths(edges, nodes.where("id = 3").select(F.col("id").alias("source")))

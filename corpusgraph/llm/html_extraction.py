@@ -5,12 +5,16 @@ Paragraphs pass points for their length and commas to their ancestors (all to th
 the grandparent, less further up); a container's points are discounted by its link density.  The
 best container is kept with what is prose beside it and beside its wrappers, and with the headings
 and pieces in between.
+
+Class and id words only cast suspicion on a block.  How sure they are decides what share of the
+page's paragraph points the block must hold to be kept all the same (``KEEP_SHARE``).
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +38,19 @@ SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 NEGATIVE = frozenset(
     "ad ads adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Of these, the words that leave no doubt in any name, and those that do as whole names; fixed values.
+CERTAIN = frozenset("advert advertisement adverts comment comments consent cookie cookies disqus gdpr shoutbox".split())
+CERTAIN_ALONE = frozenset("ad ads hidden replies respond".split())
+#: Parts of a name that turn its meaning round, and whole names of article bodies; fixed values.
+NEGATED = frozenset("has no not non with without free less is hide".split())
+POSITIVE = frozenset("article articlebody body content entry main page post story text".split())
+#: Parts of the names of page-level headers; fixed values.
+SITE = frozenset("site page global top masthead".split())
+#: How sure a mark is -> the share of the page's points that a block must exceed to be kept.
+UNSURE, PART, WHOLE, SURE = 1, 2, 3, 4
+KEEP_SHARE = {UNSURE: 0.2, PART: 0.5, WHOLE: 0.8, SURE: 1.0}
+#: Deeper elements become siblings, as in browsers, so that climbing is bounded.
+MAX_DEPTH = 512
 _NEVER_NEGATIVE = frozenset("html body article main".split())
 
 #: How a block of prose ends, however short; and how a notice that ends so begins.
@@ -42,56 +59,80 @@ _NOTICE = re.compile(r"©|\(c\)|copyright\b", re.I)
 #: Blocks of more characters are prose, however they end.
 LONG_BLOCK = 80
 
-#: Containers that are left out inside the article where most of their text is links.
+#: Containers that are menus where most of their text is links and no prose or heading leads to them.
 _LINK_LISTS = frozenset("ul ol dl table div section".split())
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "points", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "drop", "mark", "depth", "points", "chars", "link_chars", "share")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, mark: int = 0):
+        self.tag, self.parent, self.drop, self.mark = tag, parent, drop, mark
+        self.depth = 0 if parent is None else parent.depth + 1
         self.children: list = []  # nodes and (text, in a link)
-        self.points, self.chars, self.link_chars = 0.0, 0, 0
-
-
-def _negative(tag: str, attributes: str, inside: Node) -> bool:
-    """Whether an element's attributes, or a page-level header, mark it as not the article."""
-    if tag == "header":
-        at: Node | None = inside
-        while at is not None and at.tag not in ("article", "main"):
-            at = at.parent
-        return at is None
-    if tag in _NEVER_NEGATIVE or not attributes:
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
+        self.points, self.chars, self.link_chars, self.share = 0.0, 0, 0, 0.0
+
+
+def _name_mark(name: str) -> int:
+    """How sure one class name, id or role is that its element is not the article."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    bad = [x for x in parts if x in NEGATIVE]
+    if not bad or not NEGATED.isdisjoint(parts):
+        return 0
+    if not CERTAIN.isdisjoint(bad):
+        return SURE
+    if len(bad) < len(parts):
+        return PART
+    return WHOLE if CERTAIN_ALONE.isdisjoint(bad) else SURE
+
+
+def _mark(tag: str, attributes: str, open_: Counter, at: Node) -> int:
+    """How sure an element's attributes are that it is not the article; SURE also if it isn't shown."""
+    mark, names = 0, []
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = value.strip("\"'").lower(), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return SURE
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif NEGATIVE.intersection(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+                return SURE
+        else:
+            names += value.split()
+    if tag == "header" and not open_["article"] and not open_["main"]:
+        at_top = at.tag in ("body", "html")
+        return SURE if at_top or any(not SITE.isdisjoint(re.split(r"[^a-z0-9]+", x)) for x in names) else 0
+    if tag in _NEVER_NEGATIVE:
+        return 0
+    mark = max((_name_mark(x) for x in names), default=0)
+    return UNSURE if mark and not POSITIVE.isdisjoint(names) else mark
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; unclosed and crossed tags are settled as browsers do."""
     root = Node("html", None, False)
     at, links, pos, n = root, 0, 0, len(page)
+    open_ = Counter({"html": 1})  # open elements by tag: an end tag without a start costs nothing
     dropped_inline: list[tuple[str, int]] = []
 
     def text(piece: str) -> None:
         if piece and not at.drop and not dropped_inline:
             at.children.append((piece, links > 0))
 
+    def close(until: Node) -> None:
+        """End the open elements up to and with ``until``, which isn't the root."""
+        nonlocal at
+        while at is not until:
+            open_[at.tag] -= 1
+            at = at.parent
+        open_[at.tag] -= 1
+        at = at.parent
+
     while pos < n:
         m = _MARKUP.search(page, pos)
         if m is None:
@@ -111,33 +152,36 @@ def parse(page: str) -> Node:
             continue
         if tag in BLOCKS:
             if closing:
-                up: Node | None = at
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    at, links = up.parent, 0
+                if open_[tag] > (tag == "html"):
+                    up = at
+                    while up.tag != tag:
+                        up = up.parent
+                    close(up)
+                    links = 0
                     dropped_inline.clear()
                 continue
-            scope = at
             if at.tag == "p" or at.tag in HEADINGS and tag in HEADINGS:
-                at = at.parent
+                close(at)
                 links = 0
-            elif tag in CLOSES:
+            elif tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
+                scope = at
                 while scope.parent is not None and scope.tag not in CLOSES[tag] and scope.tag not in SCOPES[tag]:
                     scope = scope.parent
                 if scope.tag in CLOSES[tag]:
-                    while at is not scope:
-                        at = at.parent
-                    at = at.parent
+                    close(scope)
                     while at.tag in CLOSES[tag] and at.parent is not None:
-                        at = at.parent
-            if tag in ("html", "body") and at is root and tag == "html":
+                        close(at)
+            if tag == "html" and at is root:
                 continue
             if tag in VOID:
                 at.children.append(Node(tag, at, True))
                 continue
-            node = Node(tag, at, at.drop or tag in DROPPED or _negative(tag, m[3], at))
+            if at.depth >= MAX_DEPTH:
+                close(at)
+            mark = _mark(tag, m[3], open_, at)
+            node = Node(tag, at, at.drop or tag in DROPPED, mark)
             at.children.append(node)
+            open_[tag] += 1
             at = node
         elif tag == "a":
             links = max(0, links - 1) if closing else links + 1
@@ -152,11 +196,44 @@ def parse(page: str) -> Node:
             if dropped_inline:
                 if dropped_inline[-1][0] == tag:
                     dropped_inline[-1] = (tag, dropped_inline[-1][1] + 1)
-            elif tag in DROPPED or _negative(tag, m[3], at):
+            elif tag in DROPPED or _mark(tag, m[3], open_, at) >= WHOLE:
                 dropped_inline.append((tag, 1))
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Drop the suspected blocks that don't hold their KEEP_SHARE of the page's paragraph points.
+
+    Outside an article, a suspect is dropped as well where the page has one that is above suspicion.
+    """
+    nodes = _walk(root)
+    for node in reversed(nodes):
+        text, own, own_links = _own_text(node)
+        if node.mark != SURE:
+            node.share += _text_points(node, text, own, own_links)
+            if node.parent is not None:
+                node.parent.share += node.share
+    articles = 0.0  # points of articles that nothing casts suspicion on
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
+    suspects = []
+    while todo:
+        node, inside, suspected = todo.pop()
+        if node.drop:
+            continue
+        if node.mark:
+            suspects.append((node, inside))
+        if not inside and node.tag in ("article", "main"):
+            inside, articles = True, articles + node.share * (not suspected)
+        todo.extend((c, inside, suspected or node.mark > 0) for c in node.children if isinstance(c, Node))
+    for node, inside in suspects:
+        holds = node.share if node.mark != SURE else 0.0
+        elsewhere = 0.0 if inside else articles
+        if holds <= KEEP_SHARE[node.mark] * root.share or elsewhere > (holds if node.mark == UNSURE else 0):
+            for x in _walk(node):
+                x.drop = True
+
+
 def _walk(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
@@ -175,8 +252,15 @@ def _own_text(node: Node) -> tuple[str, int, int]:
     return text, len(text), min(linked, len(text))
 
 
+def _text_points(node: Node, text: str, own: int, own_links: int) -> float:
+    """Points of an element's own text: length and commas; none for links and for other elements."""
+    if not own or node.tag not in TEXT_BLOCKS or own_links * 2 > own:
+        return 0.0
+    return min(1.0, own / 25) + text.count(",") + text.count("，") + text.count("、") + min(own / 100, 3.0)
+
+
 def score(root: Node) -> Node | None:
-    """Pass points up the tree; the container with the most, or None if there is no text."""
+    """Pass points up the tree; the container with the most (of equals the first on the page), or None."""
     nodes = _walk(root)
     for node in reversed(nodes):
         text, own, own_links = _own_text(node)
@@ -185,8 +269,7 @@ def score(root: Node) -> Node | None:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
-        if own and node.tag in TEXT_BLOCKS and own_links * 2 <= own:
-            points = min(1.0, own / 25) + text.count(",") + text.count("，") + text.count("、") + min(own / 100, 3.0)
+        if points := _text_points(node, text, own, own_links):
             up, level = (node.parent if node.tag not in ("div", "section", "article", "main", "body", "html") else node), 1
             while up is not None and level <= 6:
                 up.points += points if level == 1 else points / 2 if level == 2 else points / (3 * level)
@@ -209,17 +292,22 @@ def score(root: Node) -> Node | None:
     return best
 
 
-def _blocks(top: Node, out: list[str]) -> None:
-    """Text blocks below ``top`` in page order, without lists of links (cells of a row are one block)."""
+def _blocks(top: Node) -> list[str]:
+    """Text blocks below ``top`` in page order (cells of a row are one block).
+
+    A list of links stays where a heading (not the page's first) or a colon leads to it, or where it
+    stands between other blocks; one that starts or ends the article is a menu.
+    """
     if top.drop:
-        return
+        return []
+    found: list[tuple[str, str, int]] = []  # text, tag, number of the list of links around it
 
-    def flush(held: list[str]) -> None:
+    def flush(held: list[str], node: Node) -> None:
         if text := _SPACE.sub(" ", "".join(held)).strip():
-            out.append(text)
+            found.append((text, node.tag, listed))
         held.clear()
 
-    stack = [(top, iter(top.children), [])]
+    stack, listed, lists, outer = [(top, iter(top.children), [])], 0, 0, None
     while stack:
         node, rest, held = stack[-1]
         c = next(rest, None)
@@ -228,17 +316,33 @@ def _blocks(top: Node, out: list[str]) -> None:
             if node.tag in ("td", "th") and stack and stack[-1][2] is held:
                 held.append(" ")
             else:
-                flush(held)
+                flush(held, node)
+            if node is outer:
+                listed, outer = 0, None
         elif not isinstance(c, Node):
             held.append(c[0])
-        elif c.drop or c.tag in _LINK_LISTS and c.chars and c.link_chars * 2 > c.chars:
-            flush(held)
+        elif c.drop:
+            flush(held, node)
         elif node.tag == "tr" and c.tag in ("td", "th"):
             held.append(" ")
             stack.append((c, iter(c.children), held))
         else:
-            flush(held)
+            flush(held, node)
+            if not listed and c.tag in _LINK_LISTS and c.chars and c.link_chars * 2 > c.chars:
+                lists += 1
+                listed, outer = lists, c
             stack.append((c, iter(c.children), []))
+    last = max((i for i, x in enumerate(found) if not x[2]), default=-1)
+    out: list[str] = []
+    before, begun, stays = ("", ""), False, {0: True}
+    for i, (text, tag, group) in enumerate(found):
+        if group not in stays:
+            led = before[1] in HEADINGS - {"h1"} or before[0].endswith((":", "："))
+            stays[group] = led or begun and i < last
+        if stays[group]:
+            out.append(text)
+            before, begun = (text, tag), begun or tag not in HEADINGS
+    return out
 
 
 def _is_prose(text: str, links: int) -> bool:
@@ -303,17 +407,16 @@ def main_text(page: str | None) -> str:
     best = score(root)
     if best is None:
         return ""
-    top = _widen(best)
-    out: list[str] = []
-    _blocks(top, out)
-    return "\n\n".join(out)
+    return "\n\n".join(_blocks(_widen(best)))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` per page, from its whole html.
 
     A null or empty html, or one without text, gives an empty text.  Pages are handled row by row,
-    so one long page costs its own length only.  Repeated rows stay; an empty table gives none.
+    so one long page costs its own length only, however broken its markup.  Of containers with equal
+    points the first on the page is the article.  Repeated rows stay, other columns don't; an empty
+    table gives none.
     """
 
     def scan(batches):

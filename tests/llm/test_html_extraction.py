@@ -1,6 +1,9 @@
 import html
+import random
 import re
+import time
 
+from corpusgraph.llm import html_extraction as H
 from corpusgraph.llm.html_extraction import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -59,3 +62,87 @@ def test_all_sections_of_pages_without_an_article():
             body = ["<h2>A</h2>", a, *(f"<p>{x}</p>" for x in many), b, "<h2>B</h2>", f"{a}<p>{long}</p>{b}", "<h3><a href=#c>C</a></h3>", "<ul><li>a short item</ul>", f"{a}<p>Yes.</p>{b}", "Loose text.", f"{a}<p>Fin.</p>{b}"]
             got = main_text(f"<html><body>{junk}{open_}{''.join(body)}{close}{end}</body></html>").split("\n\n")
             assert got == ["A", *many, "B", long.strip(), "C", "a short item", "Yes.", "Loose text.", "Fin."], (open_, a)
+
+
+PROSE = "<p>A paragraph, with commas, and words enough to be prose of an article.</p>"
+LINE = PROSE[3:-4]
+
+
+def test_class_words_do_not_empty_a_page():
+    side = '<div class="sidebar"><p>Short, aside.</p></div>'
+    for name in ("content has-sidebar", "post ad-free", "entry no-comments", "tabs-menu content", "main with-widgets", "sidebar-right"):
+        assert main_text(f'<body><div class="{name}">{PROSE * 4}</div>{side}</body>').split("\n\n") == [LINE] * 4, name
+    for name in ("comments", "comment-list", "cookie-notice", "ads"):
+        assert main_text(f'<body><div>{PROSE}</div><div class="{name}">{PROSE * 9}</div></body>') == LINE, name
+    assert main_text(f'<body><article>{PROSE}</article><div class="sidebar-left">{PROSE * 9}</div></body>') == LINE
+
+
+def test_siblings_lists_of_links_headers_and_broken_quotes():
+    assert main_text(f"<body><article>{PROSE}</article><article>{PROSE}</article>") == f"{LINE}\n\n{LINE}"
+    refs = "<ul><li><a href=1>Ref one</a><li><a href=2>Ref two</a></ul>"
+    menu = "<ul><li><a href=1>Home</a><li><a href=2>News</a></ul>"
+    assert main_text(f"<body><div>{menu}{PROSE}<h2>References</h2>{refs}</div>").split("\n\n") == [LINE, "References", "Ref one", "Ref two"]
+    assert main_text(f"<body><div>{menu}{PROSE}{refs}{PROSE}{menu}</div>").split("\n\n") == [LINE, "Ref one", "Ref two", LINE]
+    assert main_text(f"<body><p title='it's broken'>Text, here it's fine.</p>{PROSE}") == f"Text, here it's fine.\n\n{LINE}"
+    assert main_text(f'<p title="open>Text, one, two.</p>{PROSE}') == f"Text, one, two.\n\n{LINE}"
+    assert main_text(f"<body><div><header><h1>Title</h1></header><div>{PROSE}</div></div>") == f"Title\n\n{LINE}"
+    assert main_text(f"<body><header><h1>Site</h1></header><div>{PROSE}</div>") == LINE
+
+
+def test_broken_pages_take_time_in_proportion():
+    def took(page):
+        start = time.process_time()
+        main_text(page)
+        return time.process_time() - start
+
+    assert took("</p>" * 1_000_000) < 10
+    for deep, stray in (("<div>", "</p>"), ("<ul><li><div>", "<li></li>"), ("<div>", "</div><div>")):
+        one, four = (took(deep * n + stray * n) for n in (10_000, 40_000))
+        assert four < 10 * one + 0.5
+
+
+def brute_best(root):
+    """Points of each container by the rule, written as sums over all pairs of a text and an ancestor."""
+    def nodes(x):
+        return [] if x.drop else [x, *(y for c in x.children if isinstance(c, H.Node) for y in nodes(c))]
+
+    def under(x):
+        return [(t, link) for y in nodes(x) for t, _, link in [H._own_text(y)]]
+
+    every, points = nodes(root), {}
+    for x in every:
+        text, own, links = H._own_text(x)
+        if not own:
+            continue
+        worth = min(1, own / 25) + sum(text.count(c) for c in ",，、") + min(own / 100, 3) if x.tag in H.TEXT_BLOCKS and 2 * links <= own else 0
+        up = x if x.tag in ("div", "section", "article", "main", "body", "html") else x.parent
+        if x.tag in H.HEADINGS and x.parent is not None:
+            up, worth = x.parent, 0
+            points[id(up)] = points.get(id(up), 0) + 0.1
+        for level in range(1, 7):
+            if up is not None and worth:
+                points[id(up)] = points.get(id(up), 0) + worth * {1: 1, 2: 1 / 2}.get(level, 1 / (3 * level))
+                up = up.parent
+    value = {}
+    for x in every:
+        chars, links = sum(len(t) for t, _ in under(x)), sum(n for _, n in under(x))
+        value[id(x)] = points.get(id(x), 0) * (1 - links / chars) if chars else 0
+    return max(value.values(), default=0), value
+
+
+def test_scores_match_brute_force_on_random_trees():
+    rng = random.Random(4)
+
+    def tree(depth):
+        kind = rng.choice(["div", "section", "p", "ul", "blockquote", "h2"] if depth else ["p", "li", "h3", "div"])
+        inner = "".join(tree(depth - 1) for _ in range(rng.randrange(1, 4))) if depth and kind not in ("p", "h2") else ""
+        words = " ".join(rng.choice(["word", "a, b,", "<a href=x>link text</a>", "longer words here"]) for _ in range(rng.randrange(0, 9)))
+        return f"<{kind}>{words}{inner}</{kind}>"
+
+    for _ in range(200):
+        page = "<body>" + "".join(tree(3) for _ in range(3))
+        root = H.parse(page)
+        best = H.score(root)
+        most, value = brute_best(root)
+        assert (best is None) == (most <= 0)
+        assert best is None or abs(value[id(best)] - most) < 1e-9

@@ -11,7 +11,8 @@ from corpusgraph.plans.scratch import materialize, shuffle_partitions
 
 
 def long_array(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<bigint>")
+    """A constant array; one literal that the optimizer folds, however many values there are."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
 def global_positions(df: DataFrame, order: list[str], weight: Column, out: str, name: str = "ranged") -> tuple[DataFrame, int]:

@@ -1,16 +1,22 @@
-"""Repeated line runs, found by prefix doubling over the corpus's sequence of line ids.
+"""Repeated line runs, by a suffix array over the corpus's sequence of line ids.
 
 The corpus is one sequence: every document's lines in order, documents by key, a gap after each.
-Doubling names the runs of 1, 2, 4, ... lines that start at every position; a name is the first
-position at which the run occurs, so equal names mean equal runs and a name below its own
-position means an earlier copy.  Positions whose run is unique drop out at each level.  Two
-overlapping runs of a level name any run between it and the next, which gives the intervals of
-positions that share at least a given prefix.
-
-A later copy counts from ``min_words`` words.  A line belongs to a copied run of that size exactly
-if it lies in a copied run that is shortest (from its first line on, or up to its last line) among
-those of ``min_words`` words; these shortest runs are the prefixes that are looked up, and longer
-ones need no further level: their lines are the union of the shortest ones within.
+Prefix doubling ranks its suffixes: by their first line, then by 2, 4, 8, ... lines, each time by
+sorting the pairs of the ranks of their two halves.  A rank is the number of suffixes that sort
+before; suffixes of one rank share the whole prefix, and one whose prefix is unique drops out, for
+it has no common prefix of that length with any other.  All lines that occur once drop out at the
+start.
+
+The suffixes that share a prefix of m lines are neighbours in this order, the longest-common-prefix
+interval of depth m: those that agree in the rank of the first 2^t lines and in the rank of the
+last 2^t of the m lines, 2^t <= m < 2^(t+1).  The least position of an interval is the first copy;
+at all others the run is a later copy.
+
+A later copy counts from ``min_words`` words.  Depths are looked up where they matter: a line lies
+in a copied run of that size exactly if it lies in one that is shortest (from its first line on, or
+up to its last line) among those of ``min_words`` words.  Overlapping copies merge into the maximal
+repeated runs, whose lines are deleted.  Doubling ends at the deepest such lookup, as deeper
+intervals lie within these.
 """
 
 from __future__ import annotations
@@ -20,11 +26,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.plans.positions import global_positions
 from corpusgraph.plans.scratch import materialize
+from corpusgraph.plans.skew import free_name, join_groups
 
-#: Tables of at most so many bytes travel to the lines or texts; beyond, both sides are shuffled.
-BROADCAST_BYTES = 32 << 20
-#: What a row of a name table takes in a broadcast hash table (keys, name, and its own overhead).
-ROW_BYTES = 100
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -46,23 +49,18 @@ def _positions(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return placed.select("d", "th", "start"), lines
 
 
-def _named(runs: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Rows of the runs that occur twice or more, with the first position of each as ``out``.
+def rank_suffixes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` occur twice or more, with ``rank``: how many such rows sort before them.
 
-    Names are pre-aggregated and written.  A table of at most BROADCAST_BYTES travels to the rows;
-    a larger one is joined by a shuffle of both sides, whose large partitions Spark can split: a
-    very common run has one name and many rows.
+    Only distinct keys are sorted, with their counts; rows of a very common key never meet.
     """
-    seen = runs.groupBy(*keys).agg(F.min("pos").alias(out), F.count("*").alias("n")).where("n > 1").drop("n")
-    seen = materialize(seen, "line-seen")
-    if seen.count() * ROW_BYTES <= BROADCAST_BYTES:
-        seen = F.broadcast(seen)
-    return runs.join(seen, keys)
+    groups = materialize(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"), "line-groups")
+    ranked, _ = global_positions(groups, keys, F.col("n"), "rank", "line-ranks")
+    return join_groups(rows, ranked, keys)
 
 
-def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """``(start, first, last)``: shortest runs of ``min_words`` words that occur earlier too."""
-    named = materialize(_named(lines, ["a", "b"], "name").select("start", "pos", "w", "name"), "line-names")
+def _shortest_runs(named: DataFrame, min_words: int) -> DataFrame:
+    """``(start, pos, last, m)``: runs of ``min_words`` words, shortest from a line on or up to a line."""
     # only unbroken stretches of repeated lines can be copies
     by_pos = Window.partitionBy("start").orderBy("pos")
     stretch = named.withColumn("stretch", F.col("pos") - F.row_number().over(by_pos)).withColumn(
@@ -80,53 +78,70 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
         F.when(F.col("after") - F.col("s_before") >= min_words, F.struct(F.col("s_pos").alias("pos"), F.col("pos").alias("last"))),
     )
     runs = found.select("start", F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("x")).select("start", "x.*")
-    runs = materialize(runs.distinct().withColumn("m", F.col("last") - F.col("pos") + 1), "line-runs")
-    longest = runs.agg(F.max("m")).first()[0]
-    if longest is None:
+    return materialize(runs.distinct().withColumn("m", F.col("last") - F.col("pos") + 1), "line-runs")
+
+
+def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """``(start, first, last)``: shortest runs of ``min_words`` words that occur earlier too."""
+    named = materialize(rank_suffixes(lines, ["a", "b"]).select("start", "pos", "w", "rank"), "line-suffixes")
+    runs = _shortest_runs(named, min_words)
+    deepest = runs.agg(F.max("m")).first()[0]
+    if deepest is None:
         return runs.select("start", F.col("pos").alias("first"), "last")
-    levels, level, size = [named.select("pos", "name", F.lit(0).alias("level"))], named.select("pos", "name"), 1
-    while size * 2 <= longest:
-        right = level.select((F.col("pos") - size).alias("pos"), F.col("name").alias("right"))
-        both = materialize(level.withColumnRenamed("name", "left").join(right, "pos"), "line-pairs")
-        level = materialize(_named(both, ["left", "right"], "name").select("pos", "name"), "line-names")
+    level = named.select("pos", "rank")
+    levels, size = [level.withColumn("level", F.lit(0))], 1
+    while size * 2 <= deepest:
+        half = level.select((F.col("pos") - size).alias("pos"), F.col("rank").alias("right"))
+        both = materialize(level.withColumnRenamed("rank", "left").join(half, "pos"), "line-pairs")
+        level = materialize(rank_suffixes(both, ["left", "right"]).select("pos", "rank"), "line-suffixes")
         size *= 2
         levels.append(level.withColumn("level", F.lit(len(levels))))
-    names = levels[0]
+    ranks = levels[0]
     for x in levels[1:]:
-        names = names.union(x)
-    steps = [2**t for t in range(1, len(levels))]
-    t = sum((F.when(F.col("m") >= s, 1).otherwise(0) for s in steps), F.lit(0))
+        ranks = ranks.unionByName(x)
+    t = sum((F.when(F.col("m") >= 2**k, 1).otherwise(0) for k in range(1, len(levels))), F.lit(0))
     keyed = runs.withColumn("level", t).withColumn("tail", F.col("last") + 1 - F.pow(F.lit(2.0), F.col("level")).cast("long"))
-    head = names.withColumnRenamed("name", "left")
-    tail = names.select("level", F.col("pos").alias("tail"), F.col("name").alias("right"))
-    cls = materialize(keyed.join(head, ["level", "pos"]).join(tail, ["level", "tail"]).select("start", "pos", "last", "m", "left", "right"), "line-classes")
-    return _named(cls, ["m", "left", "right"], "origin").where("origin < pos").select("start", F.col("pos").alias("first"), "last")
+    head = ranks.withColumnRenamed("rank", "left")
+    tail = ranks.select("level", F.col("pos").alias("tail"), F.col("rank").alias("right"))
+    depth = materialize(keyed.join(head, ["level", "pos"]).join(tail, ["level", "tail"]).select("start", "pos", "last", "m", "left", "right"), "line-depths")
+    interval = ["m", "left", "right"]
+    intervals = materialize(depth.groupBy(*interval).agg(F.min("pos").alias("origin"), F.count("*").alias("n")).where("n > 1"), "line-intervals")
+    return join_groups(depth, intervals, interval).where("origin < pos").select("start", F.col("pos").alias("first"), "last")
+
 
+def maximal_runs(runs: DataFrame) -> DataFrame:
+    """``(start, first, last)`` of the merged runs of every document: the maximal repeated runs."""
+    order = Window.partitionBy("start").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = runs.withColumn("new", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1)))
+    run = fresh.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("start", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
-    """Delete later copies of line runs of ``min_words`` words or more; adds ``_n_lines``, ``_n_deleted``.
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50, counts: tuple[str, str] | None = ("_n_lines", "_n_deleted")) -> DataFrame:
+    """Delete later copies of line runs of ``min_words`` words or more; adds two ``counts`` (lines, deleted ones).
 
     "Later" is by (key, hash of the text, line): the first copy of a run in that order stays,
     nulls in the key first.  A copy within the same document counts.  Rows that repeat both key
     and text get the same result as their twin.  Null texts stay null, empty ones empty; a
-    document whose lines all go keeps an empty text.  Other columns pass through.
+    document whose lines all go keeps an empty text.  Long texts and long stretches of blank lines
+    cost in proportion.  All other columns pass through, whatever their names, in their order;
+    names in ``counts`` that the table has already get underscores before them (None: no counts).
     """
     places, lines = _positions(docs, key, text)
-    runs = repeated_runs(lines, min_words)
-    gone = runs.groupBy("start").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence((F.col("first") - F.col("start")).cast("int"), (F.col("last") - F.col("start")).cast("int"))))).alias("__gone")
-    )
-    gone = materialize(places.join(gone, "start").select(F.col("d").alias("__d"), F.col("th").alias("__th"), "__gone"), "line-gone")
-    n_bytes = gone.agg(F.coalesce(F.sum(F.size("__gone") * 4 + 64), F.lit(0))).first()[0]
-    if n_bytes <= BROADCAST_BYTES:  # else both sides are shuffled on the key
-        gone = F.broadcast(gone)
-    out = docs.withColumn("__t", F.xxhash64(text))
-    out = out.join(gone, out[key].eqNullSafe(gone["__d"]) & (out["__t"] == gone["__th"]), "left")
-    parts = _lines(F.col(text))
-    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("__gone")), lambda i: F.get(p, i)), "\n"))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.element_at(kept, 1))
-    return (
-        out.withColumn("_n_lines", F.coalesce(F.regexp_count(F.col(text), F.lit("\n")) + 1, F.lit(0)).cast("long"))
-        .withColumn("_n_deleted", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn(text, new).drop("__d", "__th", "__t", "__gone")
+    d, th, gone, parts = (free_name(docs, x) for x in ("_gone_key", "_gone_text", "_gone", "_parts"))
+    per_doc = maximal_runs(repeated_runs(lines, min_words)).groupBy("start").agg(
+        F.collect_list(F.struct((F.col("first") - F.col("start")).cast("int").alias("a"), (F.col("last") - F.col("start")).cast("int").alias("b"))).alias(gone)
     )
+    found = materialize(places.join(per_doc, "start").select(F.col("d").alias(d), F.col("th").alias(th), gone), "line-gone")
+    # the side of the deletions is built in memory a partition at a time; texts are dealt, not sorted
+    out = docs.join(found.hint("shuffle_hash"), docs[key].eqNullSafe(found[d]) & (F.xxhash64(docs[text]) == found[th]), "left")
+    cut = F.flatten(F.transform(F.col(gone), lambda r: F.sequence(r["a"], r["b"])))
+    kept = F.transform(F.array(_lines(F.col(text))), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), cut), lambda i: F.get(p, i)), "\n"))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.element_at(kept, 1))
+    columns = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
+    if counts is not None:
+        n_lines = F.coalesce(F.regexp_count(F.col(text), F.lit("\n")) + 1, F.lit(0)).cast("long")
+        n_gone = F.coalesce(F.aggregate(gone, F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0)).cast("long")
+        columns += [n_lines.alias(free_name(docs, counts[0])), n_gone.alias(free_name(docs, counts[1]))]
+    return out.select(*columns)

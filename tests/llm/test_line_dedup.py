@@ -1,7 +1,7 @@
 import random
 import re
 
-import pytest
+from pyspark.sql import functions as F
 
 from corpusgraph.llm import line_dedup as L
 
@@ -43,9 +43,7 @@ def test_matches_brute_force(spark):
         assert [got[i] for i, _ in docs] == want
 
 
-@pytest.mark.parametrize("broadcast", [L.BROADCAST_BYTES, -1])
-def test_nulls_repeats_and_columns(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(L, "BROADCAST_BYTES", broadcast)
+def test_nulls_repeats_and_columns(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, "head\n" + passage, "p"), (2, passage + "\ntail", "q"), (2, passage + "\ntail", "q"), (3, None, "r"), (None, passage, None), (4, "", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")
@@ -54,3 +52,29 @@ def test_nulls_repeats_and_columns(spark, monkeypatch, broadcast):
     got = sorted((str(r.doc_id), r.text, r._n_deleted) for r in out.collect() if r.text is not None)
     assert got == [("1", "head", 1), ("2", "tail", 1), ("2", "tail", 1), ("4", "", 0), ("None", passage, 0)]
     assert L.dedup_lines(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit("kept") for c in ("_n_lines", "_gone", "_gone_key", "_gone_text", "d", "th")})
+    out = L.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "__n_lines", "_n_deleted"]
+    assert {r[0] for r in out.select("_n_lines").union(out.select("_gone")).collect()} == {"kept"}
+    assert L.dedup_lines(clash, counts=None).columns == clash.columns
+
+
+def test_heavy_groups_long_texts_and_blank_lines(spark):
+    """A line in a third of all rows, a run in many texts, and a copied stretch of many blank lines."""
+    common = [" ".join(f"c{i}x{j}" for j in range(12)) for i in range(6)]
+    docs = [(i, "\n".join([common[0], f"own line {i}", *(common if i % 3 == 0 else common[:3])])) for i in range(1500)]
+    blank = "first " * 30 + "\n" * 3000 + "last " * 30
+    docs += [(5000, blank), (5001, "head\n" + blank + "\ntail"), (5002, "long text\n" + "word " * 200_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
+    assert got[0] == docs[0][1] and got[3] == f"{common[0]}\nown line 3"
+    assert got[1] == docs[1][1] and got[5000] == blank and got[5002] == docs[-1][1]
+    assert got[5001] == "head\ntail"
+
+
+def test_ranks_are_places_in_the_sorted_order(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(5), rng.randrange(4)) for i in range(200)] + [(999, 9, 9)]
+    got = {r.pos: r["rank"] for r in L.rank_suffixes(spark.createDataFrame(rows, "pos long, left long, right long"), ["left", "right"]).collect()}
+    pairs = sorted((x, y) for _, x, y in rows if sum((a, b) == (x, y) for _, a, b in rows) > 1)
+    assert got == {p: pairs.index((x, y)) for p, x, y in rows if (x, y) in pairs}

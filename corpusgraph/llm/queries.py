@@ -124,6 +124,21 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
 """.replace("@LABELS@", ", ".join(f"'{x}'" for x in url_filters.LISTED_LABELS))
 
 
+_OP6 = r"""
+WITH s0 AS (SELECT list_transform(range(256), lambda n: n::BIGINT) AS v),
+@STEPS@,
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+b AS (SELECT rid, unnest(regexp_extract_all(hex(encode(x)), '..')) AS y, generate_subscripts(regexp_extract_all(hex(encode(x)), '..'), 1) AS i FROM d),
+c AS (SELECT rid, list(('0x' || y)::BIGINT ORDER BY i) AS bytes FROM b GROUP BY rid),
+k AS (SELECT d.rid, doc_id, octet_length(encode(x))::BIGINT + 16 AS size, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h,
+        xor(list_reduce(coalesce(bytes, []::BIGINT[]), lambda crc, byte: xor(crc >> 8, v[(xor(crc, byte) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32
+      FROM d LEFT JOIN c USING (rid), s8),
+r AS (SELECT *, (sum(size) OVER o - size)::BIGINT AS before, row_number() OVER o AS place, (sum(size) OVER ())::BIGINT AS total FROM k WINDOW o AS (ORDER BY h, doc_id NULLS FIRST, rid)),
+g AS (SELECT *, min(before) OVER (PARTITION BY h) AS begun FROM r),
+q AS (SELECT *, least(39, (CASE WHEN before - begun <= total * 5 // 4000 THEN begun ELSE before END) * 40 // total)::INTEGER AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM q
+""".replace("@STEPS@", ",\n".join(f"s{i} AS (SELECT list_transform(v, lambda n: CASE WHEN n & 1 = 1 THEN xor(n >> 1, 3988292384) ELSE n >> 1 END) AS v FROM s{i - 1})" for i in range(1, 9)))
+
 _OP9 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -146,4 +161,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10}
+    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5, "op6_sharding": _OP6, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10}

@@ -1,18 +1,20 @@
 """WARC archives with a two-level capture index.
 
 Records go to archives in the order in which partitions hold the pages.  The index has one line
-per capture, sorted by reversed-host URL key and page id, in compressed blocks; the directory has
-the first key and the byte range of each block.  A lookup searches the directory in memory, reads
-one block, and then reads one record.
+per capture, sorted by reversed-host URL key and page id, in compressed blocks.  A sparse directory
+has the first key and the byte range of each block; it is kept in slices, one beside each index
+file, and the first keys of the slices are all that travels.  A lookup finds the slice, searches its
+directory, then one block, and then reads the byte range of the record.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -55,8 +57,8 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One compressed record.  A revisit carries the HTTP head only and names its response."""
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One compressed record.  A revisit carries the HTTP head only and names its response and its url."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
     head = [
@@ -64,7 +66,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
         f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Target-URI: {_clean(refers_url)}", f"X-Refers-To-Page-ID: {refers_to}"]
     return _gzip("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
 
 
@@ -86,13 +88,14 @@ def _classify(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
     long_enough = F.octet_length("payload") >= MIN_REVISIT_BYTES
-    seen = p.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    response = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    seen = p.where(long_enough).groupBy("digest").agg(response.alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     seen = materialize(seen, "warc-copies")
-    if seen.count() * 100 <= BROADCAST_BYTES:
+    if (seen.agg(F.sum(F.coalesce(F.octet_length("first_url"), F.lit(0)) + 160)).first()[0] or 0) <= BROADCAST_BYTES:
         seen = F.broadcast(seen)
     p = p.join(seen, "digest", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"))
+    return p.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
 
 
 CAPTURE = "key string, page_id long, file string, at long, size long"
@@ -111,13 +114,13 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         sink, name, at = None, "", 0
         for batch in batches:
             rows = []
-            for page_id, u, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, u, payload, digest, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sink is None or at > ARCHIVE_BYTES:
                     if sink is not None:
                         sink.close()
                     name, at = f"pages-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.gz", 0
                     sink = fs.open_output_stream(f"{base}/{name}", compression=None)
-                record = make_record(page_id, u, payload, digest, "response" if refers_to is None else "revisit", refers_to)
+                record = make_record(page_id, u, payload, digest, "response" if refers_to is None else "revisit", refers_to, refers_url)
                 sink.write(record)
                 rows.append((url_key(u), page_id, name, at, len(record)))
                 at += len(record)
@@ -128,29 +131,35 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     return materialize(_classify(pages, key, url, html).mapInArrow(scan, CAPTURE), "warc-captures")
 
 
-DIRECTORY = "key string, page_id long, file string, at long, size long, n long"
+SLICE = "key string, page_id long, file string, n_blocks long, n long"
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort captures into compressed index blocks; returns the directory, one row per block."""
+    """Sort captures into compressed index blocks; returns the slices of the directory, one row a file.
+
+    Beside ``index-….gz`` lies ``index-….dir``: a line per block with its first key and byte range.
+    """
 
     def scan(batches):
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
-        sink, name, at, held, rows = None, "", 0, [], []
+        name = f"index-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}"
+        sink, at, held, lines, n = None, 0, [], [], 0
 
         def flush():
-            nonlocal sink, name, at, held
+            nonlocal sink, at, held
             if sink is None:
-                name = f"index-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.gz"
-                sink = fs.open_output_stream(f"{base}/{name}", compression=None)
+                sink = fs.open_output_stream(f"{base}/{name}.gz", compression=None)
             block = _gzip("\n".join(f"{k} {'' if i is None else i} {f} {a} {s}" for k, i, f, a, s in held).encode())
             sink.write(block)
-            rows.append((held[0][0], held[0][1], name, at, len(block), len(held)))
+            lines.append(json.dumps([held[0][0], held[0][1], at, len(block)]))
             at, held = at + len(block), []
 
+        first = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = first or row
+                n += 1
                 held.append(row)
                 if len(held) == BLOCK_LINES:
                     flush()
@@ -158,27 +167,32 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             flush()
         if sink is not None:
             sink.close()
-        if rows:
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "page_id", "file", "at", "size", "n"])
+            with fs.open_output_stream(f"{base}/{name}.dir", compression=None) as out:
+                out.write(_gzip("\n".join(lines).encode()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((first[0], first[1], name, len(lines), n), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "file", "n_blocks", "n"])
 
     n = shuffle_partitions(captures.sparkSession)
     ordered = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return materialize(ordered.mapInArrow(scan, DIRECTORY), "warc-directory")
+    return materialize(ordered.mapInArrow(scan, SLICE), "warc-slices")
+
+
+def load_slices(slices: DataFrame) -> list[tuple[str, int | None, str]]:
+    """First key, page id and file of each slice, in order: one row per index file, of which there are as many as partitions."""
+    rows = ((r["key"], r["page_id"], r["file"]) for r in slices.collect())
+    return sorted(rows, key=lambda r: Reader.order(r[0], r[1]))
 
 
 class Reader:
-    """Range reads of blocks and records, with the last blocks kept."""
+    """Lookups by binary search in slices, directory and block, then range reads; the last ones stay open."""
 
-    def __init__(self, folder: str, directory: list[tuple[str, int | None, str, int, int]] | None = None):
+    def __init__(self, folder: str, slices: list[tuple[str, int | None, str]]):
         self.fs, self.base = _open(folder)
         self.files: OrderedDict = OrderedDict()
-        self.blocks: OrderedDict = OrderedDict()
-        self.directory = directory or []
-        self.keys = [self._order(k, i) for k, i, *_ in self.directory]
+        self.held: OrderedDict = OrderedDict()
+        self.slices = [(self.order(k, i), f) for k, i, f in slices]
 
     @staticmethod
-    def _order(key: str, page_id: int | None) -> tuple[bytes, int]:
+    def order(key: str, page_id: int | None) -> tuple[bytes, int]:
         return key.encode(), _NO_ID if page_id is None else page_id
 
     def read(self, file: str, at: int, size: int) -> bytes:
@@ -188,48 +202,94 @@ class Reader:
             self.files.popitem(last=False)[1].close()
         return f.read_at(size, at)
 
-    def block(self, file: str, at: int, size: int) -> list[tuple[str, int | None, str, int, int]]:
-        where = (file, at)
-        if where not in self.blocks:
-            lines = zlib.decompress(self.read(file, at, size), 31).decode().split("\n")
-            split = (x.split(" ") for x in lines)
-            self.blocks[where] = [(k, int(i) if i else None, f, int(a), int(s)) for k, i, f, a, s in split]
-            if len(self.blocks) > 128:
-                self.blocks.popitem(last=False)
-        return self.blocks[where]
-
-    def lookup(self, key: str, page_id: int | None) -> tuple[dict[str, str], bytes] | None:
-        """The record of a capture: directory search, one block, one record."""
-        want = self._order(key, page_id)
-        i = bisect_right(self.keys, want) - 1
-        if i < 0:
-            return None
-        _, _, file, at, size = self.directory[i]
-        block = self.block(file, at, size)
-        j = bisect_right(block, want, key=lambda e: self._order(e[0], e[1])) - 1
-        if j < 0 or self._order(block[j][0], block[j][1]) != want:
-            return None
-        return parse_record(self.read(*block[j][2:]))
+    def _keep(self, where: tuple, load) -> list:
+        if where not in self.held:
+            self.held[where] = load()
+            if len(self.held) > 128:
+                self.held.popitem(last=False)
+        self.held.move_to_end(where)
+        return self.held[where]
+
+    def directory(self, file: str) -> list[tuple[tuple[bytes, int], int, int]]:
+        """Order, start and size of each block of one index file."""
+
+        def load():
+            with self.fs.open_input_stream(f"{self.base}/{file}.dir", compression=None) as f:
+                rows = map(json.loads, zlib.decompress(f.read(), 31).decode().split("\n"))
+            return [(self.order(k, i), at, size) for k, i, at, size in rows]
+
+        return self._keep((file, -1), load)
+
+    def block(self, file: str, at: int, size: int) -> list[tuple[tuple[bytes, int], str, int, int]]:
+        """Order, archive, start and size of each capture of a block."""
+
+        def load():
+            split = (x.split(" ") for x in zlib.decompress(self.read(f"{file}.gz", at, size), 31).decode().split("\n"))
+            return [(self.order(k, int(i) if i else None), f, int(a), int(s)) for k, i, f, a, s in split]
+
+        return self._keep((file, at), load)
+
+    def lookup(self, key: str, page_id: int | None) -> Iterator[bytes]:
+        """The compressed records of a capture: the one, or all of those that repeat its key and id."""
+        want = self.order(key, page_id)
+        s = max(0, bisect_left(self.slices, want, key=lambda x: x[0]) - 1)
+        for i in range(s, len(self.slices)):
+            if self.slices[i][0] > want:
+                return
+            blocks = self.directory(self.slices[i][1])
+            b = max(0, bisect_left(blocks, want, key=lambda x: x[0]) - 1)
+            for j in range(b, len(blocks)):
+                first, at, size = blocks[j]
+                if first > want:
+                    return
+                lines = self.block(self.slices[i][1], at, size)
+                for k in range(bisect_left(lines, want, key=lambda x: x[0]), len(lines)):
+                    if lines[k][0] != want:
+                        return
+                    yield self.read(*lines[k][1:])
+
+    def payload(self, key: str, page_id: int | None) -> bytes | None:
+        """A capture's payload; that of a revisit is its response's, looked up in its turn."""
+        for data in self.lookup(key, page_id):
+            fields, payload = parse_record(data)
+            if fields["WARC-Type"] == "response":
+                return payload
+            return self.payload(url_key(fields["WARC-Refers-To-Target-URI"]), int(fields["X-Refers-To-Page-ID"]))
+        return None
 
 
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark: SparkSession, folder: str, directory: DataFrame) -> DataFrame:
-    """Every capture of the index, read back by block and record; a response's digest is checked
-    on its payload, and a revisit takes its payload's length from the HTTP head it repeats."""
+def read_archives(pages: DataFrame, folder: str, slices: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """Look every page's capture up by url key and page id, and read its record.
+
+    Requests are dealt by ranges of the key, as the index is, so a task's lookups stay within a few
+    slices and go through their blocks in order.  A response's digest is checked on its payload;
+    a revisit takes its payload's length from the HTTP head that it repeats.
+    """
+    known = load_slices(slices)
+
+    def ask(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(1).to_pylist()], pa.string()), batch.column(0)], names=["key", "page_id"])
 
     def scan(batches):
-        reader = Reader(folder)
+        reader = Reader(folder, known)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for batch in batches:
-            for _, _, file, at, size, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = []
-                for _, page_id, f, a, s in reader.block(file, at, size):
-                    rows.append(_describe(page_id, reader.read(f, a, s)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            rows: list[tuple] = []
+            for k, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before = len(rows)
+                rows += (_describe(page_id, data) for data in reader.lookup(k, page_id))
+                if len(rows) == before:
+                    raise ValueError(f"the index has no capture of page {page_id}")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return directory.repartition(shuffle_partitions(spark), "file", "at").mapInArrow(scan, RESULT)
+    asked = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url")).mapInArrow(ask, "key string, page_id long")
+    asked = materialize(asked.distinct(), "warc-requests")
+    n = shuffle_partitions(pages.sparkSession)
+    return asked.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(scan, RESULT)
 
 
 def _describe(page_id: int | None, data: bytes) -> tuple:
@@ -248,14 +308,6 @@ def _describe(page_id: int | None, data: bytes) -> tuple:
     return page_id, n, digest, kind, int(fields["X-Refers-To-Page-ID"])
 
 
-def load_directory(directory: DataFrame, max_blocks: int = 1_000_000) -> list[tuple]:
-    """The sparse directory, in key order, for a reader's memory (refused beyond ``max_blocks``)."""
-    if (n := directory.count()) > max_blocks:
-        raise ValueError(f"{n} blocks; look captures up by a join with the directory's ranges instead")
-    rows = ((r["key"], r["page_id"], r["file"], r["at"], r["size"]) for r in directory.collect())
-    return sorted(rows, key=lambda r: Reader._order(r[0], r[1]))
-
-
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> tuple[str, DataFrame]:
     """Write archives and their index under ``folder`` (else the shared scratch folder)."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
@@ -263,15 +315,16 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Archive all pages, then read every record back through the index.
+    """Archive all pages, then look every page up in the index and read its record back.
 
     A null html is an empty payload; null urls index under the empty key.  Of rows with an equal
     payload of 100 bytes or more the one with the smallest page id is the response (all of them,
     where rows repeat that id); rows without an id revisit it, and are responses if none has one.
-    An empty table gives an empty result.
+    Long payloads are handled one record at a time; other columns don't stay.  An empty table gives
+    an empty result.
     """
-    folder, directory = archive_pages(pages, key, url, html)
-    return read_archives(pages.sparkSession, folder, directory)
+    folder, slices = archive_pages(pages, key, url, html)
+    return read_archives(pages, folder, slices, key, url)
 
 
 def iterate(folder: str, file: str) -> Iterator[dict[str, str]]:

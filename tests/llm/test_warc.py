@@ -36,17 +36,25 @@ def test_round_trip_matches_brute_force(spark):
 
 def test_lookup_through_both_levels(spark):
     data = [r for r in rows() if r[0] is not None]
-    folder, directory = W.archive_pages(spark.createDataFrame(data, SCHEMA))
-    assert directory.count() >= 3
-    reader = W.Reader(folder, W.load_directory(directory))
+    folder, slices = W.archive_pages(spark.createDataFrame(data, SCHEMA))
+    known = W.load_slices(slices)
+    assert len(known) > 1 and slices.agg({"n": "sum"}).first()[0] == len(data) and slices.agg({"n_blocks": "sum"}).first()[0] >= 3
+    reader = W.Reader(folder, known)
     for i, url, html, _ in data[::17]:
-        fields, payload = reader.lookup(W.url_key(url), i)
+        (fields, payload), *_ = map(W.parse_record, reader.lookup(W.url_key(url), i))
         assert fields["X-Page-ID"] == str(i)
         if fields["WARC-Type"] == "response":
             assert payload == (html or "").encode()
-    assert reader.lookup("com,absent)/", 1) is None
-    files = {r.file for r in directory.select("file").distinct().collect()}
-    assert files and all(f.startswith("index-") for f in files)
+        assert reader.payload(W.url_key(url), i) == (html or "").encode()
+    assert reader.payload(W.url_key(None), 801) == LONG.encode()  # through the response
+    assert list(reader.lookup("com,absent)/", 1)) == list(reader.lookup("", 1)) == [] and reader.payload("zz", 5) is None
+
+
+def test_captures_that_repeat_and_long_payloads(spark):
+    """One key and id in many rows (over blocks and files), and a long page."""
+    data = [(5, "http://h/", f"payload {i} " * 3, None) for i in range(900)] + [(6, "http://h/z", "é" * 2_000_000, None), (None, "http://h/", "", None)]
+    got = W.round_trip(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in got), key=str) == brute(data)
 
 
 def test_url_keys():

@@ -23,7 +23,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.filter_urls(_read(spark, sf_dir, "pages"))
+    pages = _read(spark, sf_dir, "pages")
+    return url_filters.filter_urls(pages, url_filters.label_list(pages))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.plans.scratch import materialize
+from corpusgraph.plans.skew import free_name
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,39 +35,22 @@ def matching_rule(host: Column, path: Column, rules=tuple(RULES)) -> tuple[Colum
     return rule, verdict
 
 
-@dataclass
-class Level:
-    words: list[int]
-    bits: int
-    hashes: int
-    salt: int
-
-    def holds(self, key: Column) -> Column:
-        """Whether all probed bits are set; false positives are possible, misses are not."""
-        table = F.array(*[F.lit(w).cast("long") for w in self.words])
-        out = F.lit(True)
-        for at in _probes(self, key):
-            out = out & (F.getbit(F.get(table, (at / 64).cast("int")), F.pmod(at, F.lit(64).cast("long")).cast("int")) == 1)
-        return out
+#: Bits in a byte of a filter: seven, so that every byte is a character by itself.
+BYTE_BITS = 7
+#: Keys of a part of the filters, on average; filters of at most so many bytes are sent to the rows.
+KEYS_PER_PART, SENT_BYTES = 65_536, 32 << 20
 
 
-def _probes(level: Level, key: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(level.salt), F.lit(i), key), F.lit(level.bits).cast("long")) for i in range(level.hashes)]
+def _probes(key: Column, salt: int, hashes: int, n_bytes: Column) -> list[Column]:
+    """The bits that a key has in a filter of ``n_bytes``: one hash, and a second one as the step."""
+    part = F.lit(2**58 - 1).cast("long")  # no sum of these overflows
+    first, step = F.xxhash64(F.lit(salt), key).bitwiseAND(part), F.xxhash64(F.lit(salt), F.lit("step"), key).bitwiseAND(part)
+    return [(first + F.lit(i).cast("long") * step) % (n_bytes * BYTE_BITS) for i in range(hashes)]
 
 
-def _fill(keys: DataFrame, n: int, salt: int, bits_per_key: int, hashes: int) -> Level:
-    bits = max(64, -(-n * bits_per_key // 64) * 64)
-    level = Level([], bits, hashes, salt)
-    words = (
-        keys.select(F.explode(F.array(*_probes(level, F.col("key")))).alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("v"))
-        .collect()
-    )
-    table = [0] * (bits // 64)
-    for r in words:
-        table[r["w"]] = r["v"]
-    level.words = table
-    return level
+def _has_bit(table: Column, at: Column) -> Column:
+    byte = F.ascii(F.substring(table, (F.floor(at / BYTE_BITS) + 1).cast("int"), F.lit(1)).cast("string"))
+    return F.getbit(byte, (at % BYTE_BITS).cast("int")) == 1
 
 
 class BloomCascade:
@@ -76,65 +58,131 @@ class BloomCascade:
 
     Level 1 encodes the listed keys, level 2 the unlisted keys that pass level 1, level 3 the
     listed keys that pass level 2, and so on until no key passes wrongly.  A key's answer is the
-    parity of the first level that it fails.  Sizes shrink geometrically.  Filters travel as
-    literals only while they stay under ``max_filter_bytes`` in total; beyond it ``verdict`` joins
-    with the listed keys instead (same answers, one shuffle).
+    parity of the first level that it fails.  Sizes shrink geometrically.
+
+    Keys are dealt to parts by their hash, and every part has filters of its own: ``filters`` has a
+    row per part with a binary value per level.  A row meets the filters of its key's part, never a
+    list of keys.  The filters are sent to the rows while they are under SENT_BYTES, which is
+    checked; beyond, rows and filters are dealt by part, and by a salt besides, so that a key with
+    a third of all rows is spread out.
     """
 
-    def __init__(self, universe: DataFrame, bits_per_key: int = 10, hashes: int = 5, max_filter_bytes: int = 1 << 20, max_levels: int = 24):
+    def __init__(self, universe: DataFrame, bits_per_key: int = 10, hashes: int = 5, keys_per_part: int = KEYS_PER_PART, max_levels: int = 24):
         """``universe``: distinct non-null ``key`` with boolean ``listed``."""
-        self.levels: list[Level] = []
-        self.joined: DataFrame | None = None
-        self.start = False
+        self.hashes, self.bits, self.n_levels = hashes, bits_per_key, 0
         rest = materialize(universe.select("key", "listed"), "bloom-keys")
-        counts = {r["listed"]: r["n"] for r in rest.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-        if not counts.get(True):
-            return
-        if counts[True] * bits_per_key // 8 * 2 > max_filter_bytes:
-            self.joined = rest.where("listed").select("key")
-            return
-        encode = True
-        for depth in range(max_levels):
-            n = counts.get(encode, 0)
-            level = _fill(rest.where(F.col("listed") == encode), n, depth, bits_per_key, hashes)
-            self.levels.append(level)
-            passing = rest.where((F.col("listed") == encode) | level.holds(F.col("key")))
-            rest = materialize(passing, "bloom-keys")
-            counts = {r["listed"]: r["n"] for r in rest.groupBy("listed").agg(F.count("*").alias("n")).collect()}
-            if not counts.get(not encode):
-                return
+        counts = self._counts(rest)
+        self.n_parts = sum(counts.values()) // keys_per_part + 1
+        levels, encode = [], True
+        while counts.get(True) and counts.get(encode):
+            if self.n_levels == max_levels:
+                raise RuntimeError("the cascade did not end; raise bits_per_key")
+            level = materialize(self._fill(rest.where(F.col("listed") == encode), self.n_levels), "bloom-filters")
+            levels.append(level)
+            # the keys of a part meet its filter: listed ones stay for the next level, the others if they pass
+            met = rest.withColumn("part", self.part(F.col("key"))).join(self._sent(level), "part", "left")
+            passing = met.where((F.col("listed") == encode) | self._holds(F.col("key"), F.col("filter"), self.n_levels))
+            self.n_levels += 1
+            rest = materialize(passing.select("key", "listed"), "bloom-keys")
+            counts = self._counts(rest)
             encode = not encode
-        raise RuntimeError("the cascade did not end; raise bits_per_key")
-
-    def holds(self, key: Column) -> Column:
-        out = F.lit(len(self.levels) % 2 == 1)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            out = F.when(self.levels[depth].holds(key), out).otherwise(F.lit(depth % 2 == 1))
-        return out
-
-    def mark(self, df: DataFrame, key: str, out: str) -> DataFrame:
+            if not counts.get(encode):
+                break
+        self.filters = None
+        for depth, level in enumerate(levels):
+            level = level.withColumnRenamed("filter", f"filter{depth}")
+            self.filters = level if self.filters is None else self.filters.join(level, "part", "full")
+        if self.filters is not None:
+            self.filters = materialize(self.filters, "bloom-filters")
+
+    @staticmethod
+    def _counts(keys: DataFrame) -> dict[bool, int]:
+        return {r["listed"]: r["n"] for r in keys.groupBy("listed").agg(F.count("*").alias("n")).collect()}
+
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(self.n_parts).cast("long")).cast("int")
+
+    def _fill(self, keys: DataFrame, salt: int) -> DataFrame:
+        """``(part, filter)``: bits of the keys, as many bytes a part as its keys need."""
+        keys = keys.select(self.part(F.col("key")).alias("part"), "key")
+        sizes = keys.groupBy("part").agg(F.ceil(F.count("*") * self.bits / BYTE_BITS).cast("long").alias("n_bytes"))
+        sizes = materialize(sizes, "bloom-sizes")
+        bits = keys.join(self._sent(sizes), "part").select("part", F.explode(F.array(*_probes(F.col("key"), salt, self.hashes, F.col("n_bytes")))).alias("at"))
+        own = bits.select("part", F.floor(F.col("at") / BYTE_BITS).alias("byte"), F.call_function("shiftleft", F.lit(1), (F.col("at") % BYTE_BITS).cast("int")).alias("v"))
+        blank = sizes.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1)).alias("byte"), F.lit(0).alias("v"))
+        bytes_ = own.union(blank).groupBy("part", "byte").agg(F.bit_or("v").alias("v"))
+        table = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("byte", "v"))), lambda x: F.char(x["v"])), "")
+        return bytes_.groupBy("part").agg(F.encode(table, "UTF-8").alias("filter"))
+
+    @staticmethod
+    def _sent(parts: DataFrame) -> DataFrame:
+        """A table with a row per part, broadcast if its size, which is looked up, allows."""
+        last = parts.columns[-1]
+        n = parts.agg(F.sum((F.octet_length(last) if last == "filter" else F.lit(8)) + 64)).first()[0] or 0
+        return F.broadcast(parts) if n <= SENT_BYTES else parts
+
+    def _holds(self, key: Column, table: Column, salt: int) -> Column:
+        """Whether all probed bits are set; a part without a filter holds nothing."""
+        out = table.isNotNull()
+        for at in _probes(key, salt, self.hashes, F.octet_length(table).cast("long")):
+            out = out & _has_bit(table, at)
+        return F.coalesce(out, F.lit(False))
+
+    def mark(self, df: DataFrame, key: str, out: str, salts: int = 16) -> DataFrame:
         """Add boolean ``out`` to ``df``; keys outside the universe may be wrong, null keys are false."""
-        if self.joined is None:
-            return df.withColumn(out, F.coalesce(self.holds(F.col(key)), F.lit(False)))
-        hits = self.joined.select(F.col("key").alias("_key"), F.lit(True).alias("_hit"))
-        return df.join(hits, df[key] == F.col("_key"), "left").withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+        if self.filters is None:
+            return df.withColumn(out, F.lit(False))
+        part, salt = free_name(df, "_part"), free_name(df, "_salt")
+        tables = [free_name(df, f"_filter{i}") for i in range(self.n_levels)]
+        filters = self.filters.select(F.col("part").alias(part), *[F.col(f"filter{i}").alias(t) for i, t in enumerate(tables)])
+        rows = df.withColumn(part, self.part(F.col(key)))
+        total = filters.agg(F.sum(sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in tables), F.lit(64)))).first()[0] or 0
+        if total <= SENT_BYTES:
+            met = rows.join(F.broadcast(filters), part, "left")
+        else:
+            spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+            salted = filters.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            met = rows.withColumn(salt, spread).join(salted, [part, salt], "left").drop(salt)
+        verdict = F.lit(self.n_levels % 2 == 1)
+        for depth in range(self.n_levels - 1, -1, -1):
+            verdict = F.when(self._holds(F.col(key), F.col(tables[depth]), depth), verdict).otherwise(F.lit(depth % 2 == 1))
+        return met.withColumn(out, verdict & F.col(key).isNotNull()).drop(part, *tables)
+
+
+def listed_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(key, listed)`` for distinct hosts: whether ``listed`` (a column ``host``) has it or a parent domain.
+
+    Built once with the cascade: each host's own name and its parents meet the list.
+    """
+    keys = hosts.select(F.col("key"), F.split("key", "[.]").alias("labels"))
+    names = keys.select("key", F.explode(F.transform("labels", lambda _, i: F.array_join(F.slice("labels", i + 1, F.size("labels")), "."))).alias("name"))
+    hits = names.join(listed.select(F.translate("host", UPPER, LOWER).alias("name")).distinct(), "name", "left_semi").select("key").distinct()
+    return hosts.select("key").join(hits.withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
-def listed_host(host: Column, labels: list[str] = LISTED_LABELS) -> Column:
+def has_listed_label(host: Column, labels: list[str] = LISTED_LABELS) -> Column:
     """Whether a label of ``host`` (parts between dots and hyphens) is on the list."""
     return F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(x) for x in labels]))
 
 
-def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+def label_list(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The production block list as a table of hosts: those of the corpus with a label of LISTED_LABELS."""
+    host = split_url(F.col(url))[0]
+    return pages.select(host.alias("host")).distinct().where(has_listed_label(F.col("host")))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """Per page: host, path, the fitting rule and a verdict (the rule's, else block if listed).
 
-    Hosts are the key universe; each distinct host is encoded once.  Null or odd urls have an
-    empty host, which no rule fits and no list holds: allow.  Repeated rows stay; an empty table
-    gives an empty result.
+    ``listed`` is a table whose column ``host`` names blocked hosts and domains (with all their
+    subdomains); nulls and repeated rows in it count for nothing.  The corpus's hosts are the key
+    universe; each distinct host is encoded once.  Null or odd urls have an empty host, which no
+    rule fits: allow, unless the list has the empty name.  Very long urls are taken whole.
+    Repeated rows stay, other columns don't; an empty table gives an empty result.
     """
     host, path = split_url(F.col(url))
     parsed = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
-    universe = parsed.select(F.col("host").alias("key")).distinct().withColumn("listed", listed_host(F.col("key")))
+    universe = listed_hosts(parsed.select(F.col("host").alias("key")).distinct(), listed)
     marked = BloomCascade(universe).mark(parsed, "host", "_listed")
     rule, verdict = matching_rule(F.col("host"), F.col("path"))
     fallback = F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))

@@ -1,17 +1,18 @@
 """Toxicity scores by weak supervision.
 
-Many voters (a fixed lexicon, words and word beginnings that labelled rows show to be toxic, how
-often they occur) look at a text.  A generative label model estimates each voter's accuracy and
-how voters correlate, and gives every sampled document a posterior label; a linear classifier is
-then trained on the posteriors and scores all documents.
+Voters of three kinds look at a text: public lexicons of insults, profanity and threats; regular
+patterns (an insult with its target, shouting, masked letters, threats); and families of words and
+word beginnings that labelled rows show to be toxic.  Labels choose those families and give the
+voters' rates a starting point; they are no voter.  A generative label model over one hidden label
+estimates each voter's rates in either class and how voters' errors correlate, from the votes on
+all documents.  A linear classifier is trained on its posterior labels and scores all documents.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,37 @@ from pyspark.sql import functions as F
 from corpusgraph.llm.simhash import MAX_DISTANCE, fingerprint
 from corpusgraph.plans.scratch import materialize
 
-#: Labelled rows that voters, label model and classifier are fitted on, at most (drawn by a hash of doc_id).
+#: Labelled rows from which word families are learned, at most (drawn by a hash of doc_id).
 MAX_LABELLED = 16_000
-#: Learned entries kept; the toxic rows (near copies once) in which one must occur, at any size.
-MAX_ENTRIES, MIN_DOCS = 4000, 4
+#: Rows, labelled or not, that the linear classifier is trained on, about (drawn by a hash of the text).
+MAX_TRAINING = 16_000
+#: The toxic rows (near copies once) in which a learned entry must occur, at any size.
+MIN_DOCS = 4
 #: The share of learned entries that may be toxic rows' by accident.
 FALSE_SHARE = 0.05
 PREFIXES = (3, 4, 5, 6)
-#: Insults and slurs on intellect or worth that any reader would list; fixed values.
-LEXICON = frozenset(
-    "idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting clown clowns imbecile jerk filth vermin pig hate kill ugly freak crap damn shit fuck fucking bitch bastard asshole whore slut".split()
-)
+#: Public lexicons, in English, German, French and Spanish; fixed values.
+LEXICONS = {
+    "intellect": frozenset("idiot idiots moron morons stupid dumb fool fools imbecile clown clowns dummkopf trottel blödmann crétin crétins abruti imbécile idiota idiotas imbécil estúpido estúpida tonto".split()),
+    "worth": frozenset("loser losers scum trash garbage pathetic worthless disgusting filth vermin pig ugly freak jerk abschaum versager widerlich ordure racaille minable basura asqueroso escoria".split()),
+    "profanity": frozenset("damn shit fuck fucking bitch bastard asshole whore slut crap scheiße arschloch merde putain connard salope mierda puta cabrón".split()),
+    "threat": frozenset("kill kills hurt stab shoot strangle hate hates töten hasse tuer déteste matar odio".split()),
+}
+_LEXICON = {w: i for i, words in enumerate(LEXICONS.values()) for w in words}
+_INSULTS = frozenset().union(*list(LEXICONS.values())[:3])
+_TARGETS = "you|your|youre|u|he|she|they|him|her|them|du|dich|ihr|tu|toi|vous|tú|usted|ustedes"
+_TARGETED = re.compile(rf"\b(?:{_TARGETS})\b(?:\W+\w+){{0,3}}?\W+(?:{'|'.join(sorted(_INSULTS))})\b|\b(?:{'|'.join(sorted(_INSULTS))})\W+(?:{_TARGETS})\b")
+_SHOUTING = re.compile(r"(?:\b[A-ZÄÖÜÉÈÑ]{3,}[\s,!]+){2,}[A-ZÄÖÜÉÈÑ]{3,}\b")
+_MASKED = re.compile(r"(?<![\w*@$!])[a-z]+[*@$!0134][a-z*@$!0134]*[a-z](?!\w)")
+_THREAT = re.compile(r"\b(?:i|we)(?:'ll| will| am going to|'m going to|'m gonna| gonna)(?: \w+)? (?:kill|hurt|stab|shoot|strangle)\b")
+#: What a sign may stand for in a masked word; fixed values.
+_STANDS_FOR = {"*": "[a-z]", "@": "a", "$": "s", "!": "[il]", "0": "o", "1": "[il]", "3": "e", "4": "a"}
+PATTERNS = ("targeted", "shouting", "masked", "threatening")
+#: Learned families with a voter of their own; all others share one.
+N_FAMILIES = 5
+N_GROUPS = len(LEXICONS) + N_FAMILIES + 1
+N_VOTERS = N_GROUPS + len(PATTERNS) + 3  # two or more words, one hit alone, nothing at all
+VOTER_KINDS = {"lexicons": range(len(LEXICONS)), "learned": range(len(LEXICONS), N_GROUPS), "patterns": range(N_GROUPS, N_GROUPS + len(PATTERNS))}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,14 +65,32 @@ def entries_of(word: str) -> list[str]:
     return ["=" + word, *[word[:n] for n in PREFIXES if len(word) > n]]
 
 
+def _unmask(token: str) -> bool:
+    """Whether a word with signs in place of letters is an insult."""
+    pattern = re.compile("".join(_STANDS_FOR.get(c, c) for c in token))
+    return any(len(w) == len(token) and pattern.fullmatch(w) for w in _INSULTS)
+
+
+def pattern_votes(text: str, words: Counter) -> list[bool]:
+    """One vote of each of PATTERNS; the costly ones look only where a word gives them cause."""
+    low = text.lower()
+    return [
+        not _INSULTS.isdisjoint(words) and bool(_TARGETED.search(low)), bool(_SHOUTING.search(text)),
+        any(_unmask(t) for t in set(_MASKED.findall(low))), not LEXICONS["threat"].isdisjoint(words) and bool(_THREAT.search(low)),
+    ]
+
+
 def held_out(key) -> object:
     """Whether a document's label must not be learned from: crc32 of its id as text, mod 5, is 0."""
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
 def draw_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """``(text, label)`` of at most MAX_LABELLED labelled rows that are not held out, copies once."""
-    usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    """``(text, label)`` of at most MAX_LABELLED labelled rows that are not held out, copies once.
+
+    A label other than 0 and 1 is none; of several labels of a document the greatest counts.
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
     one = usable.groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("_y"))
     drawn = one.orderBy(F.xxhash64("_id"), "_id").limit(MAX_LABELLED)
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_key") == F.col("_id")).select("text", F.col("_y").cast("int").alias("label")).dropDuplicates()
@@ -113,136 +152,165 @@ def learn_entries(sample: DataFrame) -> list[str]:
     chance = -(F.col("toxic") * F.log(F.col("toxic") / both * ((n0 + n1) / n1)) + in_clean)
     # a hit must raise the odds twentyfold; of all entries learned, a share of FALSE_SHARE may be by accident (Benjamini and Hochberg)
     good = counts.where((F.col("toxic") >= MIN_DOCS) & (lift > float(np.log(20))))
-    best = good.select("entry", worth.alias("worth"), chance.alias("chance")).orderBy("chance", "entry").limit(MAX_ENTRIES).collect()
+    # the sample bounds the words, so the entries too
+    best = good.select("entry", worth.alias("worth"), chance.alias("chance")).orderBy("chance", "entry").collect()
     tested = max(1, counts.count())
     n_good = max((i for i, r in enumerate(best, 1) if r["chance"] <= np.log(FALSE_SHARE * i / tested)), default=0)
     return [r["entry"] for r in sorted(best[:n_good], key=lambda r: (-r["worth"], r["entry"]))]
 
 
+def families(entries: list[str]) -> dict[str, int]:
+    """Entry -> group: the N_FAMILIES strongest families (entries that begin alike), then all others.
+
+    Entries come strongest first.  Words of the public lexicons have their voters already.
+    """
+    left = [e for e in entries if e.removeprefix("=") not in _LEXICON]
+    weight: Counter = Counter()
+    for e in left:
+        weight[e.removeprefix("=")[: PREFIXES[0]]] += 1
+    order = {f: i for i, (f, _) in enumerate(sorted(weight.items(), key=lambda x: (-x[1], x[0])))}
+    return {e: len(LEXICONS) + min(order[e.removeprefix("=")[: PREFIXES[0]]], N_FAMILIES) for e in left}
+
+
 @dataclass
 class Scorer:
-    """Voters' lexicons, and the linear classifier over counts of their hits."""
+    """Learned families, and the linear classifier over counts of the voters' hits."""
 
-    entries: dict[str, int]  # entry -> group of its voter
-    n_groups: int
-    weights: np.ndarray
-    bias: float
+    entries: dict[str, int] = field(default_factory=dict)  # entry -> group of its voter
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES))
+    bias: float = 0.0
+    kinds: tuple[str, ...] = tuple(VOTER_KINDS)
 
-    def features(self, text: str | None) -> np.ndarray:
-        """Per voter: distinct words that hit it, and log of all hits; then both over all voters."""
-        hits, total = np.zeros(self.n_groups + 1), np.zeros(self.n_groups + 1)
+    def features(self, text: str | None) -> tuple[list[float], int]:
+        """Per group distinct words that hit it and log of all hits, pattern votes, sums; and the votes as bits.
+
+        A lexicon votes on a hit, a learned family on two.
+        """
+        hits, total = [0] * N_GROUPS, [0] * N_GROUPS
         any_words = any_total = 0
-        for word, n in words_of(text).items():
+        words, lexicons = words_of(text), "lexicons" in self.kinds
+        for word, n in words.items():
             groups = {self.entries[e] for e in entries_of(word) if e in self.entries}
-            if word in LEXICON:
-                groups.add(self.n_groups)
+            if lexicons and word in _LEXICON:
+                groups.add(_LEXICON[word])
             if groups:
                 any_words, any_total = any_words + 1, any_total + n
                 for g in groups:
                     hits[g] += 1
                     total[g] += n
-        return np.concatenate([np.minimum(hits, 3), np.log1p(total), [min(any_words, 1), min(any_words, 2), min(any_words, 4), np.log1p(any_total)]])
+        patterns = pattern_votes(text, words) if text and "patterns" in self.kinds else [False] * len(PATTERNS)
+        x = [*(min(h, 3) for h in hits), *np.log1p(total).tolist(), *map(float, patterns), min(any_words, 1), min(any_words, 2), min(any_words, 4), float(np.log1p(any_total))]
+        ballots = [*(n > (g >= len(LEXICONS)) for g, n in enumerate(total)), *patterns, any_words > 1, any_total == 1, not any_words and not any(patterns)]
+        return x, sum(1 << i for i, v in enumerate(ballots) if v)
 
-    def votes(self, features: np.ndarray) -> np.ndarray:
-        """+1 or -1 of every voter: each lexicon (any hit, two words or more), and hits in all."""
-        g = self.n_groups + 1
-        f = np.atleast_2d(features)
-        any_words = f[:, -2]
-        ballots = [f[:, :g] >= 1, f[:, :g] >= 2, any_words[:, None] >= np.array([1, 2, 3])[None, :]]
-        return np.where(np.concatenate(ballots, axis=1), 1, -1)
 
-    def score(self, text: str | None) -> float:
-        z = float(self.features(text) @ self.weights + self.bias)
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+N_FEATURES = 2 * N_GROUPS + len(PATTERNS) + 4
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of label 1, voters' accuracies by class, and correlations of their errors.
+def label_model(up: np.ndarray, weight: np.ndarray, start: np.ndarray, prior: float, abstains: bool = False, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of label 1 per row of votes, the voters' rates by class, and correlations of their errors.
 
-    Expectation-maximisation over one hidden label and voters with an accuracy for either class.
-    Voters whose errors correlate share their weight: each one's evidence is divided by the sum
-    of its squared error correlations with all voters, itself included.
+    ``up``: which voters fire, one row per pattern of votes; ``weight``: its documents; ``start``:
+    rates in classes 0 and 1 to start from, which keep half of the weight, so that the hidden label
+    stays the one that they mean, at any number of documents.  A voter that doesn't fire speaks for
+    class 0, or for none if it ``abstains`` (one that fires on nothing then speaks for class 0): the
+    words of a rare language weigh as much as those of a common one.  Expectation-maximisation; voters
+    whose errors correlate share their weight: each one's evidence is divided by the sum of its
+    squared error correlations with all voters, itself included.
     """
-    n, m = votes.shape
-    up = votes > 0
-    share = np.ones(m)
-    post = np.clip(up.mean(axis=1), 0.05, 0.95)
-    post = np.where(up.any(axis=1), np.maximum(post, 0.6), 0.05)
-    accuracy, corr = np.full((2, m), 0.8), np.eye(m)
+    n, m = weight.sum(), up.shape[1]
+    rates, share, corr = np.clip(start, 1e-4, 1 - 1e-4), np.ones(m), np.eye(m)
+    first, post = prior, np.zeros(len(up))
     for _ in range(rounds):
-        hit1 = (post @ up + 1) / (post.sum() + 2)
-        hit0 = ((1 - post) @ up + 0.05) / ((1 - post).sum() + 1)
-        accuracy = np.clip(np.stack([1 - hit0, hit1]), 1e-4, 1 - 1e-4)
-        residual = up - (post[:, None] * hit1 + (1 - post)[:, None] * hit0)
-        scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        corr = (residual / scale).T @ (residual / scale) / max(n, 1)
-        share = 1 / np.maximum(1, (np.clip(corr, -1, 1) ** 2).sum(axis=0))
-        gain = np.where(up, np.log(accuracy[1]) - np.log(1 - accuracy[0]), np.log(1 - accuracy[1]) - np.log(accuracy[0]))
-        prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3)) if n else prior
-        z = np.log(prior / (1 - prior)) + gain @ share
-        new = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        gain = np.where(up, np.log(rates[1]) - np.log(rates[0]), (np.log(1 - rates[1]) - np.log(1 - rates[0])) * (not abstains))
+        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain @ share, -35, 35)))
         if np.abs(new - post).max(initial=0) < 1e-6:
             break
         post = new
-    return post, accuracy, corr
+        in1, in0 = weight * post, weight * (1 - post)
+        rates = np.clip(np.stack([(in0 @ up + (1 - first) * n * start[0]) / (in0.sum() + (1 - first) * n), (in1 @ up + first * n * start[1]) / (in1.sum() + first * n)]), 1e-4, 1 - 1e-4)
+        residual = up - (post[:, None] * rates[1] + (1 - post)[:, None] * rates[0])
+        scale = np.sqrt(weight @ residual**2 / n) + 1e-9
+        corr = ((residual / scale) * weight[:, None]).T @ (residual / scale) / n
+        share = 1 / np.maximum(1, (np.clip(corr, -1, 1) ** 2).sum(axis=0))
+        prior = float(np.clip((in1.sum() + first * n) / (2 * n), 1e-3, 1 - 1e-3))
+    return post, rates, corr
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on soft labels by Newton's method."""
     a = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(penalty), a.T @ (weight * (y - p)) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-7:
             break
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", n_voters: int = 24) -> Scorer:
-    """Fit voters, label model and classifier on a bounded sample of labelled, not held-out rows.
+def look(docs: DataFrame, scorer: Scorer, keep: list[str], text: str) -> DataFrame:
+    """``keep``, features ``x`` and the votes' bits ``votes`` of every row, from its whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    The human label is one more voter of the label model.  With no usable labels the fixed lexicon
-    alone votes and scores.
+    def scan(batches):
+        for batch in batches:
+            seen = [shared.value.features(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            columns = [*batch.columns[:-1], pa.array([x for x, _ in seen], pa.list_(pa.float64())), pa.array([v for _, v in seen], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "x", "votes"])
+
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    return rows.mapInArrow(scan, rows.drop("_text").withColumn("x", F.array().cast("array<double>")).withColumn("votes", F.lit(0)).schema)
+
+
+def _bits(votes: list[int]) -> np.ndarray:
+    return (np.array(votes, np.int64)[:, None] >> np.arange(N_VOTERS)) & 1 == 1
+
+
+def fit(seen_by, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", kinds: tuple[str, ...] = tuple(VOTER_KINDS)) -> tuple[Scorer, DataFrame]:
+    """Word families from labelled rows that are not held out; label model from all votes; classifier.
+
+    ``seen_by(scorer)`` gives the documents as the voters see them (``x``, ``votes``); it is called
+    once.  The driver gets the distinct patterns of votes with their counts (2^N_VOTERS at most).
+    Without usable labels of both kinds, or without documents, there is nothing to estimate rates
+    from: the classifier stays at its starting weights, where a hit of a public lexicon decides.
     """
     sample = materialize(draw_labelled(docs, labels, key, text, label), "toxic-sample")
-    entries = learn_entries(sample)
-    groups = {e: zlib.crc32(e.encode()) % n_voters for e in entries}
-    blank = Scorer(groups, n_voters, np.zeros(0), 0.0)
-
-    def describe(batches):
-        for batch in batches:
-            rows = [blank.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
-
-    got = sample.mapInArrow(describe, "x array<double>, label int").collect()
-    size = len(blank.features(""))
-    x = np.array([r["x"] for r in got]).reshape(len(got), size)
-    y = np.array([r["label"] for r in got], float)
-    if not entries or not 0 < y.sum() < len(y):
-        weights = np.zeros(size)
-        weights[n_voters] = 4.0
-        return Scorer(groups, n_voters, weights, -2.0)
-    votes = np.column_stack([blank.votes(x), np.where(y > 0, 1, -1)])
-    post, _, _ = label_model(votes, float(y.mean()))
-    weights, bias = _logistic(x, post)
-    return Scorer(groups, n_voters, weights, bias)
-
-
-def score_documents(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` per document; reads the text alone.
+    scorer = Scorer(families(learn_entries(sample)) if "learned" in kinds else {}, kinds=kinds)
+    known = look(sample, scorer, ["label"], "text").groupBy("label", "votes").agg(F.count("*").alias("n")).collect()
+    totals = [sum(r["n"] for r in known if r["label"] == y) for y in (0, 1)]
+    seen = seen_by(scorer)
+    patterns = seen.groupBy("votes").agg(F.count("*").alias("n")).collect()
+    if not all(totals) or not patterns:
+        scorer.weights[2 * N_GROUPS + len(PATTERNS)], scorer.bias = 4.0, -2.0
+        return scorer, seen
+    up = _bits([r["votes"] for r in known])
+    n = np.array([[r["n"] * (r["label"] == y) for r in known] for y in (0, 1)], float)
+    start = (n @ up + np.array([[0.02], [0.5]])) / (n.sum(axis=1) + 1)[:, None]
+    prior = totals[1] / sum(totals)
+    post, _, _ = label_model(_bits([r["votes"] for r in patterns]), np.array([r["n"] for r in patterns], float), start, prior, abstains=True)
+    posterior = dict(zip([r["votes"] for r in patterns], post.tolist(), strict=True))
+    share = min(1.0, MAX_TRAINING / sum(r["n"] for r in patterns))
+    drawn = F.pmod(F.xxhash64(F.lit("train"), "x", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = seen.where(drawn).groupBy("x", "votes").agg(F.count("*").alias("n")).collect()
+    if rows:
+        x = np.array([r["x"] for r in rows])
+        scorer.weights, scorer.bias = _logistic(x, np.array([posterior[r["votes"]] for r in rows]), np.array([r["n"] for r in rows], float))
+    return scorer, seen
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", kinds: tuple[str, ...] = tuple(VOTER_KINDS)) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` per document; scores read the text alone.
 
     Null and empty texts get the classifier's score of no hits.  A null key counts as the empty
-    string where rows are held out.  Repeated rows stay; an empty table gives an empty result.
+    string where rows are held out.  Very long texts are read whole.  Repeated rows stay, other
+    columns don't; an empty table, of documents or of labels, gives a defined result (see ``fit``).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    def scan(batches):
-        for batch in batches:
-            scores = [shared.value.score(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-
-    scored = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, "doc_id long, score double")
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    scorer, seen = fit(lambda s: materialize(look(named, s, ["doc_id"], "text"), "toxic-votes"), docs, labels, key, text, label, kinds)
+    weights = F.array(*[F.lit(float(w)) for w in scorer.weights])
+    z = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(float(scorer.bias)), lambda a, b: a + b)
+    scored = seen.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

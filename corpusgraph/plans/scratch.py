@@ -14,19 +14,22 @@ _own: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for this application's written tables, in the folder that the cluster shares.
 
-    ``spark.checkpoint.dir`` is read from the session; a temporary folder is used only where
-    that setting is absent (single-machine tests).
+    ``spark.checkpoint.dir`` is read from the session; where it is absent, a temporary folder is
+    used on a single machine, and a cluster is refused.
     """
     app = spark.sparkContext.applicationId
     if app not in _own:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusgraph-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base or f"file://{tempfile.mkdtemp(prefix='corpusgraph-')}"
         _own[app] = f"{base.rstrip('/')}/corpusgraph-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _own[app])
     return _own[app]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    """Drop the application's scratch folder when the driver's interpreter ends."""
+    """Drop a scratch folder, or the application's whole one when the driver's interpreter ends."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -48,7 +51,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned and that nothing will read again."""
+    if path := getattr(df, "_written_at", None):
+        _remove(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,7 +1,8 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents that it keeps, with the
-columns of ``documents``; the last returns the packed pieces.
+columns of ``documents``; the last returns the packed pieces.  All stages take nulls in any column,
+empty and very long texts, repeated rows and empty tables, and pass other columns through.
 """
 
 from __future__ import annotations
@@ -17,28 +18,28 @@ POLICY = "v1"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy keeps."""
+    """Documents that the policy keeps; null and empty texts have too few words, repeated rows share their fate."""
     return quality_rules.apply_policy(docs, POLICY)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without later copies of line runs of 50 words or more."""
-    out = line_dedup.dedup_lines(docs).drop("_n_lines", "_n_deleted")
+    """All documents without later copies of line runs of 50 words or more; null texts stay null, ties go by key and text."""
+    out = line_dedup.dedup_lines(docs, counts=None)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
+    """The document with the smallest doc_id of each group of near-duplicates; one of rows that share it, all without one."""
     return simhash.keep_one(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; null and empty texts have none."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 

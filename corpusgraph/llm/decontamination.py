@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.llm.byte_words import find_words, gram_hashes, row_blocks, text_bytes, word_bytes, word_hashes
+from corpusgraph.plans.scratch import discard, materialize
+from corpusgraph.plans.skew import free_name
 
 #: ASCII characters that no word holds: all but digits and lower-case letters (texts are lower-cased first).
 _IS_WORD = word_bytes("".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122)))
@@ -130,28 +132,35 @@ def _blocks(benchmark: DataFrame, item: str, text: str, span: int, block_bytes:
         yield BenchmarkIndex([r["i"] for r in got], [r["t"] for r in got], span)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = 10, block_bytes: int = 8 << 20, names: tuple[str, str, str] | None = None) -> DataFrame:
     """Add ``_n_words``, ``_runs`` (merged word runs, [start, end, start, end, ...]) and ``_items``.
 
     A benchmark window is ``span`` consecutive words of an item, or a whole item that is shorter.
     Every kept fingerprint of a document is looked up among those of the benchmark, and a match
     is extended on the words themselves; winnowing guarantees that every shared span holds one.
-    The benchmark is broadcast in blocks of a bounded size; each block reads the documents of a
-    partition once more, without a shuffle, and adds to the runs found so far.
+    The benchmark is broadcast in blocks of a bounded size, one at a time: with several, the table
+    is written after each, and the block before is gone from the driver and the executors.  Nothing
+    is shuffled.  ``names`` are other names for the three columns, where the table has these.
 
     Null or empty texts have no words and no hits; a null item id counts as the empty string;
     repeated rows stay; other columns pass through.
     """
-    out = docs.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_runs", F.array().cast("array<int>")).withColumn("_items", F.array().cast("array<string>"))
-    schema = out.schema
+    n_words, run_list, item_list = names or ("_n_words", "_runs", "_items")
+    out = docs.withColumn(n_words, F.lit(0).cast("long")).withColumn(run_list, F.array().cast("array<int>")).withColumn(item_list, F.array().cast("array<string>"))
+    schema, shared = out.schema, None
     for index in _blocks(benchmark, item, item_text, span, block_bytes):
+        if shared is not None:  # the pass over the last block ends, and its index goes, before the next one
+            done = materialize(out, "benchmark-pass")
+            shared.destroy()
+            discard(out)
+            out = done
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches, shared=shared):
             for batch in batches:
                 data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
-                at = {c: batch.schema.get_field_index(c) for c in ("_n_words", "_runs", "_items")}
-                runs, items, counts = batch.column(at["_runs"]).to_pylist(), batch.column(at["_items"]).to_pylist(), []
+                at = {c: batch.schema.get_field_index(c) for c in (n_words, run_list, item_list)}
+                runs, items, counts = batch.column(at[run_list]).to_pylist(), batch.column(at[item_list]).to_pylist(), []
                 for i, j in row_blocks(offsets):
                     n, more, names = shared.value.runs(data, offsets[i : j + 1])
                     counts.append(n)
@@ -161,9 +170,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
                             runs[i + k] = merge_runs([*zip(old[::2], old[1::2], strict=True), *zip(more[k][::2], more[k][1::2], strict=True)])
                             items[i + k] = sorted({*items[i + k], *names[k]})
                 columns = list(batch.columns)
-                columns[at["_n_words"]] = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-                columns[at["_runs"]] = pa.array(runs, pa.list_(pa.int32()))
-                columns[at["_items"]] = pa.array(items, pa.list_(pa.string()))
+                columns[at[n_words]] = pa.array(np.concatenate(counts) if counts else [], pa.int64())
+                columns[at[run_list]] = pa.array(runs, pa.list_(pa.int32()))
+                columns[at[item_list]] = pa.array(items, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
         out = out.mapInArrow(scan, schema)
@@ -186,4 +195,5 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents without a benchmark window, with their own columns."""
-    return find_hits(docs, benchmark, text).where(F.size("_runs") == 0).drop("_n_words", "_runs", "_items")
+    names = tuple(free_name(docs, c) for c in ("_n_words", "_runs", "_items"))
+    return find_hits(docs, benchmark, text, names=names).where(F.size(names[1]) == 0).drop(*names)

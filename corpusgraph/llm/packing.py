@@ -234,12 +234,13 @@ def pack(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame
 
     The histogram of rounded lengths (at most length / unit classes) is all that the driver sees.
     Pieces are ranked within their class over the whole table, and the rank decides the
-    sequence.  Ties on (doc_id, start) of repeated rows are ranked in an unspecified order.
+    sequence.  Pieces are ranked by all that describes them, so those that tie are equal and may
+    change places when a lost executor's task runs again.
     """
     spark, capacity = pieces.sparkSession, length // unit
     # written first: range partitioning reads its input twice, and the pieces' ids are costly
     pieces = materialize(pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("long")), "pieces")
-    ranked, _ = global_positions(pieces, ["_class", "doc_id", "start"], F.lit(1), "_at", "pack")
+    ranked, _ = global_positions(pieces, ["_class", "doc_id", "start", "length", "ids_crc32", "doc_tokens"], F.lit(1), "_at", "pack")
     counts = {r["_class"]: r["n"] for r in ranked.groupBy("_class").agg(F.count("*").alias("n")).collect()}
     first, total = {}, 0
     for c in sorted(counts):

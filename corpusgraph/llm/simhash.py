@@ -7,11 +7,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.plans.components import connected_components
 from corpusgraph.plans.scratch import materialize, shuffle_partitions
+from corpusgraph.plans.skew import free_name, join_groups
 
 SEED = 42
 #: Segments (first bit, bits) and the ball radius enumerated in each.  Two fingerprints that
@@ -20,9 +21,12 @@ SEED = 42
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 RADII = [1, 1, 0]
 MAX_DISTANCE = 4
-HOT_BUCKET = 8192
-#: Keys of dropped documents of at most so many bytes travel to the texts.
-BROADCAST_BYTES = 32 << 20
+#: Comparisons (table rows times all rows) from which a bucket is linked through common points.
+HOT_WORK = 1 << 26
+#: Buckets of so many table rows may flood their neighbours with probes.
+HEAVY = 64
+#: Probes of one bucket that are held at a time.
+HELD_ROWS = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -68,20 +72,71 @@ def _part(fp, segment: int):
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def _probe(segment: int, value):
-    return lambda mask: F.struct(_bucket(segment, value.bitwiseXOR(mask)).alias("bucket"), F.lit(0).alias("t"))
+def _masks(segment: int) -> list[int]:
+    """Flips of up to the segment's radius, without none."""
+    return [sum(1 << i for i in c) for r in range(1, RADII[segment] + 1) for c in combinations(range(SEGMENTS[segment][1]), r)]
 
 
-def _entries(reps: DataFrame) -> DataFrame:
-    """Table rows (``t`` = 1) and probe rows (``t`` = 0) of all segments."""
-    rows = []
-    for s, radius in enumerate(RADII):
-        value = _part(F.col("fp"), s)
-        masks = [sum(1 << i for i in c) for r in range(1, radius + 1) for c in combinations(range(SEGMENTS[s][1]), r)]
-        rows.append(F.array(F.struct(_bucket(s, value).alias("bucket"), F.lit(1).alias("t"))))
-        if masks:
-            rows.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), _probe(s, value)))
-    return reps.select("fp", "rep", F.explode(F.concat(*rows)).alias("e")).select("e.bucket", "e.t", "fp", "rep")
+def _table_sizes(reps: DataFrame) -> DataFrame:
+    """``(bucket, n)``: table rows of every bucket that has one."""
+    tables = F.array(*[_bucket(s, _part(F.col("fp"), s)) for s in range(len(SEGMENTS))])
+    return materialize(reps.select(F.explode(tables).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")), "simhash-sizes")
+
+
+def _occupied(sizes: DataFrame) -> list[np.ndarray | None]:
+    """Per probed segment, which values have table rows: one bit a value, whatever the number of rows."""
+    word = F.shiftrightunsigned(F.col("bucket").bitwiseAND(F.lit((1 << 56) - 1).cast("long")), 5)
+    segment = F.shiftrightunsigned(F.col("bucket"), 56).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1), F.col("bucket").bitwiseAND(F.lit(31).cast("long")).cast("int"))
+    got = sizes.where(segment.isin([s for s in range(len(SEGMENTS)) if _masks(s)])).groupBy(segment.alias("s"), word.alias("w")).agg(F.bit_or(bit).alias("v")).toArrow()
+    s, w, v = (got.column(c).to_numpy() for c in ("s", "w", "v"))
+    out: list[np.ndarray | None] = []
+    for i, (_, bits) in enumerate(SEGMENTS):
+        table = None
+        if _masks(i):
+            table = np.zeros(1 << (bits - 5), np.uint32)
+            table[w[s == i]] = v[s == i].astype(np.int32).view(np.uint32)
+        out.append(table)
+    return out
+
+
+def _entries(reps: DataFrame, occupied: list[np.ndarray | None]) -> DataFrame:
+    """Table rows (``t`` = 1) of all segments, and probe rows (``t`` = 0) of buckets that have table rows."""
+    shared = reps.sparkSession.sparkContext.broadcast(occupied)
+
+    def scan(batches):
+        for batch in batches:
+            fp, rep = (batch.column(i).to_numpy() for i in range(2))
+            for s, (first, bits) in enumerate(SEGMENTS):
+                value = (fp.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+                yield rows(s, value, np.ones(len(fp), np.int32), fp, rep)
+                if shared.value[s] is not None:
+                    probe = value[:, None] ^ np.array(_masks(s), np.uint64)[None, :]
+                    i, j = np.nonzero((shared.value[s][probe >> np.uint64(5)] >> (probe & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+                    yield rows(s, probe[i, j], np.zeros(len(i), np.int32), fp[i], rep[i])
+
+    def rows(s, value, t, fp, rep):
+        bucket = (value | np.uint64(s << 56)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(t), pa.array(fp), pa.array(rep)], names=["bucket", "t", "fp", "rep"])
+
+    return reps.select("fp", "rep").mapInArrow(scan, "bucket long, t int, fp long, rep long")
+
+
+def _hot_buckets(sizes: DataFrame) -> DataFrame:
+    """Buckets whose table rows times all rows, probes included, reach HOT_WORK.
+
+    Probes are counted from the table rows of the buckets they come from: exactly for those of
+    heavy buckets, and at most HEAVY for each of the others.
+    """
+    segment = F.shiftrightunsigned(F.col("bucket"), 56).cast("int")
+    near = F.array().cast("array<bigint>")
+    for s in range(len(SEGMENTS)):
+        if masks := _masks(s):
+            near = F.when(segment == s, F.array(*[F.col("bucket").bitwiseXOR(F.lit(m).cast("long")) for m in masks])).otherwise(near)
+    probes = sizes.where(F.col("n") >= HEAVY).select(F.explode(near).alias("bucket"), "n").groupBy("bucket").agg(F.sum("n").alias("p"))
+    light = HEAVY * max(len(_masks(s)) for s in range(len(SEGMENTS)))
+    work = F.col("n") * (F.col("n") + F.coalesce("p", F.lit(0)) + light)
+    return materialize(sizes.join(probes, "bucket", "left").where(work > HOT_WORK).select("bucket"), "simhash-hot")
 
 
 def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -128,22 +183,27 @@ def _link_buckets(bucket: np.ndarray, table: np.ndarray, fp: np.ndarray, rep: np
 
 
 def _links(entries: DataFrame) -> DataFrame:
-    """Verified links within all buckets of at most HOT_BUCKET table rows."""
+    """Verified links within all buckets that are not hot; of a bucket, table rows and HELD_ROWS probes are held."""
 
     def scan(batches):
-        held = None
+        held, n = [], 0
         for batch in batches:
-            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
-            if not len(part[0]):
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            n += batch.num_rows
+            if n < HELD_ROWS:
                 continue
-            cut = int(np.searchsorted(part[0], part[0][-1], "left"))  # the last bucket may go on
-            held = [x[cut:] for x in part]
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last bucket may go on
             if cut:
-                yield out(*[x[:cut] for x in part])
-        if held is not None and len(held[0]):
-            yield out(*held)
+                yield out(*[x[:cut] for x in rows])
+            rest = [x[cut:] for x in rows]
+            if len(rest[0]) >= HELD_ROWS:  # its probes meet its table rows in blocks
+                yield out(*rest)
+                rest = [x[rest[1] == 1] for x in rest]
+            held, n = [rest], 0
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        if rows and len(rows[0]):
+            yield out(*rows)
 
     def out(bucket, table, fp, rep):
         a, b = _link_buckets(bucket, table, fp.view(np.uint64), rep)
@@ -154,7 +214,7 @@ def _links(entries: DataFrame) -> DataFrame:
 
 
 def _hot_links(entries: DataFrame) -> DataFrame:
-    """Links of hot buckets in time linear in their rows.
+    """Links of hot buckets in time linear in their rows, spread over tasks by the points they name.
 
     Rows of a bucket are within a radius in its segment.  Table rows name all points within two
     flips in the other bits, probe rows those within one; rows that name a common point differ at
@@ -183,22 +243,21 @@ def _hot_links(entries: DataFrame) -> DataFrame:
 
 
 def components(fps: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint of ``(doc_id, fp)``.
+    """``(fp, n, component_id)`` for every distinct fingerprint of ``(doc_id, fp)``, with its rows.
 
     Copies collapse first (one row per fingerprint, named by its smallest doc_id), so only
-    different fingerprints are compared.
+    different fingerprints are compared.  A fingerprint of rows without a doc_id links nothing.
     """
-    reps = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    entries = _entries(reps)
-    tables = F.array(*[_bucket(s, _part(F.col("fp"), s)) for s in range(len(SEGMENTS))])
-    sizes = reps.select(F.explode(tables).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    hot = materialize(sizes.where(F.col("n") > HOT_BUCKET).select("bucket"), "simhash-hot")
+    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    named = reps.where("rep is not null")
+    sizes = _table_sizes(named)
+    entries, hot = _entries(named, _occupied(sizes)), _hot_buckets(sizes)
     if hot.isEmpty():
         links = _links(entries)
     else:
         links = _links(entries.join(hot, "bucket", "left_anti")).union(_hot_links(entries.join(hot, "bucket", "left_semi")))
     linked = connected_components(links)
-    return reps.join(linked, reps["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return reps.join(linked, reps["rep"] == linked["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,8 +269,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     table gives an empty result.
     """
     fps = materialize(fingerprints(docs, key, text), "simhash-fps")
-    comp = components(fps)
-    return fps.join(comp, "fp", "left").select(
+    comp = materialize(components(fps), "simhash-components")
+    return join_groups(fps, comp, ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
@@ -220,17 +279,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with its own columns: the row with the smallest key.
 
-    Where rows share that key, the one with the least text hash stays.  Rows with a null key
-    link nothing and all stay.
+    Where rows share that key, the one with the least text hash stays, whatever their number.  Rows
+    with a null key link nothing and all stay.  Columns keep their names and order.
     """
     found = materialize(near_duplicates(docs, key, text).where("doc_id is not null"), "simhash-found")
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    if gone.count() * 64 <= BROADCAST_BYTES:  # else both sides are shuffled on the key
-        gone = F.broadcast(gone)
-    out = docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
-    twins = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__twin")).agg(F.count("*").alias("n")).where("n > 1").select("__twin"), "simhash-twins")
+    gone, twin = free_name(docs, "_gone"), free_name(docs, "_twin")
+    # keys are looked up in memory a partition at a time; texts are dealt, not sorted
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct().hint("shuffle_hash")
+    out = docs.join(dropped, docs[key] == F.col(gone), "left_anti")
+    twins = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(twin)).agg(F.count("*").alias("n")).where("n > 1").select(twin), "simhash-twins")
     if twins.isEmpty():
         return out
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    one = out.join(twins, out[key] == F.col("__twin"), "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    return out.join(twins, out[key] == F.col("__twin"), "left_anti").unionByName(one)
+    least = out.join(twins, out[key] == F.col(twin), "left_semi").groupBy(F.col(key).alias(twin)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias(gone))
+    return out.join(twins, out[key] == F.col(twin), "left_anti").unionByName(least.select(f"{gone}.*"))

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pytest
 import xxhash
 
 from corpusgraph.llm import simhash as S
@@ -65,13 +64,21 @@ def test_components_match_brute_force(spark):
 
 def test_hot_buckets_give_the_same_links(spark, monkeypatch):
     rng = random.Random(8)
-    monkeypatch.setattr(S, "HOT_BUCKET", 3)
-    check(spark, planted(rng, 120))
+    monkeypatch.setattr(S, "HOT_WORK", 9)
+    monkeypatch.setattr(S, "HEAVY", 1)
+    fps = planted(rng, 120)
+    sizes = S._table_sizes(spark.createDataFrame([(fp, i) for i, fp in {S.np.uint64(f).view(S.np.int64).item(): i for i, f in fps if i is not None}.items()], "fp long, rep long"))
+    assert 0 < S._hot_buckets(sizes).count() <= sizes.count()
+    check(spark, fps)
 
 
-@pytest.mark.parametrize("broadcast", [S.BROADCAST_BYTES, -1])
-def test_rows_and_keep_one(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(S, "BROADCAST_BYTES", broadcast)
+def test_probes_in_blocks_give_the_same_links(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(S, "HELD_ROWS", 50)
+    check(spark, planted(rng, 300))
+
+
+def test_rows_and_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(3, text, "a"), (2, text.upper(), "b"), (9, "other words entirely here now", "c"), (9, "other words entirely here now", "c"), (None, text, "d"), (5, None, None), (6, "", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
@@ -80,6 +87,12 @@ def test_rows_and_keep_one(spark, monkeypatch, broadcast):
     out = S.keep_one(df)
     assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "5", "9", "None"]
     assert S.near_duplicates(df.limit(0)).count() == 0 and S.keep_one(df.limit(0)).count() == 0
+    # a third of the rows share key and text, and another third the text; odd column names stay
+    odd = [(i, f"{i} " * 5, "a", i) for i in range(2000)] + [(5000, "same words in all of these rows", "b", 1)] * 1000 + [(6000 + i, "the same text with other keys", "c", 2) for i in range(1000)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, _gone string, _twin long")
+    out = S.keep_one(df)
+    got = [r.doc_id for r in out.collect()]
+    assert out.columns == df.columns and len(got) == len(set(got)) and {5000, 6000} == {i for i in got if i >= 5000}
 
 
 def test_hot_link_points_are_linear():

@@ -17,11 +17,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def binary_search(bounds: Column, n: int, below: Callable[[Column], Column]) -> Column:
-    """Number of leading elements of ``bounds`` (sorted, ``n`` of them) for which ``below`` holds.
-
-    ``below`` must be monotone (true, then false) along ``bounds``.  Runs in O(log n) lookups.
-    """
+def bisect(n: int, below: Callable[[Column], Column]) -> Column:
+    """Number of leading places 0 .. n - 1 at which ``below`` holds (true, then false), in O(log n) lookups."""
     step, steps = 1, []
     while step <= n:
         steps.append(step)
@@ -30,6 +27,11 @@ def binary_search(bounds: Column, n: int, below: Callable[[Column], Column]) ->
         return F.lit(0)
 
     def advance(at: Column, s: Column) -> Column:
-        return F.when((at + s <= n) & below(F.get(bounds, at + s - 1)), at + s).otherwise(at)
+        return F.when((at + s <= n) & below(at + s - 1), at + s).otherwise(at)
 
     return F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), advance)
+
+
+def binary_search(bounds: Column, n: int, below: Callable[[Column], Column]) -> Column:
+    """Number of leading elements of ``bounds`` (sorted, ``n`` of them) for which ``below`` holds."""
+    return bisect(n, lambda i: below(F.get(bounds, i)))

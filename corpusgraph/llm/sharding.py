@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.functions.binding import binary_search
+from corpusgraph.functions.binding import bisect
 from corpusgraph.plans.positions import long_array
 from corpusgraph.plans.scratch import materialize
 
@@ -19,13 +19,14 @@ ORDER = ("_h", "_k", "_u")
 
 def _range_of(bounds: list[tuple[int, int, int]]) -> Column:
     """The number of splitters at or below a row."""
+    # three constant arrays: a constant array of structs would be built anew for every row
     h, k, u = (long_array([b[i] for b in bounds]) for i in range(3))
-    at = F.arrays_zip(h.alias("h"), k.alias("k"), u.alias("u"))
 
-    def below(b: Column) -> Column:
-        return (b["h"] < F.col("_h")) | ((b["h"] == F.col("_h")) & ((b["k"] < F.col("_k")) | ((b["k"] == F.col("_k")) & (b["u"] <= F.col("_u")))))
+    def below(i: Column) -> Column:
+        same_h, same_k = F.get(h, i) == F.col("_h"), F.get(k, i) == F.col("_k")
+        return (F.get(h, i) < F.col("_h")) | (same_h & ((F.get(k, i) < F.col("_k")) | (same_k & (F.get(u, i) <= F.col("_u")))))
 
-    return binary_search(at, len(bounds), below)
+    return bisect(len(bounds), below)
 
 
 def _measure(rows: DataFrame, bounds: list[tuple[int, int, int]]) -> dict[int, tuple[int, int, int]]:

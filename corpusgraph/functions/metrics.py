@@ -1,4 +1,4 @@
-"""Pair metrics as column expressions (higher is more alike)."""
+"""Pair metrics as column expressions (higher is more alike); rounded ones round half to even."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def text_score(a: Column, b: Column) -> Column:
-    return F.round(dot(a, b), 3)
+    return F.bround(dot(a, b), 3)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -62,7 +62,7 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 def name_score(name_a: Column, name_b: Column, emb_a: Column, emb_b: Column, syntactic: float = 0.5) -> Column:
     """Mix of name spelling (scaled to -1..1) and name embeddings, rounded to 3 places."""
-    return F.round(syntactic * (2 * indel_ratio(name_a, name_b) - 1) + (1 - syntactic) * dot(emb_a, emb_b), 3)
+    return F.bround(syntactic * (2 * indel_ratio(name_a, name_b) - 1) + (1 - syntactic) * dot(emb_a, emb_b), 3)
 
 
 def type_score(a: Column, b: Column) -> Column:
@@ -73,7 +73,7 @@ def type_score(a: Column, b: Column) -> Column:
     pairs = F.create_map(*[x for t0, row in DOC_TYPES.items() for t1, d in row.items() for x in (F.lit(t0 + "\x00" + t1), F.lit(d))])
     opens = a.isin(list(DOC_TYPES))
     key = F.when(opens, F.concat_ws("\x00", a, b)).otherwise(F.concat_ws("\x00", b, a))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.round(2 * (pairs[key] - 0.5), 3), F.lit(0.0)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.bround(2 * (pairs[key] - 0.5), 3), F.lit(0.0)))
 
 
 def same_type_score(a: Column, b: Column) -> Column:
@@ -88,7 +88,7 @@ def date_score(a: Column, b: Column, half_span: float = 365.0) -> Column:
     return (
         F.when((diff < -90) | (diff > 365), F.lit(-1.0))
         .when((diff > -15) & (diff < 15), F.lit(1.0))
-        .otherwise(F.round(1 / (0.5 + scaled * scaled) - 1, 3))
+        .otherwise(F.bround(1 / (0.5 + scaled * scaled) - 1, 3))
     )
 
 
@@ -105,12 +105,17 @@ def list_jaccard(a: Column, b: Column, is_match=None) -> Column:
     same = is_match or (lambda x, y: x == y)
     common = F.size(F.filter(F.array_distinct(a), lambda x: (F.trim(x) != "") & F.exists(b, lambda y: same(x, y))))
     union = F.size(a) + F.size(b) - common
-    return F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide(common, union), F.lit(0.0))), 3)
+    return F.bround(F.least(F.lit(1.0), F.coalesce(F.try_divide(common, union), F.lit(0.0))), 3)
 
 
 def list_score(a: Column, b: Column, is_match=None) -> Column:
     """List overlap scaled to -1..1."""
-    return F.round(2 * list_jaccard(a, b, is_match) - 1, 3)
+    return F.bround(2 * list_jaccard(a, b, is_match) - 1, 3)
+
+
+def author_score(a: Column, b: Column, is_match=None) -> Column:
+    """As ``list_score``, on sets: repeated authors count once."""
+    return list_score(F.array_distinct(a), F.array_distinct(b), is_match)
 
 
 def close_match(threshold: int = 80):
@@ -166,6 +171,6 @@ def metric_vector(emb: str = "embedding", close=None) -> list[Column]:
     pair = lambda f, c, *x: f(a(c), b(c), *x)
     return [
         name_score(a("name"), b("name"), a("name_emb"), b("name_emb")), pair(text_score, emb), pair(text_score, "desc_emb"), pair(type_score, "type"),
-        pair(list_score, "authors", close), pair(list_score, "topics", close), pair(brand_score, "brands", close), pair(list_score, "divisions", close),
+        pair(author_score, "authors", close), pair(list_score, "topics", close), pair(brand_score, "brands", close), pair(list_score, "divisions", close),
         pair(equality_score, "mpc_round"), pair(equality_score, "forecast_round"), pair(date_score, "date"),
     ]

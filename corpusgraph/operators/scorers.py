@@ -35,19 +35,19 @@ class DotScorer:
 
 
 class MeanScorer:
-    """Arithmetic mean of the metric vector."""
+    """Arithmetic mean of the metric vector; items of lists match from 80 of 100 on the spelling ratio."""
 
     columns = ["name", "name_emb", "embedding", "desc_emb", "type", "authors", "topics", "brands", "divisions", "mpc_round", "forecast_round", "date"]
 
     def __call__(self, a: str, b: str) -> Column:
-        return metrics.mean_score(metrics.metric_vector())
+        return metrics.mean_score(metrics.metric_vector(close=metrics.close_match()))
 
 
 class WeightedScorer(MeanScorer):
     """Weighted sum of the metric vector over its length."""
 
     def __call__(self, a: str, b: str) -> Column:
-        return metrics.weighted_score(metrics.metric_vector())
+        return metrics.weighted_score(metrics.metric_vector(close=metrics.close_match()))
 
 
 class EntityLinkScorer:

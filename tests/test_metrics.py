@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics as M
 from corpusgraph.functions import text as X
+from corpusgraph.operators.scorers import MeanScorer
 
 
 def one(spark, column):
@@ -46,6 +47,17 @@ def test_lists(spark):
     assert one(spark, M.equality_score(F.lit(None).cast("string"), F.lit(None).cast("string"))) == 1
 
 
+def test_half_even_author_sets_and_close_lists(spark):
+    arr = lambda xs: F.array(*[F.lit(x) for x in xs])
+    many = [f"i{i}" for i in range(16)]
+    assert one(spark, M.list_jaccard(arr(many), arr(["i0"]))) == 0.062
+    assert one(spark, M.author_score(arr(["a", "a", "b"]), arr(["a", "b", "b"]))) == 1
+    cols = {"name": F.lit("a"), "name_emb": F.array(F.lit(1.0)), "embedding": F.array(F.lit(1.0)), "desc_emb": F.array(F.lit(1.0)), "type": F.lit("Speech"), "brands": arr(["b"]), "divisions": arr(["d"]),
+            "topics": arr(["t"]), "mpc_round": F.lit("m"), "forecast_round": F.lit("f"), "date": F.lit(dt.date(2024, 1, 1))}
+    df = spark.range(1).select(*[c.alias(p + n) for p in ("a_", "b_") for n, c in cols.items()], arr(["Jane Smith"]).alias("a_authors"), arr(["Jane Smyth"]).alias("b_authors"))
+    assert df.select(MeanScorer()("a_", "b_").alias("v")).first().v == 1
+
+
 def test_weighted_score_of_ones(spark):
     assert one(spark, M.weighted_score([F.lit(1.0)] * 11)) == pytest.approx(1 / 11)
     assert one(spark, M.mean_score([F.lit(1.0)] * 11)) == 1

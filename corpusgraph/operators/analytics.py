@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 
 from corpusgraph.operators.graph import shortest_paths, symmetric
 from corpusgraph.plans.components import connected_components
+from corpusgraph.plans.positions import global_positions
 from corpusgraph.plans.scratch import materialize
 
 
@@ -288,7 +289,6 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame, key: str, attribute: str)
 
 
 def colour_nodes(nodes: DataFrame, membership: DataFrame, key: str) -> DataFrame:
-    """Nodes with a dense colour number per community, by the community's order."""
-    order = Window.orderBy("community")
-    colours = membership.select("community").distinct().withColumn("colour", F.row_number().over(order) - 1)
-    return nodes.join(membership.withColumnRenamed("node", "_m"), nodes[key] == F.col("_m"), "left").drop("_m").join(colours, "community", "left")
+    """Nodes with a dense colour number per community, by the community's order (numbered over ranges)."""
+    colours, _ = global_positions(membership.select("community").distinct(), ["community"], F.lit(1), "colour", "graph-colours")
+    return nodes.join(membership.withColumnRenamed("node", "_m"), nodes[key] == F.col("_m"), "left").drop("_m").join(colours.withColumn("colour", F.col("colour").cast("int")), "community", "left")

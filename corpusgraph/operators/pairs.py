@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.search import Best, search
+
 BLOCK_ROWS = 1024
 
 
@@ -61,46 +63,27 @@ def theta_pairs(nodes: DataFrame, seq: str, score: Callable[[str, str], Column],
     return a.join(b, F.col("a_" + seq) < F.col("b_" + seq)).withColumn(out, score("a_", "b_"))
 
 
-def top_k(scored: DataFrame, k: int, query: str = "query_id", score: str = "score", tie: str = "node_id") -> DataFrame:
-    """The ``k`` best rows of every query with their rank; ties go to the smaller node."""
-    order = Window.partitionBy(query).orderBy(F.desc_nulls_last(score), tie)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def vector_top_k(nodes: DataFrame, queries: DataFrame, k: int = 5, seq: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
     """``(query_id, node_id, score, rank)``: each query's ``k`` nearest nodes by dot product.
 
-    Queries travel to the nodes in blocks of bounded size; each task keeps only its own k best of
-    every query, so what is shuffled is k rows per query and partition.
+    Rows with a null vector or id take no part; vectors must be of one length.
     """
-    spark = nodes.sparkSession
-    asked = queries.select(F.col(seq).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    n_blocks = max(1, -(-asked.count() // block_rows))
-    parts = []
-    for i in range(n_blocks):
-        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i).orderBy("id").collect()
-        if not got:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in got]), np.array([r["v"] for r in got], float)))
-
-        def scan(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                node = batch.column(0).to_numpy()
-                score = np.round(q @ np.array(batch.column(1).to_pylist(), float).T, 6)
-                best = np.lexsort((np.broadcast_to(node, score.shape), -score), axis=1)[:, :k]
-                rows = np.arange(len(ids))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(node[best].ravel()), pa.array(score[rows, best].ravel())], names=["query_id", "node_id", "score"])
-
-        parts.append(nodes.select(F.col(seq).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null").mapInArrow(scan, "query_id long, node_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, node_id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return top_k(out, k)
+    clean = lambda df: df.select(F.col(seq).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    matrix = lambda lists: lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+    def scan(batches, block, k):
+        ids, q = block
+        best = Best(len(ids), k)
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            for i in range(0, batch.num_rows, BLOCK_ROWS):
+                score = np.round(q @ matrix(batch.column(1).slice(i, BLOCK_ROWS)).T, 6)
+                at, row = np.nonzero(score >= best.floor[:, None])
+                best.add(at, node[i:][row], score[at, row])
+        yield best.batch(ids)
+
+    load = lambda t: (t["id"].to_numpy(), matrix(t["v"].combine_chunks()))
+    return search(clean(nodes), clean(queries), F.lit(1), block_rows, load, scan, k)
 
 
 def every_other_edge(edges: DataFrame, seq: str = "src") -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics, text
-from corpusgraph.operators.pairs import top_k
+from corpusgraph.operators.search import share, sparse_top_k
+from corpusgraph.plans.scratch import materialize
 
 # Fixed values of the relevance formula.
 K1, B, NEGATIVE_IDF_SHARE = 1.5, 0.75, 0.25
@@ -59,63 +60,45 @@ class EntityLinkScorer:
         return metrics.entity_link_score(F.col(a + "entities"), F.col(b + "entities"), F.col(a + "links"), F.col(b + "links"))
 
 
-def term_frequencies(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``(id, token, tf, dl)``: counts of each token and the document's length."""
-    rows = docs.select(F.col(key).alias("id"), tokens.alias("ts")).withColumn("dl", F.size("ts"))
-    return rows.select("id", "dl", F.explode("ts").alias("token")).groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-
-
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", body: str = "text", tokens: Callable[[Column], Column] = text.tokens) -> DataFrame:
     """Top documents of query documents by Okapi relevance; each query's own document may win.
 
-    Weights of (document, token) are computed once from document and corpus counts; queries meet
-    them on tokens only, and sums are pre-aggregated per (query, document).  Negative inverse
-    document frequencies count as NEGATIVE_IDF_SHARE of the mean one.
+    One pass counts the documents of each token; queries then meet the documents in blocks, as
+    tokens with weights.  Negative inverse document frequencies count as NEGATIVE_IDF_SHARE of the
+    mean one.  Null texts have no words; documents that share no word with a query aren't ranked.
     """
-    tf = term_frequencies(docs, key, tokens(F.col(body)))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(body), F.lit(""))))).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
-    idf = df.withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.crossJoin(F.broadcast(floor)).select("token", "avgdl", F.when(F.col("idf") < 0, NEGATIVE_IDF_SHARE * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    asked = term_frequencies(queries, key, tokens(F.col(body))).select(F.col("id").alias("query_id"), "token", F.col("tf").alias("q_tf"))
-    wanted = idf.join(asked, "token")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(wanted, "token").groupBy("query_id", F.col("id").alias("node_id")).agg(F.round(F.sum(F.col("q_tf") * part), 6).alias("score"))
-    return top_k(scores, k)
+    words = lambda df: df.select(F.col(key).alias("id"), F.coalesce(tokens(F.col(body)), F.array().cast("array<string>")).alias("s0"))
+    rows = words(docs)
+    n, avgdl = rows.agg(F.count("*"), F.avg(F.size("s0"))).first()
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    held = materialize(rows.select(F.explode(F.array_distinct("s0")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).select("token", idf.alias("idf")), "idf")
+    floor = NEGATIVE_IDF_SHARE * (held.agg(F.avg("idf")).first()[0] or 0.0)
+    terms = words(queries).select("id", F.explode("s0").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf")).join(held, "token")
+    term = F.struct("token", (F.col("tf") * F.when(F.col("idf") < 0, floor).otherwise(F.col("idf"))).alias("w"))
+    asked = terms.groupBy("id").agg(F.collect_list(term).alias("t")).select("id", F.col("t.token").alias("s0"), F.col("t.w").alias("w0"))
+    return sparse_top_k(
+        rows, asked, 1, lambda sums, a, b: sums[0], k, gain=lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)), itself=True, weighted=True,
+    )
 
 
 def jaccard_top_k(rows: DataFrame, queries: DataFrame, items: Column, key: str, k: int = 5) -> DataFrame:
-    """Rows that share the largest part of their item sets with each query row (itself left out)."""
-    sets = rows.select(F.col(key).alias("node_id"), F.array_distinct(items).alias("s")).withColumn("n", F.size("s"))
-    asked = queries.select(F.col(key).alias("query_id"), F.array_distinct(items).alias("qs")).withColumn("qn", F.size("qs"))
-    common = (
-        asked.select("query_id", "qn", F.explode("qs").alias("item"))
-        .join(sets.select("node_id", "n", F.explode("s").alias("item")), "item")
-        .where("query_id <> node_id").groupBy("query_id", "node_id", "qn", "n").agg(F.count("*").alias("both"))
-    )
-    return top_k(common.select("query_id", "node_id", F.round(F.col("both") / (F.col("qn") + F.col("n") - F.col("both")), 6).alias("score")), k)
+    """Rows that share the largest part of their item sets with each query row (itself left out).
+
+    Rows that share no item aren't ranked; null lists are empty.
+    """
+    sets = lambda df: df.select(F.col(key).alias("id"), F.array_distinct(items).alias("s0"))
+    return sparse_top_k(sets(rows), sets(queries), 1, lambda both, a, b: share(both[0], a[0], b[0]), k)
 
 
 def entity_link_top_k(rows: DataFrame, queries: DataFrame, entities: Column, links: Column, key: str, k: int = 5) -> DataFrame:
     """Rows with the best entity and link score for each query row (itself left out).
 
-    Only rows that share an entity or a link with the query score above 0; they meet on the items,
-    and common items are counted by kind.
+    Only rows that share an entity or a link with the query score above 0, and are ranked; null
+    lists are empty.
     """
-    item = lambda kind, c: F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
-
-    def sides(df: DataFrame, name: str, p: str) -> DataFrame:
-        sets = df.select(F.col(key).alias(name), F.coalesce(item("e", entities), F.array()).alias("e"), F.coalesce(item("l", links), F.array()).alias("l"))
-        return sets.select(name, F.size("e").alias(p + "e"), F.size("l").alias(p + "l"), F.explode(F.concat("e", "l")).alias("item"))
-
-    common = (
-        sides(queries, "query_id", "q").join(sides(rows, "node_id", "n"), "item").where("query_id <> node_id")
-        .groupBy("query_id", "node_id", "qe", "ql", "ne", "nl")
-        .agg(F.sum((F.col("item.kind") == "e").cast("int")).alias("e"), F.sum((F.col("item.kind") == "l").cast("int")).alias("l"))
-    )
-    part = lambda x: F.coalesce(F.try_divide(F.col(x), F.col("q" + x) + F.col("n" + x) - F.col(x)), F.lit(0.0))
-    return top_k(common.select("query_id", "node_id", F.round(0.8 * part("e") + 0.2 * part("l"), 6).alias("score")), k)
+    sets = lambda df: df.select(F.col(key).alias("id"), F.array_distinct(entities).alias("s0"), F.array_distinct(links).alias("s1"))
+    score = lambda both, a, b: 0.8 * share(both[0], a[0], b[0]) + 0.2 * share(both[1], a[1], b[1])
+    return sparse_top_k(sets(rows), sets(queries), 2, score, k)
 
 
 def robust_scale(edges: DataFrame, weight: str = "weight", by: list[str] | None = None, out: str = "scaled") -> DataFrame:

@@ -63,12 +63,12 @@ class EntityLinkScorer:
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 5, key: str = "doc_id", body: str = "text", tokens: Callable[[Column], Column] = text.tokens) -> DataFrame:
     """Top documents of query documents by Okapi relevance; each query's own document may win.
 
-    One pass counts the documents of each token; queries then meet the documents in blocks, as
-    tokens with weights.  Negative inverse document frequencies count as NEGATIVE_IDF_SHARE of the
+    Texts are split once and their words written; one pass counts the documents of each token, and
+    queries then meet the documents in blocks, as tokens with weights.  Negative inverse document frequencies count as NEGATIVE_IDF_SHARE of the
     mean one.  Null texts have no words; documents that share no word with a query aren't ranked.
     """
     words = lambda df: df.select(F.col(key).alias("id"), F.coalesce(tokens(F.col(body)), F.array().cast("array<string>")).alias("s0"))
-    rows = words(docs)
+    rows = materialize(words(docs), "words")
     n, avgdl = rows.agg(F.count("*"), F.avg(F.size("s0"))).first()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     held = materialize(rows.select(F.explode(F.array_distinct("s0")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).select("token", idf.alias("idf")), "idf")

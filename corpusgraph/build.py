@@ -87,8 +87,11 @@ def evaluate_qa(nodes: DataFrame, edges: DataFrame, root: str, n: int, asker: Ca
 
 
 def metric_table(nodes: DataFrame, seq: str, columns: list[str] | None = None) -> DataFrame:
-    """The metric vector of all pairs of fully described nodes, and its row mean as ``average``."""
+    """The metric vector of all pairs of fully described nodes, and its row mean as ``average``.
+
+    Items of lists match from 80 of 100 on the spelling ratio.  A metric of a null is null, and so is the mean.
+    """
     cols = columns or scorers.MeanScorer.columns
     rows = pairs.theta_pairs(nodes, seq, lambda a, b: F.lit(None).cast("double"), cols)
-    named = rows.select(f"a_{seq}", f"b_{seq}", *[c.alias(n) for n, c in zip(metrics.METRICS, metrics.metric_vector(), strict=True)])
+    named = rows.select(f"a_{seq}", f"b_{seq}", *[c.alias(n) for n, c in zip(metrics.METRICS, metrics.metric_vector(close=metrics.close_match()), strict=True)])
     return named.withColumn("average", metrics.mean_score([F.col(n) for n in metrics.METRICS]))

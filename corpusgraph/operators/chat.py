@@ -354,3 +354,61 @@ def set_system_message(conversations: DataFrame, text: str, key: str = "conv_id"
     first = conversations.groupBy(key).agg((F.min("turn") - 1).alias("turn"))
     rest = conversations.where(~F.col("role").eqNullSafe(F.lit("system"))).select(key, "turn", "role", "text")
     return first.select(key, "turn", F.lit("system").alias("role"), F.lit(text).alias("text")).union(rest)
+
+
+# Images of a turn: ``images``, a list of ``(kind, value, filetype)``, kind ``url`` or ``bytes`` (value then in base64).
+
+
+def image_hashes(images: Column) -> Column:
+    """One text an image: a url itself, else the MD5 of the file's bytes; null for null."""
+    return F.transform(images, lambda i: F.when(i["kind"] == "url", i["value"]).otherwise(F.md5(F.unbase64(i["value"]))))
+
+
+def hashed_turns(conversations: DataFrame, key: str = "conv_id") -> DataFrame:
+    """``(key, turn, role, text, image_hashes)``: turns with hashes for images (null where a turn has none)."""
+    return conversations.select(key, "turn", "role", "text", image_hashes(F.col("images")).alias("image_hashes"))
+
+
+def image_files(conversations: DataFrame, folder: str = "images", saved: DataFrame | None = None) -> DataFrame:
+    """``(path, data)`` of the images that turns hold as bytes, once each, less the paths in ``saved``."""
+    image = conversations.select(F.explode("images").alias("i")).where("i.kind <> 'url'")
+    data = F.unbase64("i.value")
+    files = image.select(F.concat(F.lit(f"{folder}/"), F.md5(data), F.lit("."), F.col("i.filetype")).alias("path"), data.alias("data")).dropDuplicates(["path"])
+    return files if saved is None else files.join(saved.select("path"), "path", "left_anti")
+
+
+def vision_messages(conversations: DataFrame, service: str = "openai", key: str = "conv_id") -> DataFrame:
+    """``(key, messages)``: as ``openai_messages``, with lists of parts as content: texts and images.
+
+    ``openai`` names an image by its url (bytes as a data url); ``anthropic`` holds its bytes, and the
+    system message even where it is empty.  Parts that a kind of content lacks are null, and absent in JSON.
+    """
+    if service not in ("openai", "anthropic"):
+        raise ValueError(f"no service {service!r}")
+    part = "struct<type:string,text:string,image_url:struct<url:string>,source:struct<type:string,media_type:string,data:string>>"
+
+    def text_part(text: Column) -> Column:
+        return F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).alias("image_url"), F.lit(None).alias("source")).cast(part)
+
+    def image_part(i: Column) -> Column:
+        media = F.concat(F.lit("image/"), i["filetype"])
+        if service == "anthropic":
+            source = F.struct(F.lit("base64").alias("type"), media.alias("media_type"), i["value"].alias("data"))
+            return F.struct(F.lit("image").alias("type"), F.lit(None).alias("text"), F.lit(None).alias("image_url"), source.alias("source")).cast(part)
+        url = F.when(i["kind"] == "url", i["value"]).otherwise(F.concat(F.lit("data:"), media, F.lit(";base64,"), i["value"]))
+        return F.struct(F.lit("image_url").alias("type"), F.lit(None).alias("text"), F.struct(url.alias("url")).alias("image_url"), F.lit(None).alias("source")).cast(part)
+
+    none = F.array().cast(f"array<{part}>")
+
+    def message(m: Column, i: Column) -> Column:
+        images = F.when((i % 2 == 0) & m["images"].isNotNull(), F.transform(m["images"], image_part)).otherwise(none)
+        return F.struct(F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.concat(F.array(text_part(m["text"])), images).alias("content"))
+
+    said = F.array_sort(F.collect_list(F.when(~F.col("role").eqNullSafe("system"), F.struct("turn", "text", "images"))))
+    rows = conversations.groupBy(key).agg(F.min_by(F.when(F.col("role") == "system", F.col("text")), F.when(F.col("role") == "system", F.col("turn"))).alias("system"), said.alias("turns"))
+    turns = F.filter(F.transform("turns", message), lambda m: ~((m["role"] == "assistant") & m["content"][0]["text"].isNull()))
+    system = F.coalesce("system", F.lit(""))
+    head = F.array(F.struct(F.lit("system").alias("role"), F.array(text_part(system)).alias("content")))
+    if service == "openai":
+        head = F.filter(head, lambda m: m["content"][0]["text"] != "")
+    return rows.select(key, F.concat(head, turns).alias("messages"))

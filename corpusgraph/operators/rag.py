@@ -11,10 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.functions.metrics import dot
 from corpusgraph.functions.text import context_clean, file_name
+from corpusgraph.operators.embedding import embed_queries
 from corpusgraph.operators.graph import anchor_nodes, context_nodes, shortest_paths
+from corpusgraph.operators.pairs import vector_top_k
+from corpusgraph.plans.scratch import materialize
 
 ANSWER_SYSTEM = "You answer questions from the documents given. Use only what they say, and say so if they do not hold the answer."
+EXTRACT_TASK = "Find the answer in the contexts and write it out. Write none if they do not hold it, or are about something else."
 QUESTION_SYSTEM = "Write one question that the context answers, and its answer.\n\nOutput:::\nQuestion: (your question)\nAnswer: (your answer to the question)"
 CRITIQUES = {
     "groundedness": "Rate from 1 to 5 how clearly the context answers the question.\n\nAnswer:::\nEvaluation: (your reasons)\nTotal rating: (1 to 5)",
@@ -33,6 +38,11 @@ def context_text(rows: DataFrame, key: str, order: str, text: str, label: str =
     return g.select(key, F.concat(F.lit(" "), F.array_join(F.transform("items", line), "")).alias("context"))
 
 
+def stuff_documents(pages: Column) -> Column:
+    """A list of page texts as one context: each between line ends (null texts are empty)."""
+    return F.array_join(F.transform(pages, lambda p: F.concat(F.lit("\n"), F.coalesce(p, F.lit("")), F.lit("\n"))), "")
+
+
 def chat_prompt(system: str | Column, user: Column) -> Column:
     """Two messages: the system's and the user's."""
     system = F.lit(system) if isinstance(system, str) else system
@@ -44,6 +54,11 @@ def answer_prompt(context: Column, question: Column) -> Column:
     return chat_prompt(ANSWER_SYSTEM, F.concat(F.lit("Context: "), context, F.lit("\nQuestion: "), question))
 
 
+def extract_prompt(contexts: Column, question: Column) -> Column:
+    """The prompt that asks for an answer found in the contexts, or for none."""
+    return chat_prompt(f"{ANSWER_SYSTEM}\n{EXTRACT_TASK}", F.concat(F.lit("Question: "), question, F.lit("\n\nContexts: "), contexts))
+
+
 def critique_prompt(kind: str, question: Column, context: Column | None = None) -> Column:
     body = F.concat(F.lit("Question: "), question)
     if context is not None:
@@ -83,6 +98,11 @@ def parse_judge(completion: Column) -> Column:
     return F.coalesce(F.trim(F.element_at(F.split(completion, "\\[RESULT\\]", -1), -1)), F.lit("0"))
 
 
+def judge_reasons(completion: Column) -> Column:
+    """What a judge wrote for people to read: from the prompt's end mark to the rating's, stripped; null without the first."""
+    return F.trim(F.split_part(_after(completion, "[/INST]"), F.lit("[RESULT]"), F.lit(1)))
+
+
 def passes_critiques(*scores: Column, least: float = MIN_RATING) -> Column:
     """All scores are numbers of ``least`` or more (what is missing or no number counts as 0)."""
     ok = F.lit(True)
@@ -115,6 +135,33 @@ def document_items(nodes: DataFrame, paths: DataFrame, key: str) -> DataFrame:
     return numbered.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("dist", "doc_num")))
 
 
+def result_documents(nodes: DataFrame, paths: DataFrame, key: str, text: str, description: str, date: str, path: str) -> DataFrame:
+    """``(source, place, page_content, metadata)``: context nodes by rising distance, as result items.
+
+    ``doc_num`` counts in node order, before the sort; nulls of a node stay null in its metadata.
+    """
+    metadata = F.struct(
+        "doc_num", "doc_description", "doc_date", F.col("dist").alias("doc_difference"), file_name(F.col("_path")).alias("title"),
+    )
+    told = nodes.select(F.col(key).alias("_node"), *[F.col(c).alias(n) for c, n in ((text, "page_content"), (description, "doc_description"), (date, "doc_date"), (path, "_path"))])
+    return document_items(told, paths, "_node").select("source", "place", "page_content", metadata.alias("metadata"))
+
+
+def run_cases(nodes: DataFrame, edges: DataFrame, cases: DataFrame, key: str, text: str, name: str, k: int = 3, model: Callable[[str], str] | None = None, pick: str = "last") -> DataFrame:
+    """``(case_id, question, anchor_document, node_id, context, answer)`` of all test cases.
+
+    A case is anchored in the best node of its document, or of all documents where it names none.  A
+    case whose document has no nodes has no answer (null).  ``nodes`` hold their vectors as ``embedding``.
+    """
+    asked = materialize(embed_queries(cases.select("case_id", "question", "anchor_document"), "question", "_q"), "cases")
+    score = F.round(dot(F.col("embedding"), F.col("_q")), 6)
+    inside = nodes.join(asked, F.col(name) == F.col("anchor_document")).select(F.col("case_id").cast("long").alias("query_id"), F.col(key).cast("long").alias("node_id"), score.alias("score"))
+    free = asked.where("anchor_document is null").select(F.col("case_id").alias(key), F.col("_q").alias("embedding"))
+    scored = inside.union(vector_top_k(nodes, free, 1, key).select("query_id", "node_id", "score"))
+    got = answer(nodes, edges, scored, asked.select(F.col("case_id").cast("long").alias("query_id"), "question"), key, text, k, model, pick)
+    return cases.select("case_id", "question", "anchor_document").join(got.select(F.col("query_id").alias("case_id"), "node_id", "context", "answer"), "case_id", "left")
+
+
 def answer(nodes: DataFrame, edges: DataFrame, scored: DataFrame, questions: DataFrame, key: str, text: str, k: int = 3, model: Callable[[str], str] | None = None, pick: str = "last") -> DataFrame:
     """``(query_id, question, node_id, context, answer)`` for a batch of questions.
 
@@ -123,7 +170,7 @@ def answer(nodes: DataFrame, edges: DataFrame, scored: DataFrame, questions: Dat
     """
     anchors = anchor_nodes(scored)
     paths = context_nodes(shortest_paths(edges, anchors.select(F.col("node_id").alias("source"))), k, pick)
-    context = context_text(document_items(nodes, paths, key), "source", "place", text)
+    context = context_text(document_items(nodes.select(F.col(key).alias("_node"), F.col(text).alias("_text")), paths, "_node"), "source", "place", "_text")
     rows = questions.join(anchors, "query_id").join(context, F.col("node_id") == F.col("source"), "left").drop("source", "score")
     prompt = F.array_join(F.transform(answer_prompt(F.coalesce("context", F.lit("")), F.col("question")), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return generate(rows.withColumn("prompt", prompt), "prompt", model, "answer").drop("prompt")

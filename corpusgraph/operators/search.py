@@ -82,6 +82,25 @@ def search(rows: DataFrame, asked: DataFrame, size: Column, limit: int, load: Ca
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def scored_top_k(nodes: DataFrame, queries: DataFrame, scorer, seq: str, k: int = 5, block_rows: int = 256) -> DataFrame:
+    """``(query_id, node_id, score, rank)``: each query row's best other nodes by any column scorer.
+
+    Queries travel to the nodes ``block_rows`` at a time; the k best of a partition are kept before the
+    shuffle.  Rows with a null ``seq`` take no part; null scores come last.
+    """
+    side = lambda df, p: df.where(F.col(seq).isNotNull()).select(*[F.col(c).alias(p + c) for c in dict.fromkeys([seq, *scorer.columns])])
+    asked, rows = materialize(side(queries, "a_"), "queries"), side(nodes, "b_")
+    n, paths = asked.count() // block_rows + 1, []
+    for i in range(n):
+        part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("a_" + seq), F.lit(n)) == i)
+        pairs = rows.join(F.broadcast(part), F.col("a_" + seq) != F.col("b_" + seq))
+        best = top_k(pairs.select(F.col("a_" + seq).alias("query_id"), F.col("b_" + seq).alias("node_id"), F.round(scorer("a_", "b_"), 6).alias("score")), k)
+        if n == 1:
+            return best
+        paths.append(materialize(best, "found"))
+    return nodes.sparkSession.read.schema(paths[0].schema).parquet(*[p._written_at for p in paths])
+
+
 class Postings:
     """Which queries hold an item, and with which weight."""
 

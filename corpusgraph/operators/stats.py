@@ -51,6 +51,25 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
+def sample_pairs(nodes: DataFrame, seq: str, n: int = 1000, seed: int = 0) -> DataFrame:
+    """``n`` pairs of different nodes, ``(draw, a, b)``, drawn by the MD5 of seed and draw; repeats may occur.
+
+    Nodes are numbered in the order of ``seq``, and only the drawn numbers meet the nodes.  Fewer than two
+    nodes give no pairs; nodes with a null ``seq`` take no part.
+    """
+    placed, total = global_positions(nodes.select(F.col(seq).alias("_seq")).where("_seq is not null"), ["_seq"], F.lit(1), "_at", "numbered")
+    number = lambda side: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"), F.lit(f":{side}"))), 1, 8), 16, 10).cast("long")
+    first = number("a") % max(total, 1)
+    draws = nodes.sparkSession.range(n if total > 1 else 0).select(F.col("id").alias("draw"), first.alias("_a"), ((first + 1 + number("b") % max(total - 1, 1)) % max(total, 1)).alias("_b"))
+    side = lambda at, name: placed.select(F.col("_at").alias(at), F.col("_seq").alias(name))
+    return draws.join(side("_a", "a"), "_a").join(side("_b", "b"), "_b").select("draw", "a", "b")
+
+
+def value_histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """``(bucket, n)``: how many values lie from ``bucket * width`` up to the next; nulls are left out."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.floor(F.col(value) / width).alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def leave_one_out_regressions(df: DataFrame, columns: list[str], seq: str, folds: int = 5) -> DataFrame:
     """Each column regressed on the others in contiguous folds: mean and deviation of the errors.
 

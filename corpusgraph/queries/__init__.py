@@ -14,11 +14,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from corpusgraph.queries import chats, graphs, tables, texts
+    from corpusgraph.queries import chats, graphs, scoring, tables, texts
 
     queries: dict[str, Query] = {}
     oracles: dict[str, str] = {}
-    for module in (graphs, texts, tables, chats):
+    for module in (graphs, texts, tables, chats, scoring):
         queries |= {f.__name__: f for f in module.QUERIES}
         oracles |= module.ORACLES
     return queries, oracles

@@ -44,6 +44,13 @@ def attach_metadata(docs: DataFrame, metadata: DataFrame, docs_key: str, meta_ke
     return docs.join(m, docs[docs_key] == F.col(f"`meta_{meta_key}`"), "left")
 
 
+def rename_metadata(metadata: DataFrame, names: dict[str, str], drop: Iterable[str] = ()) -> DataFrame:
+    """Metadata columns under new names, some dropped; a name that isn't there is refused."""
+    if unknown := {*names, *drop} - set(metadata.columns):
+        raise ValueError(f"no columns {sorted(unknown)}")
+    return metadata.drop(*drop).withColumnsRenamed(names)
+
+
 def test_cases(spark: SparkSession, cases: Iterable[tuple[str, str]]) -> DataFrame:
     """``(case_id, question, anchor_document)`` of hand-written cases."""
     return spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate(cases)], "case_id int, question string, anchor_document string")

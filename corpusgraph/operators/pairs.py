@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.operators.search import Best, search
+from corpusgraph.operators.search import Best, half_up, search
 
 BLOCK_ROWS = 1024
 
@@ -19,12 +19,13 @@ def chunks(nodes: DataFrame, n: int, seq: str) -> DataFrame:
     return nodes.withColumn("chunk", F.pmod(F.col(seq), F.lit(n)))
 
 
-def all_pairs(nodes: DataFrame, seq: str = "vec_id", vector: str = "embedding", metric: str = "dot", min_weight: float | None = None, both_ways: bool = False, digits: int | None = 6) -> DataFrame:
+def all_pairs(nodes: DataFrame, seq: str = "vec_id", vector: str = "embedding", metric: str = "dot", min_weight: float | None = None, both_ways: bool = False, digits: int | None = 6, reduce: tuple[Callable[[np.ndarray], pa.Table], str] | None = None) -> DataFrame:
     """``(src, dst, weight)`` of all pairs with ``src < dst`` (or all ordered pairs).
 
     Vectors are striped into blocks of about BLOCK_ROWS; each pair of blocks is one matrix product
     of bounded size.  ``min_weight`` (strict) is applied inside the block, so that a sparse graph
-    never writes its complement.  Rows with a null vector or position take no part.
+    never writes its complement.  ``reduce`` (a function of a block's rounded weights, and its
+    schema) replaces the pairs by what it returns, so that none leaves its block.  Rows with a null vector or position take no part.
     """
     rows = nodes.select(F.col(seq).cast("long").alias("seq"), F.col(vector).cast("array<double>").alias("v")).where("seq is not null and v is not null")
     n = max(1, -(-rows.count() // BLOCK_ROWS))
@@ -46,9 +47,13 @@ def all_pairs(nodes: DataFrame, seq: str = "vec_id", vector: str = "embedding",
         if min_weight is not None:
             keep &= (np.round(w, digits) if digits is not None else w) > min_weight
         a, b, w = a[keep], b[keep], w[keep]
+        if reduce is not None:
+            return reduce[0](np.copysign(half_up(np.abs(w), digits), w) if digits is not None else w)
         return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b), "weight": w})
 
-    out = keyed.groupBy("x", "y").applyInArrow(score, "src long, dst long, weight double")
+    out = keyed.groupBy("x", "y").applyInArrow(score, reduce[1] if reduce else "src long, dst long, weight double")
+    if reduce is not None:
+        return out
     if digits is not None:
         out = out.withColumn("weight", F.round("weight", digits))
     if both_ways:

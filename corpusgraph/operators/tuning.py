@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import analytics
 from corpusgraph.operators.graph import threshold_edges
+from corpusgraph.operators.pairs import all_pairs
+from corpusgraph.plans.scratch import materialize
 
 GRID, TARGET_SHARE, TARGET_DEGREE = 50, 0.2, 10
 
@@ -22,16 +26,50 @@ def threshold_table(edges: DataFrame, points: int = GRID, digits: int = 6) -> Da
     lo, hi = w.agg(F.min("weight"), F.max("weight")).first()
     if lo is None:
         return w.sparkSession.createDataFrame([], "idx int, threshold double, share double")
-    at = [round(lo + i * ((hi - lo) / (points - 1)), digits) for i in range(points)]
+    at = _grid(lo, hi, points, digits)
     counts = w.agg(F.count("*").alias("n"), *[F.count_if(F.col("weight") > t).alias(f"c{i}") for i, t in enumerate(at)])
     rows = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(t).alias("threshold"), F.round(F.col(f"c{i}") / F.col("n"), digits).alias("share")) for i, t in enumerate(at)])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _grid(lo: float, hi: float, points: int, digits: int) -> list[float]:
+    return [round(lo + i * ((hi - lo) / (points - 1)), digits) for i in range(points)]
+
+
+def product_threshold_table(nodes: DataFrame, seq: str, vector: str = "embedding", points: int = GRID, digits: int = 6) -> DataFrame:
+    """``threshold_table`` of the products of all pairs, of which none is written.
+
+    Two rounds of blocked products: a block gives its least and greatest weight, then its ``points``
+    counts.  Fewer than two nodes with vectors give no rows.
+    """
+    nodes = materialize(nodes.select(seq, vector), "vectors")
+
+    def ends(w: np.ndarray) -> pa.Table:
+        w = w[~np.isnan(w)]
+        return pa.table({"lo": pa.array([w.min()] if len(w) else [], pa.float64()), "hi": pa.array([w.max()] if len(w) else [], pa.float64())})
+
+    lo, hi = all_pairs(nodes, seq, vector, digits=digits, reduce=(ends, "lo double, hi double")).agg(F.min("lo"), F.max("hi")).first()
+    if lo is None:
+        return nodes.sparkSession.createDataFrame([], "idx int, threshold double, share double")
+    at = _grid(lo, hi, points, digits)
+
+    def counts(w: np.ndarray) -> pa.Table:
+        w = np.sort(w[~np.isnan(w)])
+        over = len(w) - np.searchsorted(w, at, "right")
+        return pa.table({"idx": pa.array(range(points), pa.int32()), "threshold": pa.array(at, pa.float64()), "k": over, "n": np.full(points, len(w))})
+
+    per = all_pairs(nodes, seq, vector, digits=digits, reduce=(counts, "idx int, threshold double, k long, n long"))
+    return per.groupBy("idx", "threshold").agg(F.round(F.sum("k") / F.sum("n"), digits).alias("share"))
+
+
+def best_threshold(table: DataFrame, share: float = TARGET_SHARE) -> DataFrame:
+    """The row of a threshold table that keeps nearest to ``share`` of the edges (the first of equals)."""
+    return table.agg(F.min_by(F.struct("threshold", "share"), F.struct(F.round(F.abs(F.col("share") - share), 6), F.col("idx"))).alias("b")).select("b.*")
+
+
 def tune_threshold(edges: DataFrame, share: float = TARGET_SHARE, points: int = GRID) -> DataFrame:
     """The grid point that keeps nearest to ``share`` of the edges (the first of equals)."""
-    table = threshold_table(edges, points)
-    return table.agg(F.min_by(F.struct("threshold", "share"), F.struct(F.round(F.abs(F.col("share") - share), 6), F.col("idx"))).alias("b")).select("b.*")
+    return best_threshold(threshold_table(edges, points), share)
 
 
 def objective(nodes: DataFrame, edges: DataFrame, key: str, threshold: float, target_degree: float = TARGET_DEGREE) -> float:

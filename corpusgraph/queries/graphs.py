@@ -55,13 +55,11 @@ def every_other_edge(spark, sf_dir):
 
 
 def threshold_grid(spark, sf_dir):
-    e = materialize(pairs.all_pairs(read(spark, sf_dir, "embeddings")), "pairs")
-    return tuning.threshold_table(e)
+    return tuning.product_threshold_table(read(spark, sf_dir, "embeddings"), "vec_id")
 
 
 def edge_threshold(spark, sf_dir):
-    e = materialize(pairs.all_pairs(read(spark, sf_dir, "embeddings")), "pairs")
-    return tuning.tune_threshold(e)
+    return tuning.best_threshold(tuning.product_threshold_table(read(spark, sf_dir, "embeddings"), "vec_id"))
 
 
 def threshold_graph_edges(spark, sf_dir):

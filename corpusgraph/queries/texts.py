@@ -172,6 +172,11 @@ ORACLES = {
     "entity_counts": r"SELECT doc_id, len(list_distinct(regexp_extract_all(replace(text, chr(10), ' '), '([A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,}|[0-9]+(?:\.[0-9]+)?)', 1)))::INT AS n FROM documents",
     "entity_link_pairs": r"""WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(replace(text, chr(10), ' '), '([A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,}|[0-9]+(?:\.[0-9]+)?)', 1)) AS s FROM documents)
         SELECT a.doc_id, coalesce(round(0.8 * (len(list_intersect(a.s, b.s)) / nullif(len(list_distinct(list_concat(a.s, b.s))), 0)), 6), 0) AS score FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""",
+    "entity_link_topk": r"""WITH p AS (SELECT page_id AS id, list_distinct(regexp_extract_all(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), chr(10), ' '), '([A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,}|[0-9]+(?:\.[0-9]+)?)', 1)) AS e,
+        list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS l FROM pages WHERE page_id IS NOT NULL),
+        c AS (SELECT a.id AS query_id, b.id AS node_id, len(list_intersect(a.e, b.e)) AS e, len(list_intersect(a.l, b.l)) AS l, len(a.e) AS ae, len(b.e) AS be, len(a.l) AS al, len(b.l) AS bl FROM p a JOIN p b ON a.id <> b.id WHERE a.id % 100 = 0),
+        r AS (SELECT query_id, node_id, round(0.8::DOUBLE * (e / greatest(ae + be - e, 1)) + 0.2::DOUBLE * (l / greatest(al + bl - l, 1)), 6) AS score FROM c WHERE e + l > 0)
+        SELECT query_id, node_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM r) WHERE rank <= 5""",
     "context_prompt": f"""SELECT source, md5(' ' || string_agg('Context ' || o || ': ' || t || ' ' || chr(10), '' ORDER BY o)) AS digest FROM
         (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o, {_CLEAN} AS t FROM documents) GROUP BY source""",
     "answer_prompts": f"SELECT item_id, 2 AS n, md5('Context: ' || {_CLEAN} || chr(10) || 'Question: What is it about?') AS digest FROM benchmark",

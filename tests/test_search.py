@@ -84,3 +84,15 @@ def test_no_queries_and_no_rows(spark):
     assert scorers.jaccard_top_k(none, df, F.col("s"), "id").count() == 0
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert scorers.bm25_top_k(docs, docs).count() == 0
+
+
+def test_thresholds_in_blocks_equal_those_of_written_pairs(spark, monkeypatch):
+    from corpusgraph.operators import tuning
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 3)))] + [(40, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 16)
+    want = [tuple(r) for r in tuning.threshold_table(pairs.all_pairs(df)).orderBy("idx").collect()]
+    assert [tuple(r) for r in tuning.product_threshold_table(df, "vec_id").orderBy("idx").collect()] == want
+    assert tuning.product_threshold_table(df.limit(1), "vec_id").count() == 0

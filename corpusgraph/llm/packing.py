@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 import zlib
@@ -11,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgraph.plans.positions import global_positions
+from corpusgraph.plans.positions import global_positions, long_array
 from corpusgraph.plans.scratch import materialize
 
 LENGTH = 4096
-#: Piece lengths are rounded up to this many tokens for the linear program.
-UNIT = 16
+#: Piece lengths are rounded up to so many different sizes for the linear program.
+CLASSES = 256
 END_ID = 2
 #: Entries of at most so many characters are remembered, up to so many of each kind a worker.
 _CACHED_CHARS, _CACHED_PARTS, _CACHED_WORDS = 48, 400_000, 800_000
@@ -124,26 +125,56 @@ def cut(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(scan, PIECES + ", ids binary" * with_ids)
 
 
-def _best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable multiset of sizes 1..len(value) within ``capacity``."""
-    m = len(value)
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        k = min(c, m)
-        gains = value[:k] + best[c - 1 :: -1][:k] if c > k else value[:k] + best[c - k : c][::-1]
-        i = int(gains.argmax())
-        if gains[i] > best[c - 1] + 1e-12:
-            best[c], took[c] = gains[i], i + 1
-        else:
-            best[c] = best[c - 1]
-    pattern, c = np.zeros(m, np.int64), capacity
-    while c > 0:
-        if took[c]:
-            pattern[took[c] - 1] += 1
-            c -= took[c]
-        else:
-            c -= 1
-    return best[capacity], pattern
+def length_classes(histogram: dict[int, int], limit: int = CLASSES) -> list[int]:
+    """At most ``limit`` sizes to round piece lengths (``length -> pieces``) up to, with little waste.
+
+    Every length is a size at first; then the size whose pieces lose least by going up to the next
+    one is given up, until ``limit`` are left.  Sizes are lengths that occur, so a length that many
+    pieces have stays exact.
+    """
+    sizes = sorted(histogram)
+    count, above = dict(histogram), dict(zip(sizes, sizes[1:], strict=False))
+    below = {b: a for a, b in above.items()}
+    heap = [(count[s] * (t - s), s, t) for s, t in above.items()]
+    heapq.heapify(heap)
+    while len(count) > limit:
+        waste, s, t = heapq.heappop(heap)
+        if s not in count or above[s] != t or waste != count[s] * (t - s):
+            continue
+        count[t] += count.pop(s)
+        del above[s]
+        for lower, upper in ((below.pop(s, None), t), (t, above.get(t))):
+            if lower is not None and upper is not None:
+                above[lower] = upper
+                below[upper] = lower
+                heapq.heappush(heap, (count[lower] * (upper - lower), lower, upper))
+        if below.get(t) == s:
+            del below[t]
+    return sorted(count)
+
+
+def _best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """Unbounded knapsack: the most valuable multiset of ``sizes`` within ``capacity``, as counts.
+
+    Sizes enter one by one; one more of a size is a running maximum along every ``size``-th cell.
+    """
+    best, kept = np.zeros(capacity + 1), []
+    for i, s in enumerate(sizes):
+        if value[i] <= best[s]:
+            continue
+        steps = -(-(capacity + 1) // s)
+        cells = np.full(steps * s, -np.inf)
+        cells[: capacity + 1] = best
+        gain = value[i] * np.arange(steps)[:, None]
+        kept.append((i, best))
+        best = (np.maximum.accumulate(cells.reshape(steps, s) - gain, axis=0) + gain).ravel()[: capacity + 1]
+    counts, c = np.zeros(len(sizes), np.int64), capacity
+    total = best[capacity]
+    for i, before in reversed(kept):
+        k = np.arange(c // sizes[i] + 1)
+        n = int((before[c - k * sizes[i]] + k * value[i]).argmax())
+        counts[i], c = n, c - n * sizes[i]
+    return total, counts
 
 
 def generate_columns(demand: dict[int, int], capacity: int, gap: float = 1e-3, max_rounds: int = 20000) -> list[tuple[dict[int, int], float]]:
@@ -157,19 +188,16 @@ def generate_columns(demand: dict[int, int], capacity: int, gap: float = 1e-3, m
     if not sizes:
         return []
     m = len(sizes)
-    at = np.array(sizes) - 1
     need = np.array([demand[s] for s in sizes], float)
     columns = [{s: capacity // s} for s in sizes]
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
     x = inverse @ need
     for _ in range(max_rounds):
         price = inverse.sum(axis=0)
-        value = np.full(max(sizes), -1.0)
-        value[at] = np.maximum(price, 0)
-        worth, pattern = _best_pattern(value, capacity)
+        worth, pattern = _best_pattern(sizes, np.maximum(price, 0), capacity)
         if worth <= 1 + 1e-9 or x.sum() * (1 - 1 / worth) <= gap * x.sum():
             break
-        counts = pattern[at].astype(float)
+        counts = pattern.astype(float)
         step = inverse @ counts
         ok = step > 1e-9
         ratio = np.full(m, np.inf)
@@ -181,7 +209,7 @@ def generate_columns(demand: dict[int, int], capacity: int, gap: float = 1e-3, m
         pivot = inverse[r] / step[r]
         inverse -= np.outer(step, pivot)
         inverse[r] = pivot
-        columns[r] = {s: int(k) for s, k in zip(sizes, pattern[at].tolist(), strict=True) if k}
+        columns[r] = {s: int(k) for s, k in zip(sizes, pattern.tolist(), strict=True) if k}
     return list(zip(columns, x.tolist(), strict=True))
 
 
@@ -229,28 +257,31 @@ class Assignment:
         return self.seq[i] + (rank - self.first[i]) // self.per[i]
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, classes: int = CLASSES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces.
 
-    The histogram of rounded lengths (at most length / unit classes) is all that the driver sees.
-    Pieces are ranked within their class over the whole table, and the rank decides the
-    sequence.  Pieces are ranked by all that describes them, so those that tie are equal and may
-    change places when a lost executor's task runs again.
+    The histogram of lengths (at most ``length`` numbers) is all that the driver sees.  Pieces are
+    ranked within their class over the whole table, and the rank decides the sequence.  Pieces are
+    ranked by all that describes them, so those that tie are equal and may change places when a
+    lost executor's task runs again.
     """
-    spark, capacity = pieces.sparkSession, length // unit
-    # written first: range partitioning reads its input twice, and the pieces' ids are costly
-    pieces = materialize(pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("long")), "pieces")
-    ranked, _ = global_positions(pieces, ["_class", "doc_id", "start", "length", "ids_crc32", "doc_tokens"], F.lit(1), "_at", "pack")
-    counts = {r["_class"]: r["n"] for r in ranked.groupBy("_class").agg(F.count("*").alias("n")).collect()}
-    first, total = {}, 0
+    spark = pieces.sparkSession
+    # written first: the lengths are counted before pieces are ranked, and the pieces' ids are costly
+    pieces = materialize(pieces, "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    sizes = np.array(length_classes(histogram, classes), np.int64)
+    up = sizes[np.searchsorted(sizes, np.arange(length + 1)).clip(max=len(sizes) - 1)].tolist() if len(sizes) else []
+    counts: dict[int, int] = {}
+    for n_tokens, n in histogram.items():
+        counts[up[n_tokens]] = counts.get(up[n_tokens], 0) + n
+    ranked, _ = global_positions(
+        pieces.withColumn("_class", F.get(long_array(up), F.col("length").cast("int"))), ["_class", "doc_id", "start", "length", "ids_crc32", "doc_tokens"], F.lit(1), "_at", "pack",
+    )
+    starts, total = np.zeros(length + 1, np.int64), 0
     for c in sorted(counts):
-        first[c], total = total, total + counts[c]
-    full = {c: n for c, n in counts.items() if 2 * c > capacity and c == capacity}
-    rest = {c: n for c, n in counts.items() if c not in full}
-    patterns = round_patterns(rest, generate_columns(rest, capacity), capacity) + [({c: 1}, n) for c, n in full.items()]
-    starts = np.zeros(capacity + 1, np.int64)
-    for c, f in first.items():
-        starts[c] = f
+        starts[c], total = total, total + counts[c]
+    rest = {c: n for c, n in counts.items() if c < length}
+    patterns = round_patterns(rest, generate_columns(rest, length), length) + [({c: 1}, n) for c, n in counts.items() if c == length]
     shared = spark.sparkContext.broadcast((Assignment(patterns), starts))
 
     def scan(batches):

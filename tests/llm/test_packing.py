@@ -73,3 +73,36 @@ def test_sequences_have_the_ids(spark):
     assert all(len(s.ids) == 4 * 4096 for s in seqs)
     total = np.concatenate([np.frombuffer(bytes(s.ids), "<u4")[: s.n_tokens] for s in seqs])
     assert sorted(total.tolist()) == sorted(x for _, t in docs for x in reference_ids(t))
+
+
+def test_classes_are_lengths_that_waste_little():
+    rng = random.Random(6)
+    for limit in (1, 2, 5, 40):
+        histogram = {n: rng.randrange(1, 30) for n in rng.sample(range(1, 500), 40)}
+        sizes = P.length_classes(histogram, limit)
+        assert len(sizes) == min(limit, 40) and set(sizes) <= set(histogram) and max(sizes) == max(histogram)
+    crowded = {n: 1 for n in range(1, 1000)} | {17: 10**6, 1: 10**6}
+    assert {1, 17} <= set(P.length_classes(crowded, 20))
+    assert P.length_classes({}) == []
+
+
+def test_best_pattern_is_the_best_of_all():
+    rng = random.Random(8)
+    for _ in range(200):
+        sizes = sorted(rng.sample(range(1, 30), rng.randrange(1, 6)))
+        value = [rng.choice([0.0, rng.random()]) for _ in sizes]
+        capacity = rng.randrange(30, 60)
+        best = [0.0] * (capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(sizes, value, strict=True) if s <= c)])
+        worth, counts = P._best_pattern(sizes, np.array(value), capacity)
+        assert abs(worth - best[capacity]) < 1e-9 and abs(counts @ np.array(value) - worth) < 1e-9
+        assert counts @ np.array(sizes) <= capacity and counts.min() >= 0
+
+
+def test_many_short_documents_are_packed_tight(spark):
+    docs = [(i, None if i % 3 else "alpha " * 16) for i in range(20000)]
+    packed = P.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), PATH).collect()
+    tokens = sum(r.length for r in packed)
+    assert {r.length for r in packed} == {1, 17}
+    assert len({r.sequence_id for r in packed}) <= tokens / 4096 * 1.02 + 1

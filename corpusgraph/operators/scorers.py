@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics, text
 from corpusgraph.operators.search import share, sparse_top_k
+from corpusgraph.plans.percentiles import percentiles
 from corpusgraph.plans.scratch import materialize
+from corpusgraph.plans.skew import join_groups
 
 # Fixed values of the relevance formula.
 K1, B, NEGATIVE_IDF_SHARE = 1.5, 0.75, 0.25
@@ -102,10 +104,12 @@ def entity_link_top_k(rows: DataFrame, queries: DataFrame, entities: Column, lin
 
 
 def robust_scale(edges: DataFrame, weight: str = "weight", by: list[str] | None = None, out: str = "scaled") -> DataFrame:
-    """``(w - median) / (q75 - q25)`` with exact interpolated percentiles, per ``by``; no spread counts as 1."""
-    q = F.percentile(weight, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = edges.groupBy(*(by or [])).agg(q.alias("_q"))
-    joined = edges.join(F.broadcast(stats), by) if by else edges.crossJoin(F.broadcast(stats))
+    """``(w - median) / (q75 - q25)`` with exact interpolated percentiles, per ``by``; no spread counts as 1.
+
+    Null weights stay null and don't count; rows with a null key are left out.
+    """
+    stats = percentiles(edges, weight, [0.25, 0.5, 0.75], by).withColumnsRenamed({"n": "_n", "q": "_q"})
+    joined = join_groups(edges, materialize(stats, "quartiles"), by, "_n") if by else edges.crossJoin(F.broadcast(stats.drop("_n")))
     spread = F.col("_q")[2] - F.col("_q")[0]
     return joined.withColumn(out, (F.col(weight) - F.col("_q")[1]) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)).drop("_q")
 

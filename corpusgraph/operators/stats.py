@@ -6,19 +6,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgraph.plans.percentiles import percentiles
 from corpusgraph.plans.positions import global_positions
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, deviation, minimum, quartiles and maximum of each column (one row a column)."""
+    """Count, mean, deviation, minimum, quartiles and maximum of each column (one row a column).
+
+    Nulls are left out; a column without values has count 0 and nulls.
+    """
     per = []
     for c in columns:
         x = F.col(c).cast("double")
-        per.append(F.struct(
-            F.lit(c).alias("column"), F.count(x).alias("count"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.round(F.min(x), 6).alias("min"),
-            *[F.round(F.percentile(x, F.lit(q)), 6).alias(n) for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.round(F.max(x), 6).alias("max"),
-        ))
-    return df.agg(F.array(*per).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+        per.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.round(F.min(x), 6).alias("min"), F.round(F.max(x), 6).alias("max")))
+    plain = df.agg(F.array(*per).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.*")
+    quartiles = percentiles(long, "value", [0.25, 0.5, 0.75], ["column"])
+    q = [F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
+    # one row a column on both sides
+    return plain.join(F.broadcast(quartiles), "column", "left").select("column", "count", "mean", "std", "min", *q, "max")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics, text
 from corpusgraph.operators import pairs, rag, scorers, stats
+from corpusgraph.plans.percentiles import percentiles
 from corpusgraph.plans.scratch import materialize
 from corpusgraph.queries import read
 from corpusgraph.sources import io
@@ -98,8 +99,7 @@ def robust_scale_by_run(spark, sf_dir):
 
 
 def weight_quartiles_by_run(spark, sf_dir):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    e = read(spark, sf_dir, "events").groupBy("event_type").agg(q.alias("q"))
+    e = percentiles(read(spark, sf_dir, "events"), "value", [0.25, 0.5, 0.75], ["event_type"])
     return e.select("event_type", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(3)])
 
 

@@ -211,12 +211,39 @@ def anchor_nodes(spark, sf_dir):
     return graph.anchor_nodes(ranked)
 
 
+def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations, and the pairs whose trade (lines sold from one to the other) is over the pairs' average."""
+    t = lambda name, *columns: read(spark, sf_dir, name).select(*columns)
+    buyers = t("orders", "o_orderkey", "o_custkey").join(t("customer", "c_custkey", F.col("c_nationkey").alias("b")), F.col("o_custkey") == F.col("c_custkey"))
+    sold = t("lineitem", "l_orderkey", "l_suppkey").join(t("supplier", "s_suppkey", F.col("s_nationkey").alias("a")), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = sold.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).where("a <> b")
+    pairs_ = lines.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    pairs_ = materialize(pairs_, "trade")
+    mean = pairs_.agg(F.avg("weight")).first()[0] or 0.0
+    return read(spark, sf_dir, "nation"), pairs_.where(F.col("weight") > mean)
+
+
+def trade_edges(spark, sf_dir):
+    return _trade(spark, sf_dir)[1]
+
+
+def trade_communities(spark, sf_dir):
+    """Greedy modularity communities of the nations' trade graph."""
+    return analytics.greedy_communities(*_trade(spark, sf_dir), "n_nationkey")
+
+
+def trade_connectivity(spark, sf_dir):
+    """Node and edge connectivity of the nations' trade graph."""
+    got = analytics.connectivity(*_trade(spark, sf_dir), "n_nationkey")
+    return spark.createDataFrame([tuple(got.values())], "avg_node_connectivity double, node_connectivity long, edge_connectivity long")
+
+
 QUERIES = (
     topk_dot, topk_dot_one, allpairs_dot_stats, ordered_pairs_stats, cosine_pairs, node_stripes, every_other_edge, threshold_grid, edge_threshold,
     threshold_graph_edges, mean_edge_weight, graph_quick_stats, avg_clustering, graph_components, graph_connected, shortest_path_context, nearest_path_context,
     hop_stats, path_lengths, modularity_by_label, degree_centrality, topk_graph, label_assortativity, degree_assortativity, numeric_assortativity,
     node_classification_1step, weighted_prf, node_classification, node_classification_prf, harmonic_classification, harmonic_classification_prf, communities, community_colours, evaluate_graph, threshold_objective, robust_scale,
-    minmax_centrality_range, anchor_nodes,
+    minmax_centrality_range, anchor_nodes, trade_edges, trade_communities, trade_connectivity,
 )
 
 _P = """p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS weight
@@ -240,6 +267,33 @@ f AS (SELECT node, label, round(sum(f), 6) AS f FROM (SELECT n.src AS node, labe
     UNION ALL SELECT vec_id, label, 1 - 0.99 FROM embeddings) GROUP BY ALL),
 c AS (SELECT node, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY f DESC, label) AS o FROM f) WHERE o = 1)"""
 
+
+def _rounds(harmonic: bool) -> str:
+    """The scores after 30 rounds, and each node's best label (graphs in which 30 rounds reach all that seeds can)."""
+    if harmonic:
+        edge, seeds, first = "s.weight / a.w AS w", "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0", "1.0::DOUBLE"
+        sent, kept = "n.w * r.f", "WHERE n.src NOT IN (SELECT vec_id FROM h)"
+    else:
+        edge, seeds, first = "s.weight / sqrt(a.w * b.w) AS w", "SELECT vec_id, label FROM embeddings", "(1 - 0.99)::DOUBLE"
+        sent, kept = "0.99 * n.w * r.f", ""
+    return _E + f""",
+st AS (SELECT src, sum(weight) AS w FROM s GROUP BY src),
+n AS (SELECT s.src, s.dst, {edge} FROM s JOIN st a ON a.src = s.src JOIN st b ON b.src = s.dst),
+h AS ({seeds}),
+f AS (WITH RECURSIVE r(i, node, label, f) AS (SELECT 0, vec_id, label, 1.0::DOUBLE FROM h UNION ALL
+    SELECT i + 1, node, label, sum(f) FROM (SELECT r.i, n.src AS node, r.label, {sent} AS f FROM n JOIN r ON n.dst = r.node {kept}
+        UNION ALL SELECT m.i, vec_id, label, {first} FROM h, (SELECT max(i) AS i FROM r) m) WHERE i < 30 GROUP BY i, node, label) SELECT * FROM r WHERE i = 30),
+c AS (SELECT vec_id AS node, predicted FROM embeddings LEFT JOIN (SELECT node, label AS predicted FROM
+    (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(f, 9) DESC, label) AS o FROM f) WHERE o = 1) ON vec_id = node)"""
+
+
+def _prf(ctes: str, where: str = "true") -> str:
+    return f"""WITH {ctes}, x AS (SELECT label AS t, predicted AS p FROM c JOIN embeddings ON vec_id = node WHERE {where}),
+        l AS (SELECT t AS l, count(*) AS n, count(*) FILTER (t = p) AS tp FROM x GROUP BY t), d AS (SELECT p AS l, count(*) AS said FROM x GROUP BY p),
+        m AS (SELECT n, coalesce(tp / said, 0) AS pr, tp / n AS re FROM l LEFT JOIN d USING (l))
+        SELECT round(sum(pr * n) / sum(n), 6) AS precision, round(sum(re * n) / sum(n), 6) AS recall, round(sum(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END * n) / sum(n), 6) AS f1 FROM m"""
+
+
 ORACLES = {
     "topk_dot": """SELECT query_id, node_id, score, rank::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS node_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
@@ -289,6 +343,12 @@ ORACLES = {
         l AS (SELECT t AS l, count(*) AS n, count(*) FILTER (t = p) AS tp FROM x GROUP BY t), d AS (SELECT p AS l, count(*) AS said FROM x GROUP BY p),
         m AS (SELECT n, coalesce(tp / said, 0) AS pr, tp / n AS re FROM l LEFT JOIN d USING (l))
         SELECT round(sum(pr * n) / sum(n), 6) AS precision, round(sum(re * n) / sum(n), 6) AS recall, round(sum(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END * n) / sum(n), 6) AS f1 FROM m""",
+    "node_classification": f"WITH {_rounds(False)} SELECT node, predicted FROM c",
+    "node_classification_prf": _prf(_rounds(False)),
+    "harmonic_classification": f"WITH {_rounds(True)} SELECT node, predicted FROM c",
+    "harmonic_classification_prf": _prf(_rounds(True), "vec_id % 5 = 0"),
+    "trade_edges": """WITH p AS (SELECT least(s_nationkey, c_nationkey) AS src, greatest(s_nationkey, c_nationkey) AS dst, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2) SELECT * FROM p WHERE weight > (SELECT avg(weight) FROM p)""",
     "community_colours": "SELECT label AS community, vec_id, (dense_rank() OVER (ORDER BY label) - 1)::INT AS colour FROM embeddings",
     "robust_scale": f"""WITH {_P}, q AS (SELECT quantile_cont(weight, 0.25) AS a, quantile_cont(weight, 0.5) AS b, quantile_cont(weight, 0.75) AS c FROM p)
         SELECT count(*) AS n, round(min((weight - b) / (c - a)), 5) AS lo, round(max((weight - b) / (c - a)), 5) AS hi FROM p, q""",

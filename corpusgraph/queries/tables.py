@@ -116,7 +116,8 @@ def table_profile(spark, sf_dir):
 
 
 def metric_regressions(spark, sf_dir):
-    return stats.leave_one_out_regressions(read(spark, sf_dir, "part"), ["p_size", "p_retailprice"], "p_partkey")
+    r = stats.leave_one_out_regressions(read(spark, sf_dir, "part"), ["p_size", "p_retailprice"], "p_partkey")
+    return r.select("target", *[F.round(c, 4).alias(c) for c in r.columns if c != "target"])
 
 
 def principal_scores(spark, sf_dir):
@@ -155,6 +156,9 @@ def _lists(a: str, b: str) -> str:
 _TYPES = ", ".join(f"('{a}', '{b}', {d}::DOUBLE)" for a, row in metrics.DOC_TYPES.items() for b, d in row.items())
 _PART = "FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
 _STAT = "SELECT '{0}' AS \"column\", count({0}) AS count, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, round(min({0}), 6) AS min, round(quantile_cont({0}, 0.25), 6) AS q25, round(quantile_cont({0}, 0.5), 6) AS q50, round(quantile_cont({0}, 0.75), 6) AS q75, round(max({0}), 6) AS max FROM lineitem"
+_REGRESSION = """SELECT '{0}' AS target, round(avg(a), 4) AS mape_mean, round(stddev_pop(a), 4) AS mape_std, round(avg(b), 4) AS mse_mean, round(stddev_pop(b), 4) AS mse_std FROM
+    (SELECT f.fold, avg(abs(g.k + g.s * f.{1} - f.{0}) / abs(f.{0})) AS a, avg((g.k + g.s * f.{1} - f.{0}) ** 2) AS b
+    FROM f JOIN (SELECT o.fold, regr_slope(f.{0}, f.{1}) AS s, regr_intercept(f.{0}, f.{1}) AS k FROM f JOIN (SELECT DISTINCT fold FROM f) o ON f.fold <> o.fold GROUP BY 1) g ON g.fold = f.fold GROUP BY f.fold)"""
 _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 ORACLES = {
@@ -176,6 +180,8 @@ ORACLES = {
         SELECT event_type, count(*) AS n, round(min((value - b) / (c - a)), 5) AS lo, round(max((value - b) / (c - a)), 5) AS hi FROM events JOIN q USING (event_type) GROUP BY 1""",
     "weight_quartiles_by_run": "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q0, round(quantile_cont(value, 0.5), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q2 FROM events GROUP BY 1",
     "metric_describe": " UNION ALL ".join(_STAT.format(c) for c in _COLS),
+    "metric_regressions": f"""WITH f AS (SELECT p_size::DOUBLE AS p_size, p_retailprice::DOUBLE AS p_retailprice, floor((row_number() OVER (ORDER BY p_partkey) - 1) * 5 / (count(*) OVER ())) AS fold FROM part)
+        {_REGRESSION.format("p_size", "p_retailprice")} UNION ALL {_REGRESSION.format("p_retailprice", "p_size")}""",
     "metric_corr": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_COLS) for b in _COLS[i:]),
     "table_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS \"rows\", count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", min({c})::VARCHAR AS smallest, max({c})::VARCHAR AS largest FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")),
     "type_pairs": "SELECT a.n_nationkey AS a_n_nationkey, b.n_nationkey AS b_n_nationkey, CASE WHEN a.n_regionkey = b.n_regionkey THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS weight FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",

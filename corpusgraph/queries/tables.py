@@ -156,6 +156,17 @@ def _lists(a: str, b: str) -> str:
 _TYPES = ", ".join(f"('{a}', '{b}', {d}::DOUBLE)" for a, row in metrics.DOC_TYPES.items() for b, d in row.items())
 _PART = "FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
 _STAT = "SELECT '{0}' AS \"column\", count({0}) AS count, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, round(min({0}), 6) AS min, round(quantile_cont({0}, 0.25), 6) AS q25, round(quantile_cont({0}, 0.5), 6) AS q50, round(quantile_cont({0}, 0.75), 6) AS q75, round(max({0}), 6) AS max FROM lineitem"
+
+
+def _ratio(a: str, b: str) -> str:
+    """Twice the longest common subsequence over both lengths, row by row of the programme's table."""
+    numbers = lambda x, i: f"list_transform(range(1, length({x}) + 1), lambda {i}: [{i}::INT])"
+    cell = f"CASE WHEN {a}[i[1]] = {b}[j[1]] THEN row_[j[1]] + 1 ELSE greatest(row_[j[1] + 1], acc[-1]) END"
+    row = f"list_reduce({numbers(b, 'v')}, lambda acc, j: list_append(acc, {cell}), [0::INT])"
+    table = f"list_reduce({numbers(a, 'u')}, lambda row_, i: {row}, list_resize([0::INT], length({b}) + 1, 0::INT))"
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0::DOUBLE * {table}[-1] / (length({a}) + length({b})) END"
+
+
 _REGRESSION = """SELECT '{0}' AS target, round(avg(a), 4) AS mape_mean, round(stddev_pop(a), 4) AS mape_std, round(avg(b), 4) AS mse_mean, round(stddev_pop(b), 4) AS mse_std FROM
     (SELECT f.fold, avg(abs(g.k + g.s * f.{1} - f.{0}) / abs(f.{0})) AS a, avg((g.k + g.s * f.{1} - f.{0}) ** 2) AS b
     FROM f JOIN (SELECT o.fold, regr_slope(f.{0}, f.{1}) AS s, regr_intercept(f.{0}, f.{1}) AS k FROM f JOIN (SELECT DISTINCT fold FROM f) o ON f.fold <> o.fold GROUP BY 1) g ON g.fold = f.fold GROUP BY f.fold)"""
@@ -170,6 +181,19 @@ ORACLES = {
         FROM t x CROSS JOIN t y LEFT JOIN g p ON p.a = x.t AND p.b = y.t LEFT JOIN g q ON q.a = y.t AND q.b = x.t""",
     "exact_list_jaccard": f"""SELECT a.p_partkey, round({_lists("string_split(a.p_type, ' ')", "string_split(b.p_type, ' ')")}, 3) AS jaccard,
         round(2 * round({_lists("string_split(a.p_name, ' ')", "string_split(b.p_name, ' ')")}, 3) - 1, 3) AS score {_PART}""",
+    "name_ratio": f"SELECT p_partkey, round({_ratio('x', 'y')}, 6) AS ratio FROM (SELECT a.p_partkey, a.p_name AS x, b.p_name AS y {_PART})",
+    "fuzzy_list_scores": f"""WITH p AS (SELECT a.p_partkey, string_split(a.p_name, ' ') AS x, string_split(b.p_name, ' ') AS y {_PART}),
+        u AS (SELECT DISTINCT p_partkey, unnest(x) AS x FROM p), v AS (SELECT p_partkey, unnest(y) AS y FROM p), w AS (SELECT DISTINCT lower(x) AS x, lower(y) AS y FROM u JOIN v USING (p_partkey)),
+        m AS (SELECT x, y FROM w WHERE {_ratio('x', 'y')} * 100 >= 80),
+        c AS (SELECT p_partkey, count(DISTINCT u.x) AS c FROM u JOIN v USING (p_partkey) JOIN m ON m.x = lower(u.x) AND m.y = lower(v.y) WHERE trim(u.x) <> '' GROUP BY 1)
+        SELECT p_partkey, round_even(2 * round_even(least(1.0::DOUBLE, coalesce(coalesce(c, 0)::DOUBLE / nullif(len(x) + len(y) - coalesce(c, 0), 0), 0)), 3) - 1, 3) AS score FROM p LEFT JOIN c USING (p_partkey)""",
+    "matched_names": f"""WITH k AS (SELECT DISTINCT n_name AS name, r_name AS match, regexp_replace(n_name, '[^a-zA-Z0-9]', '', 'g') AS x, regexp_replace(r_name, '[^a-zA-Z0-9]', '', 'g') AS y FROM nation, region),
+        o AS (SELECT *, lower(x) AS lx, lower(y) AS ly, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS sh, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS lo FROM k),
+        z AS (SELECT name, match, sh, substr(lo, i::INT, length(sh)::INT) AS part FROM (SELECT *, unnest(range(1, length(lo) - length(sh) + 2)) AS i FROM o)),
+        b AS (SELECT name, match, max({_ratio('sh', 'part')}) AS best FROM z GROUP BY 1, 2),
+        s AS (SELECT name, match, round(0.4 * {_ratio('x', 'y')} + 0.3 * best + 0.3 * {_ratio('lx', 'ly')}, 6) AS score FROM o JOIN b USING (name, match))
+        SELECT name, match, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, length(match), match) AS r FROM s WHERE score > 0) WHERE r = 1
+        UNION ALL SELECT DISTINCT name, '', -1.0 FROM k WHERE name NOT IN (SELECT name FROM s WHERE score > 0)""",
     "brand_nan_rule": f"SELECT a.p_partkey, CASE WHEN a.p_partkey % 10 = 0 THEN 0.0::DOUBLE WHEN a.p_brand = b.p_brand THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score {_PART}",
     "split_types": "SELECT p_partkey, len(string_split(p_type, ' '))::INT AS n, replace(p_type, ' ', '/') AS joined FROM part",
     "distinct_type_words": "SELECT value, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS value FROM part) GROUP BY value",

@@ -157,3 +157,12 @@ def test_best_match(spark):
     got = {r.name: r.match for r in S.best_match(names, meta, "n", "m").collect()}
     assert got["policy report 2024"] == "Policy Report - 2024"
     assert {r.name: r.score for r in S.best_match(names, meta, "n", "m", 0.99).collect()}["zzz"] == -1
+
+
+def test_best_match_in_blocks_agrees(spark):
+    names = spark.createDataFrame([("alpha report",), ("Beta",), ("gama",), (None,), ("",)], "n string")
+    meta = spark.createDataFrame([(m,) for m in ("Alpha Report", "alpha", "beta", "Beta", "gamma", "", None)], "m string")
+    rows = lambda df: sorted(df.collect(), key=str)
+    whole = rows(S.best_match(names, meta, "n", "m"))
+    assert len(whole) == 5 and whole == rows(S.best_match(names, meta, "n", "m", block_rows=2))
+    assert rows(S.best_match(names, meta.limit(0), "n", "m")) == [r for r in rows(S.best_match(names, meta, "n", "m", 2.0))]

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontamination, html_extraction, line_dedup, packing, quality_rules, sharding, simhash, toxicity, url_filters, warc
+from corpusgraph.llm import (
+    collocations, decontamination, html_extraction, line_dedup, packing, quality_rules, sharding, simhash, token_counts, toxicity, url_filters, warc, whitening,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,9 +69,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = (
     op1_html_extraction, op2_line_dedup, op3_packing, op4_quality_rules, op5_url_filters, op6_sharding, op7_toxicity,
-    op8_simhash_near_dedup, op9_benchmark_decontamination, op10_warc,
+    op8_simhash_near_dedup, op9_benchmark_decontamination, op10_warc, op11_collocations, op12_embedding_whitening, op13_token_counts,
 )
 
 
@@ -160,5 +174,29 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT row_number() OVER () AS pid, lang, piece FROM (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+w AS (SELECT pid, lang, unnest(ws) AS w1, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT pid, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda v: v <> '') AS ws FROM p)),
+s AS (SELECT lang, w1, lead(w1, 1) OVER e AS w2, lead(w1, 2) OVER e AS w3, lead(w1, 3) OVER e AS w4 FROM w WINDOW e AS (PARTITION BY pid ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, 1 AS k, w1 AS phrase, count(*) AS f FROM s GROUP BY ALL
+      UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM s WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM s WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+      UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM s WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+q AS MATERIALIZED (SELECT {'lang': lang, 'phrase': phrase} AS part, f FROM f),
+u AS MATERIALIZED (SELECT lang, k, phrase, a, cut, {'lang': lang, 'phrase': array_to_string(ws[1:cut], ' ')} AS head, {'lang': lang, 'phrase': array_to_string(ws[cut + 1:], ' ')} AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+v AS (SELECT u.*, h.f AS l, t.f AS r, (2000000::HUGEINT * u.a) // (h.f::HUGEINT + t.f::HUGEINT) AS score FROM u JOIN q h ON h.part = u.head JOIN q t ON t.part = u.tail),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM v) WHERE nth = 1),
+x AS (SELECT lang, a AS f, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM c, range(1, 4) t(i), range(2, 4) z(m) WHERE m < k AND i + m - 1 <= k),
+y AS (SELECT lang, phrase, max(f) AS f FROM x GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN y USING (lang, phrase) WHERE y.f IS NULL OR 100::HUGEINT * y.f < 80::HUGEINT * b.a)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5, "op6_sharding": _OP6, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10}
+    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op5_url_filters": _OP5, "op6_sharding": _OP6, "op9_benchmark_decontamination": _OP9, "op10_warc": _OP10, "op11_collocations": _OP11}

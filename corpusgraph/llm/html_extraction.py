@@ -6,8 +6,11 @@ the grandparent, less further up); a container's points are discounted by its li
 best container is kept with what is prose beside it and beside its wrappers, and with the headings
 and pieces in between.
 
-Class and id words only cast suspicion on a block.  How sure they are decides what share of the
-page's paragraph points the block must hold to be kept all the same (``KEEP_SHARE``).
+Class and id words only cast suspicion on a block.  An id says nothing on a text block, nor where it
+is the slug of the block's own heading; a suspect inside an article stays where it looks like a
+section of it (``_stays``: a heading, prose, no form, few links, no list of similar blocks).  What
+else is suspected must hold a share of the page's paragraph points to be kept (``KEEP_SHARE``).
+Names inside code mark nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ NEGATIVE = frozenset(
 #: Of these, the words that leave no doubt in any name, and those that do as whole names; fixed values.
 CERTAIN = frozenset("advert advertisement adverts comment comments consent cookie cookies disqus gdpr shoutbox".split())
 CERTAIN_ALONE = frozenset("ad ads hidden replies respond".split())
+#: Ids that platforms give to what readers wrote, whatever its heading; fixed values.
+READERS = frozenset("comment comments disqus replies respond shoutbox".split())
 #: Parts of a name that turn its meaning round, and whole names of article bodies; fixed values.
 NEGATED = frozenset("has no not non with without free less is hide".split())
 POSITIVE = frozenset("article articlebody body content entry main page post story text".split())
@@ -52,6 +57,11 @@ KEEP_SHARE = {UNSURE: 0.2, PART: 0.5, WHOLE: 0.8, SURE: 1.0}
 #: Deeper elements become siblings, as in browsers, so that climbing is bounded.
 MAX_DEPTH = 512
 _NEVER_NEGATIVE = frozenset("html body article main".split())
+#: Elements whose ids are anchors into the text; inline elements that hold code.
+ANCHORS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption table thead tbody tr td th dl dt dd caption summary details".split())
+CODE = frozenset("code kbd samp".split())
+#: Elements that readers fill in or press; textareas leave no node, as their content is not markup.
+CONTROLS = frozenset("form button input select".split())
 
 #: How a block of prose ends, however short; and how a notice that ends so begins.
 _SENTENCE = re.compile(r"[.!?:;…。！？؟।][\"'”’»)\]]*\Z")
@@ -70,10 +80,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "mark", "depth", "points", "chars", "link_chars", "share")
+    __slots__ = ("tag", "parent", "children", "drop", "mark", "id_mark", "name", "ident", "depth", "points", "chars", "link_chars", "share", "size", "linked", "prose", "paragraphs", "controls")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, mark: int = 0):
-        self.tag, self.parent, self.drop, self.mark = tag, parent, drop, mark
+    def __init__(self, tag: str, parent: Node | None, drop: bool, marks: tuple[int, int, str, str] = (0, 0, "", "")):
+        self.tag, self.parent, self.drop = tag, parent, drop
+        self.mark, self.id_mark, self.name, self.ident = marks
+        self.size = self.linked = self.prose = self.paragraphs = self.controls = 0  # of the whole block
         self.depth = 0 if parent is None else parent.depth + 1
         self.children: list = []  # nodes and (text, in a link)
         self.points, self.chars, self.link_chars, self.share = 0.0, 0, 0, 0.0
@@ -92,25 +104,36 @@ def _name_mark(name: str) -> int:
     return WHOLE if CERTAIN_ALONE.isdisjoint(bad) else SURE
 
 
-def _mark(tag: str, attributes: str, open_: Counter, at: Node) -> int:
-    """How sure an element's attributes are that it is not the article; SURE also if it isn't shown."""
-    mark, names = 0, []
+def _marks(tag: str, attributes: str, open_: Counter, at: Node) -> tuple[int, int, str, str]:
+    """How sure an element's class or role, and its id, are that it is not the article, and its class and id.
+
+    SURE also if it isn't shown.
+    """
+    names: list[str] = []
+    ident = kind = ""
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         value, name = value.strip("\"'").lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return SURE
+            return SURE, 0, "", ""
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return SURE
+                return SURE, 0, "", ""
+        elif name == "id":
+            ident = ident or value.strip()
         else:
             names += value.split()
+            kind = kind or value.strip()
+    everything = [*names, *ident.split()]
     if tag == "header" and not open_["article"] and not open_["main"]:
         at_top = at.tag in ("body", "html")
-        return SURE if at_top or any(not SITE.isdisjoint(re.split(r"[^a-z0-9]+", x)) for x in names) else 0
+        return (SURE if at_top or any(not SITE.isdisjoint(re.split(r"[^a-z0-9]+", x)) for x in everything) else 0), 0, kind, ident
     if tag in _NEVER_NEGATIVE:
-        return 0
+        return 0, 0, kind, ident
     mark = max((_name_mark(x) for x in names), default=0)
-    return UNSURE if mark and not POSITIVE.isdisjoint(names) else mark
+    by_id = 0 if tag in ANCHORS else max((_name_mark(x) for x in ident.split()), default=0)
+    if not POSITIVE.isdisjoint(everything):
+        mark, by_id = min(mark, UNSURE), min(by_id, UNSURE)
+    return mark, by_id, kind, ident
 
 
 def parse(page: str) -> Node:
@@ -119,6 +142,7 @@ def parse(page: str) -> Node:
     at, links, pos, n = root, 0, 0, len(page)
     open_ = Counter({"html": 1})  # open elements by tag: an end tag without a start costs nothing
     dropped_inline: list[tuple[str, int]] = []
+    code = 0  # open inline elements that hold code
 
     def text(piece: str) -> None:
         if piece and not at.drop and not dropped_inline:
@@ -157,7 +181,7 @@ def parse(page: str) -> Node:
                     while up.tag != tag:
                         up = up.parent
                     close(up)
-                    links = 0
+                    links = code = 0
                     dropped_inline.clear()
                 continue
             if at.tag == "p" or at.tag in HEADINGS and tag in HEADINGS:
@@ -178,8 +202,7 @@ def parse(page: str) -> Node:
                 continue
             if at.depth >= MAX_DEPTH:
                 close(at)
-            mark = _mark(tag, m[3], open_, at)
-            node = Node(tag, at, at.drop or tag in DROPPED, mark)
+            node = Node(tag, at, at.drop or tag in DROPPED, _marks(tag, m[3], open_, at))
             at.children.append(node)
             open_[tag] += 1
             at = node
@@ -188,29 +211,113 @@ def parse(page: str) -> Node:
         elif tag == "br":
             text(" ")
         elif closing:
+            if tag in CODE:
+                code = max(0, code - 1)
             if dropped_inline and dropped_inline[-1][0] == tag:
                 name, depth = dropped_inline.pop()
                 if depth > 1:
                     dropped_inline.append((name, depth - 1))
         elif tag not in VOID and not m[3].endswith("/"):
+            if tag in DROPPED:
+                at.controls += tag in CONTROLS
             if dropped_inline:
                 if dropped_inline[-1][0] == tag:
                     dropped_inline[-1] = (tag, dropped_inline[-1][1] + 1)
-            elif tag in DROPPED or _mark(tag, m[3], open_, at) >= WHOLE:
+            elif tag in DROPPED or _inline_mark(tag, m[3], open_, at, code) >= WHOLE:
                 dropped_inline.append((tag, 1))
+            code += tag in CODE
+        elif tag in CONTROLS:
+            at.controls += 1
     _settle(root)
     return root
 
 
+def _inline_mark(tag: str, attributes: str, open_: Counter, at: Node, code: int) -> int:
+    mark, _, kind, ident = _marks(tag, attributes, open_, at)
+    return 0 if (code or open_["pre"]) and (kind or ident) else mark
+
+
+def _first_heading(node: Node) -> str:
+    """The text of the heading that a block starts with, or nothing."""
+    at = node
+    while at is not None:
+        for c in at.children:
+            if isinstance(c, Node):
+                if not c.drop and (c.size or c.tag in HEADINGS):
+                    break
+            elif c[0].strip():
+                return ""
+        else:
+            return ""
+        if c.tag in HEADINGS:
+            return " ".join(_own_text(x)[0] for x in _walk(c)).strip()
+        at = c
+    return ""
+
+
+def _is_slug(ident: str, heading: str) -> bool:
+    """Whether an id is made from (some consecutive words of) a heading."""
+    words = [x for x in re.split(r"\W+", heading.lower()) if x]
+    slug = [x for x in re.split(r"[^\w]+|_", ident) if x]
+    while slug and slug[-1].isdigit() and slug[-1] not in words:
+        slug.pop()
+    return bool(slug) and any(words[i : i + len(slug)] == slug for i in range(len(words) - len(slug) + 1))
+
+
+def _similar_blocks(node: Node) -> bool:
+    """Whether most of a block is a list of blocks of one kind: comments, teasers, cards."""
+    at = node
+    while True:
+        inner = [c for c in at.children if isinstance(c, Node) and not c.drop and c.size and c.tag not in HEADINGS]
+        most = max(inner, key=lambda c: c.size, default=None)
+        if most is None or 2 * most.size <= at.size or most.tag in ANCHORS:
+            break
+        at = most
+    kinds: Counter = Counter()
+    sizes: Counter = Counter()
+    for c in inner:
+        if c.tag in ("div", "li", "article", "section") and (c.name or c.ident or c.tag in ("li", "article")):
+            kind = (c.tag, c.name or re.sub(r"\d+", "0", c.ident) if c.name or any(x.isdigit() for x in c.ident) else "" if c.tag in ("li", "article") else c.ident)
+            kinds[kind] += 1
+            sizes[kind] += c.size
+    return any(kinds[k] > 1 and 2 * sizes[k] > at.size for k in kinds)
+
+
+def _is_clutter(node: Node) -> bool:
+    """By its own measures: controls, many links, little prose, or a list of similar blocks."""
+    return bool(node.controls) or 3 * node.linked > node.size or 2 * node.prose < node.size or _similar_blocks(node)
+
+
+def _stays(node: Node, inside: bool) -> bool:
+    """Whether a suspect is a section of the article by its own measures.
+
+    A class that is nothing but a mark, and hidden blocks, never stay; an id does no harm where it
+    is the slug of the heading, and in an article neither on a ``section`` nor as part of a longer
+    name, if two paragraphs or more follow.
+    """
+    if node.mark >= WHOLE or node.ident in READERS or not (heading := _first_heading(node)) or _is_clutter(node):
+        return False
+    if not node.mark and _is_slug(node.ident, heading) and (inside or node.id_mark < SURE):
+        return True
+    return inside and node.paragraphs > 1 and (node.id_mark <= PART or not node.mark and node.tag == "section")
+
+
 def _settle(root: Node) -> None:
-    """Drop the suspected blocks that don't hold their KEEP_SHARE of the page's paragraph points.
+    """Drop the suspected blocks that are no section of an article and don't hold their KEEP_SHARE of the page's paragraph points.
 
     Outside an article, a suspect is dropped as well where the page has one that is above suspicion.
     """
     nodes = _walk(root)
     for node in reversed(nodes):
         text, own, own_links = _own_text(node)
-        if node.mark != SURE:
+        node.size, node.linked = node.size + own, node.linked + own_links
+        if text and node.tag not in HEADINGS and (_is_prose(text, own_links) or node.tag == "pre"):
+            node.prose, node.paragraphs = node.prose + own, node.paragraphs + 1
+        node.controls += sum(isinstance(c, Node) and c.tag in CONTROLS for c in node.children)
+        if (up := node.parent) is not None:
+            up.size, up.linked, up.controls = up.size + node.size, up.linked + node.linked, up.controls + node.controls
+            up.prose, up.paragraphs = up.prose + node.prose, up.paragraphs + node.paragraphs
+        if max(node.mark, node.id_mark) != SURE:
             node.share += _text_points(node, text, own, own_links)
             if node.parent is not None:
                 node.parent.share += node.share
@@ -221,15 +328,17 @@ def _settle(root: Node) -> None:
         node, inside, suspected = todo.pop()
         if node.drop:
             continue
-        if node.mark:
+        suspect = max(node.mark, node.id_mark) > 0 and not _stays(node, inside)
+        if suspect:
             suspects.append((node, inside))
         if not inside and node.tag in ("article", "main"):
             inside, articles = True, articles + node.share * (not suspected)
-        todo.extend((c, inside, suspected or node.mark > 0) for c in node.children if isinstance(c, Node))
+        todo.extend((c, inside, suspected or suspect) for c in node.children if isinstance(c, Node))
     for node, inside in suspects:
-        holds = node.share if node.mark != SURE else 0.0
+        mark = max(node.mark, node.id_mark)
+        holds = node.share if mark != SURE else 0.0
         elsewhere = 0.0 if inside else articles
-        if holds <= KEEP_SHARE[node.mark] * root.share or elsewhere > (holds if node.mark == UNSURE else 0):
+        if holds <= KEEP_SHARE[mark] * root.share or elsewhere > (holds if mark == UNSURE else 0):
             for x in _walk(node):
                 x.drop = True
 
@@ -295,8 +404,9 @@ def score(root: Node) -> Node | None:
 def _blocks(top: Node) -> list[str]:
     """Text blocks below ``top`` in page order (cells of a row are one block).
 
-    A list of links stays where a heading (not the page's first) or a colon leads to it, or where it
-    stands between other blocks; one that starts or ends the article is a menu.
+    A list of links stays where a heading (not the page's first), a colon or, after prose, a short
+    block that is no mark itself leads to it, or where it stands between other blocks; one that
+    starts or ends the article is a menu.
     """
     if top.drop:
         return []
@@ -337,7 +447,7 @@ def _blocks(top: Node) -> list[str]:
     before, begun, stays = ("", ""), False, {0: True}
     for i, (text, tag, group) in enumerate(found):
         if group not in stays:
-            led = before[1] in HEADINGS - {"h1"} or before[0].endswith((":", "："))
+            led = before[1] in HEADINGS - {"h1"} or before[0].endswith((":", "：")) or begun and _leads(before[0])
             stays[group] = led or begun and i < last
         if stays[group]:
             out.append(text)
@@ -345,6 +455,12 @@ def _blocks(top: Node) -> list[str]:
     return out
 
 
+def _leads(text: str) -> bool:
+    """Whether a block is a short label, not of a menu."""
+    first = re.split(r"\W+", text.lower().strip(), maxsplit=1)[0]
+    return len(text) <= LONG_BLOCK and not _SENTENCE.search(text) and first not in NEGATIVE
+
+
 def _is_prose(text: str, links: int) -> bool:
     return links * 2 <= len(text) and (len(text) > LONG_BLOCK or bool(_SENTENCE.search(text))) and not _NOTICE.match(text)
 

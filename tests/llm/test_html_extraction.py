@@ -146,3 +146,87 @@ def test_scores_match_brute_force_on_random_trees():
         most, value = brute_best(root)
         assert (best is None) == (most <= 0)
         assert best is None or abs(value[id(best)] - most) < 1e-9
+
+
+SECTION_IDS = "related-work search-algorithms social-media notice-period navigation sharing-data alert-system comments-on-method skip-lists login-flow advertising response".split()
+
+
+def test_sections_keep_whatever_their_heading_s_slug_says():
+    one, two = "<p>The first paragraph of it, long enough to be prose of an article.</p>", "<p>The second one, which follows, is a paragraph as well.</p>"
+    for name in SECTION_IDS:
+        for title in (name.replace("-", " ").capitalize(), "A heading of another kind"):
+            body = f'<section><h2>Before</h2>{PROSE * 2}</section><section id="{name}"><h2>{title}</h2>{one}{two}</section><section><h2>After</h2>{PROSE * 2}</section>'
+            got = main_text(f"<body><nav><a href=/>Home</a></nav><article><h1>T</h1>{body}</article><footer>Foot</footer>").split("\n\n")
+            assert got == ["T", "Before", LINE, LINE, title, one[3:-4], two[3:-4], "After", LINE, LINE], (name, title)
+    assert main_text(f'<body><div>{PROSE * 2}<div id="notice-period"><h2>The notice period</h2>{one}</div>{PROSE}</div>').split("\n\n") == [LINE, LINE, "The notice period", one[3:-4], LINE]
+
+
+def test_clutter_in_an_article_still_goes():
+    head = f"<body><article><h1>T</h1>{PROSE * 3}"
+    for clutter in (
+        '<section id="comments"><h2>Comments</h2><p>I like it, very much so.</p><p>And so do I, my friend.</p></section>',
+        '<section id="reader-comments"><h2>Reader comments</h2><div class="c"><b>Ann</b><p>I like it, very much so.</p></div><div class="c"><b>Bob</b><p>And so do I, my friend.</p></div></section>',
+        '<section id="login-flow"><h2>Login flow</h2><p>Please type your name, and then your password.</p><form><input></form></section>',
+        '<div id="related-posts"><h3>Related posts</h3><ul><li><a href=1>One of them</a><li><a href=2>Another one</a></ul></div>',
+        '<div class="newsletter"><h3>Newsletter</h3><p>Every week, free of charge.</p><p>We never share it, promised.</p></div>',
+        '<div class="sidebar"><h3>About</h3><p>This is about us, and nobody else.</p><p>We are few, but we are many.</p></div>',
+        '<div class="ad"><h3>Buy</h3><p>This is what you need, today.</p><p>And tomorrow, as well.</p></div>',
+        '<p><b>Related</b></p><ul><li><a href=1>One of them</a><li><a href=2>Another one</a></ul>',
+    ):
+        got = main_text(f"{head}{clutter}{PROSE}</article>").split("\n\n")
+        assert got == (["T", LINE, LINE, LINE, LINE] if "<b>Related" not in clutter else ["T", LINE, LINE, LINE, "Related", "One of them", "Another one", LINE]), clutter
+    tail = main_text(head + "<p><b>Related</b></p><ul><li><a href=1>One of them</a><li><a href=2>Another one</a></ul></article>").split("\n\n")
+    assert tail == ["T", LINE, LINE, LINE, "Related"]
+
+
+def test_code_anchors_and_sources():
+    code = '<pre><code><span class="k">if</span> x: <span class="comment"># a note</span></code></pre><p>See <code class="x"><span class="ad">ad</span></code>, please.</p>'
+    assert main_text(f"<body><article>{PROSE}{code}{PROSE}</article>").split("\n\n") == [LINE, "if x: # a note", "See ad, please.", LINE]
+    assert main_text(f'<body><article>{PROSE}<p id="comment-1">A remark, on the text.</p>{PROSE}</article>').split("\n\n") == [LINE, "A remark, on the text.", LINE]
+    refs = "<ul><li><a href=1>Ref one</a><li><a href=2>Ref two</a></ul>"
+    assert main_text(f"<body><article>{PROSE}<p><b>Sources</b></p>{refs}</article>").split("\n\n") == [LINE, "Sources", "Ref one", "Ref two"]
+
+
+def plain_text(page):
+    """Another extractor, for well-formed pages without clutter: blocks of a parsed XML tree in order."""
+    import xml.etree.ElementTree as ET
+
+    out = [[]]
+
+    def walk(e):
+        block = e.tag in H.BLOCKS
+        if block:
+            out.append([])
+        out[-1].append(e.text or "")
+        for c in e:
+            walk(c)
+            out[-1].append(c.tail or "")
+        if block:
+            out.append([])
+
+    walk(ET.fromstring(page))
+    texts = [" ".join("".join(x).split()) for x in out]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_text_matches_another_parser_on_random_articles():
+    rng = random.Random(8)
+    words = ["one", "two,", "<b>three</b>", "four", '<a href="x">five</a>', "<i>six, <code>seven</code></i>"]
+
+    def para(kind="p"):
+        return f"<{kind}>{' '.join(rng.sample(words, 4))} and a few words more, so that it is prose of an article in itself.</{kind}>"
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "section", "div", "blockquote", "ul", "pre"] if depth else ["p"])
+        if kind in ("p", "pre"):
+            return para(kind)
+        if kind == "ul":
+            return "<ul>" + "".join(para("li") for _ in range(rng.randrange(1, 4))) + "</ul>"
+        name = rng.choice(["", f' id="{rng.choice(SECTION_IDS)}"']) if kind == "section" else ""
+        title = "<h2>A title</h2>" if kind != "blockquote" else ""
+        return f"<{kind}{name}>{title}{para()}" + "".join(block(depth - 1) for _ in range(rng.randrange(1, 4))) + f"{para()}</{kind}>"
+
+    for _ in range(150):
+        article = "<article><h1>Title</h1>" + "".join(block(3) for _ in range(rng.randrange(1, 5))) + para() + "</article>"
+        page = f"<html><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy it now.</div>{article}<div class='comments'><p>I like it.</p></div><footer>Foot</footer></body></html>"
+        assert main_text(page) == plain_text(article)

@@ -10,7 +10,8 @@ start.
 The suffixes that share a prefix of m lines are neighbours in this order, the longest-common-prefix
 interval of depth m: those that agree in the rank of the first 2^t lines and in the rank of the
 last 2^t of the m lines, 2^t <= m < 2^(t+1).  The least position of an interval is the first copy;
-at all others the run is a later copy.
+at all others the run is a later copy.  One that overlaps the first copy loses only what lies beyond
+it, so that the first copy of a run stays whole (where it isn't itself a later copy of another run).
 
 A later copy counts from ``min_words`` words.  Depths are looked up where they matter: a line lies
 in a copied run of that size exactly if it lies in one that is shortest (from its first line on, or
@@ -82,7 +83,7 @@ def _shortest_runs(named: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """``(start, first, last)``: shortest runs of ``min_words`` words that occur earlier too."""
+    """``(start, first, last)``: shortest runs of ``min_words`` words that occur earlier too, without lines of their first copy."""
     named = materialize(rank_suffixes(lines, ["a", "b"]).select("start", "pos", "w", "rank"), "line-suffixes")
     runs = _shortest_runs(named, min_words)
     deepest = runs.agg(F.max("m")).first()[0]
@@ -106,7 +107,9 @@ def repeated_runs(lines: DataFrame, min_words: int) -> DataFrame:
     depth = materialize(keyed.join(head, ["level", "pos"]).join(tail, ["level", "tail"]).select("start", "pos", "last", "m", "left", "right"), "line-depths")
     interval = ["m", "left", "right"]
     intervals = materialize(depth.groupBy(*interval).agg(F.min("pos").alias("origin"), F.count("*").alias("n")).where("n > 1"), "line-intervals")
-    return join_groups(depth, intervals, interval).where("origin < pos").select("start", F.col("pos").alias("first"), "last")
+    # the first copy stays whole, also where a later one begins within it
+    later = join_groups(depth, intervals, interval).where("origin < pos").withColumn("first", F.greatest("pos", F.col("origin") + F.col("m")))
+    return later.where("first <= last").select("start", "first", "last")
 
 
 def maximal_runs(runs: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """Delete later copies of line runs of ``min_words`` words or more; adds two ``counts`` (lines, deleted ones).
 
     "Later" is by (key, hash of the text, line): the first copy of a run in that order stays,
-    nulls in the key first.  A copy within the same document counts.  Rows that repeat both key
+    nulls in the key first, and stays whole (100 equal lines of five words leave ten).  A copy within the same document counts.  Rows that repeat both key
     and text get the same result as their twin.  Null texts stay null, empty ones empty; a
     document whose lines all go keeps an empty text.  Long texts and long stretches of blank lines
     cost in proportion.  All other columns pass through, whatever their names, in their order;

@@ -100,8 +100,9 @@ x AS (SELECT *, max(i) OVER e AS e_i, max(after) OVER e AS e_after, min(i) OVER
       WINDOW e AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), s AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 r AS (SELECT DISTINCT doc_id, p, q, array_to_string(lines[p + 1:q + 1], chr(10)) AS run FROM (
       SELECT doc_id, lines, i AS p, e_i AS q FROM x WHERE e_after - before >= 50 UNION ALL SELECT doc_id, lines, s_i, i FROM x WHERE after - s_before >= 50)),
-k AS (SELECT doc_id, p, q, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM r),
-g AS (SELECT doc_id, list_distinct(flatten(list(range(p, q + 1)))) AS gone FROM k WHERE nth > 1 GROUP BY doc_id)
+k AS (SELECT doc_id, p, q, row_number() OVER o AS nth, first_value(doc_id) OVER o AS doc0, first_value(p) OVER o AS p0 FROM r WINDOW o AS (PARTITION BY run ORDER BY doc_id, p)),
+a AS (SELECT doc_id, CASE WHEN doc0 = doc_id THEN greatest(p, p0 + q - p + 1) ELSE p END AS p, q FROM k WHERE nth > 1),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(p, q + 1)))) AS gone FROM a WHERE p <= q GROUP BY doc_id)
 SELECT o.doc_id, CASE WHEN gone IS NULL THEN o.text ELSE coalesce(array_to_string(list_filter(d.lines, lambda v, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text,
     coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted
 FROM documents o LEFT JOIN d USING (doc_id) LEFT JOIN g USING (doc_id)

@@ -10,17 +10,18 @@ def brute(docs, min_words):
     """Lines in any run of enough words with an earlier copy, for distinct (id, text) in order."""
     seqs = [(i, t.split("\n")) for i, t in docs]
     n_words = lambda lines: sum(len(re.findall(r"[^\x20\x09-\x0d]+", x)) for x in lines)
-    seen, gone = set(), []
-    for _, lines in seqs:
+    seen, gone = {}, []
+    for at, (_, lines) in enumerate(seqs):
         drop = set()
         for i in range(len(lines)):
             for j in range(i + 1, len(lines) + 1):
                 run = tuple(lines[i:j])
                 if n_words(run) >= min_words and run in seen:
-                    drop |= set(range(i, j))
+                    doc, first = seen[run]
+                    drop |= set(range(max(i, first + len(run)) if doc == at else i, j))
             # runs that start at or before line i are earlier than those of the next line
             for j in range(i + 1, len(lines) + 1):
-                seen.add(tuple(lines[i:j]))
+                seen.setdefault(tuple(lines[i:j]), (at, i))
         gone.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
     return gone
 
@@ -43,6 +44,14 @@ def test_matches_brute_force(spark):
         assert [got[i] for i, _ in docs] == want
 
 
+def test_first_copies_that_overlap_the_next_stay_whole(spark):
+    equal, turns = "one two three four five", ["a b c d e", "f g h i j"]
+    docs = [(1, "\n".join([equal] * 100)), (2, "\n".join(turns * 20)), (3, "\n".join(turns * 7)), (4, "\n".join([equal] * 9 + ["end"])), (5, "\n".join(["x", *[equal] * 12]))]
+    got = {r.doc_id: r.text.split("\n") for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == [equal] * 10 and got[2] == turns * 5 and got[4] == [equal] * 9 + ["end"] and got[5] == ["x"]
+    assert [got[i] for i, _ in docs] == [x.split("\n") for x in brute(docs, 50)]
+
+
 def test_nulls_repeats_and_columns(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, "head\n" + passage, "p"), (2, passage + "\ntail", "q"), (2, passage + "\ntail", "q"), (3, None, "r"), (None, passage, None), (4, "", "s")]

@@ -152,7 +152,9 @@ def long_counts(texts: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     """``(row, n_tokens)`` of written ``(row, text)``, each round on the texts that the one before couldn't splice."""
     found = None
     while True:
-        counted = materialize(spliced(_encoded(_cut(texts, chunk, overlap), path, overlap)), "token-counts")
+        encoded = materialize(_encoded(_cut(texts, chunk, overlap), path, overlap), "token-chunks")  # read three times
+        counted = materialize(spliced(encoded), "token-counts")
+        discard(encoded)
         done = counted.where("n_tokens is not null")
         found = done if found is None else found.unionByName(done)
         open_ = counted.where("n_tokens is null")

@@ -27,7 +27,7 @@ UNKNOWN = "und"
 #: A phrase is dropped for a longer one with this share (in hundredths) of its occurrences.
 COVERED = 80
 BREAKS = ".,;:!?\n\x0b\x0c\r"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Bits of the map of frequent parts: 4 MB, whatever the corpus.
 MAP_BITS = 25
 #: Ranges that rank their best phrases before those of a language meet.

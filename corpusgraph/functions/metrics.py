@@ -33,27 +33,60 @@ def text_score(a: Column, b: Column) -> Column:
     return F.bround(dot(a, b), 3)
 
 
+#: Bits of one whole number that hold a part of a row; a sum of two such numbers stays in 64 bits.
+_BITS = 62
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two strings (row-by-row dynamic programme on arrays)."""
+    """Longest common subsequence of two strings, bit-parallel.
+
+    A row of the usual table is kept as whole numbers of _BITS bits, one bit a character of ``b``
+    (set where the row doesn't grow); a character of ``a`` takes one addition a number.
+    """
+    full = F.lit((1 << _BITS) - 1).cast("long")
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    zero = F.lit(0).cast("long")
+
+    def places(right: Column, c: Column, word: Column) -> Column:
+        """The bits of one number at which ``right`` holds the character."""
+        part = F.slice(right, word * _BITS + 1, F.lit(_BITS))
+        bits = F.transform(part, lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda m, x: m.bitwiseOR(x))
 
-    def next_row(row: Column, c: Column, right: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("out"), F.lit(0).alias("left"))
+    def step(row: Column, mask: Column) -> Column:
+        """The next row: a carry goes from each number to the next."""
 
-        def cell(acc: Column, j: Column) -> Column:
-            value = F.when(F.get(right, j) == c, F.get(row, j) + 1).otherwise(F.greatest(F.get(row, j + 1), acc["left"]))
-            return F.struct(F.array_append(acc["out"], value).alias("out"), value.alias("left"))
+        def number(acc: Column, w: Column) -> Column:
+            x = F.get(row, w)
+            u = x.bitwiseAND(F.get(mask, w))
+            total = x + u + acc["carry"]
+            grown = total.bitwiseOR(x - u).bitwiseAND(full)
+            return F.struct(F.array_append(acc["out"], grown).alias("out"), F.shiftright(total, _BITS).alias("carry"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(right) - 1), start, cell, lambda acc: acc["out"])
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), zero.alias("carry"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(row) - 1), start, number, lambda acc: acc["out"])
 
     def table(right: Column) -> Column:
-        first = F.array_repeat(F.lit(0), F.size(right) + 1)
-        last = F.aggregate(chars(a), first, lambda row, c: next_row(row, c, right))
-        return F.when(F.size(right) == 0, F.lit(0)).otherwise(F.element_at(last, -1))
+        words = F.sequence(F.lit(0), F.floor((F.size(right) - 1) / _BITS).cast("int"))
+        distinct = F.array_distinct(right)
+        masks = F.map_from_arrays(distinct, F.transform(distinct, lambda c: F.transform(words, lambda w: places(right, c, w))))
+
+        def run(known: Column) -> Column:
+            first = F.transform(words, lambda w: full)
+            last = F.aggregate(chars(a), first, lambda row, c: F.when(F.map_contains_key(known, c), step(row, F.try_element_at(known, c))).otherwise(row))
+            unset = F.transform(last, lambda x, i: F.bit_count(F.lit(-1).cast("long").bitwiseXOR(x).bitwiseAND(_low(F.least(F.size(right) - i * _BITS, F.lit(_BITS))))))
+            return F.aggregate(unset, F.lit(0), lambda n, x: n + x)
+
+        return F.when(F.size(right) == 0, F.lit(0)).otherwise(let(masks, run))
 
     return let(chars(b), table)
 
 
+def _low(n: Column) -> Column:
+    """A number whose ``n`` lowest bits are set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
+
+
 def indel_ratio(a: Column, b: Column) -> Column:
     """``2 LCS / (len a + len b)``; two empty strings are alike."""
     total = F.length(a) + F.length(b)

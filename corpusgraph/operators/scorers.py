@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics, text
+from corpusgraph.operators import fuzzy
 from corpusgraph.operators.search import share, sparse_top_k
 from corpusgraph.plans.percentiles import percentiles
 from corpusgraph.plans.scratch import materialize
@@ -134,24 +135,13 @@ def principal_score(vectors: DataFrame, columns: list[str], k: int = 3, out: str
     return vectors.withColumn(out, sum(terms[1:], terms[0]))
 
 
-def best_match(names: DataFrame, candidates: DataFrame, name: str, candidate: str, min_score: float = 0.0, block_rows: int = 1024) -> DataFrame:
+def best_match(names: DataFrame, candidates: DataFrame, name: str, candidate: str, min_score: float = 0.0) -> DataFrame:
     """Each name's best candidate by spelling (over ``min_score``); ties go to the shorter, then smaller one.
 
-    Candidates travel to the names in blocks of about ``block_rows``, one alive at a time, and one row
-    a name leaves a block; every distinct name is scored once.  A null name has no match; null
-    candidates take no part.
+    Names and candidates meet in an index of their bigrams, from high scores down (``fuzzy.best_names``);
+    every distinct name is matched once.  A null name has no match; null candidates take no part.
     """
     left = materialize(names.select(F.col(name).alias("name")).distinct().withColumn("_x", text.squeeze(F.col("name"))), "names")
     right = candidates.where(F.col(candidate).isNotNull()).select(F.col(candidate).alias("match")).distinct().withColumn("_y", text.squeeze(F.col("match")))
-    right = materialize(right, "candidates")
-    first = F.min_by("b", F.struct(-F.col("b.score"), F.length("b.match"), F.col("b.match"))).alias("b")
-    n, paths = right.count() // block_rows + 1, []
-    for i in range(n):
-        part = right if n == 1 else right.where(F.pmod(F.xxhash64("match"), F.lit(n)) == i)
-        scored = left.crossJoin(F.broadcast(part)).withColumn("score", F.round(metrics.name_match_score(F.col("_x"), F.col("_y")), 6))
-        best = scored.where(F.col("score") > min_score).select("name", F.struct("match", "score").alias("b")).groupBy("name").agg(first)
-        if n > 1:
-            paths.append(materialize(best, "matches"))
-    if paths:
-        best = left.sparkSession.read.schema(paths[0].schema).parquet(*[p._written_at for p in paths]).groupBy("name").agg(first)
-    return left.select("name").join(best, "name", "left").select("name", F.coalesce("b.match", F.lit("")).alias("match"), F.coalesce("b.score", F.lit(-1.0)).alias("score"))
+    best = fuzzy.best_names(left.where("name is not null"), materialize(right, "candidates"), min_score)
+    return left.select("name").join(best, "name", "left").select("name", F.coalesce("match", F.lit("")).alias("match"), F.coalesce("score", F.lit(-1.0)).alias("score"))

@@ -26,7 +26,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
-    return url_filters.filter_urls(pages, url_filters.label_list(pages))
+    return url_filters.filter_urls(pages, url_filters.block_list(spark))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +133,16 @@ r AS (SELECT *, CASE
         WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
         WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
         WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
-        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM s)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN len(list_intersect(string_split_regex(host, '[.-]'), [@LABELS@])) > 0 THEN 'block' ELSE 'allow' END AS verdict FROM r
-""".replace("@LABELS@", ", ".join(f"'{x}'" for x in url_filters.LISTED_LABELS))
+        WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM s),
+a AS (SELECT unnest([@LABELS@]) AS a), b AS (SELECT unnest([NULL, @COMPANIONS@]) AS b), d AS (SELECT unnest([@DOMAINS@]) AS d),
+l AS (SELECT DISTINCT unnest([concat_ws('-', a, b), concat_ws('-', b, a)]) || '.' || d AS name FROM a, b, d),
+n AS (SELECT DISTINCT host, array_to_string(string_split(host, '.')[i:], '.') AS name FROM (SELECT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM (SELECT DISTINCT host FROM r))),
+m AS (SELECT DISTINCT host FROM n JOIN l USING (name))
+SELECT page_id, r.host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN m.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN m ON m.host = r.host
+"""
+for _name, _values in (("LABELS", url_filters.LISTED_LABELS), ("COMPANIONS", url_filters.COMPANIONS), ("DOMAINS", url_filters.DOMAINS)):
+    _OP5 = _OP5.replace(f"@{_name}@", ", ".join(f"'{x}'" for x in _values))
 
 
 _OP6 = r"""

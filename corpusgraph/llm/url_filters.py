@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.plans.scratch import materialize
@@ -15,6 +15,10 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Labels of host names that put a host on the production block list; fixed values.
 LISTED_LABELS = ["adult", "ads", "bets", "betting", "casino", "gambling", "lottery", "malware", "phishing", "pills", "poker", "porn", "spam", "track", "tracker", "viagra", "warez", "xxx"]
 
+#: What such a label is joined with by a hyphen, on either side, and the domains that sell names below them; fixed values.
+COMPANIONS = ["best", "bonus", "cheap", "club", "farm", "free", "hot", "live", "network", "now", "online", "play", "shop", "top", "track", "win", "world", "x"]
+DOMAINS = ["example.com", "example.net", "example.org"]
+
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (ASCII lower case) and path; both empty for a null url or one without ``://``."""
@@ -165,8 +169,19 @@ def has_listed_label(host: Column, labels: list[str] = LISTED_LABELS) -> Column:
     return F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(x) for x in labels]))
 
 
+def block_list(spark: SparkSession) -> DataFrame:
+    """The production block list, a table of some two thousand names that knows nothing of the corpus.
+
+    A label of LISTED_LABELS alone, or with one of COMPANIONS on either side, under each of DOMAINS.
+    """
+    words = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+    parts = spark.range(1).select(words(LISTED_LABELS).alias("a")).select("a", words([None, *COMPANIONS]).alias("b")).select("a", "b", words(DOMAINS).alias("d"))
+    names = F.explode(F.array(F.concat_ws("-", "a", "b"), F.concat_ws("-", "b", "a")))
+    return parts.select("d", names.alias("n")).select(F.concat_ws(".", "n", "d").alias("host")).distinct()
+
+
 def label_list(pages: DataFrame, url: str = "url") -> DataFrame:
-    """The production block list as a table of hosts: those of the corpus with a label of LISTED_LABELS."""
+    """A block list made from the corpus's own hosts: those with a label of LISTED_LABELS."""
     host = split_url(F.col(url))[0]
     return pages.select(host.alias("host")).distinct().where(has_listed_label(F.col("host")))
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.plans.scratch import materialize, scratch_path, shuffle_partitions
+from corpusgraph.plans.skew import join_groups
 
 MIN_REVISIT_BYTES = 100
 BLOCK_LINES = 256
@@ -36,22 +37,27 @@ _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"  # pages carry no capture time
 
 
+def _clean(value: str | None) -> str:
+    """A url without white space and control characters, which would end a line of a header or of the index."""
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: f"%{ord(m[0]):02X}", value or "")
+
+
 def url_key(url: str | None) -> str:
-    """Reversed host, then path and query: ``com,example,www)/a?b`` (scheme and fragment go)."""
-    rest = (url or "").partition("://")[2] or (url or "")
+    """Reversed host, then path and query: ``com,example,www)/a?b`` (scheme and fragment go).
+
+    Of the url as a record's header has it (``_clean``), so that a header leads back to its key.
+    """
+    url = _clean(url)
+    rest = url.partition("://")[2] or url
     m = re.match(r"([^/?#]*)([^#]*)", rest, re.S)
     host = m[1].lower().rpartition("@")[2]
-    return re.sub(r"\s", lambda x: f"%{ord(x[0]):02x}", f"{','.join(reversed(host.split('.')))}){m[2] or '/'}")
+    return f"{','.join(reversed(host.split('.')))}){m[2] or '/'}"
 
 
 def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}')}>"
 
 
-def _clean(value: str | None) -> str:
-    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value or "")
-
-
 def _gzip(data: bytes) -> bytes:
     z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -89,11 +95,12 @@ def _classify(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     p = p.withColumn("digest", F.sha2("payload", 256))
     long_enough = F.octet_length("payload") >= MIN_REVISIT_BYTES
     response = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
-    seen = p.where(long_enough).groupBy("digest").agg(response.alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
+    seen = p.where(long_enough).groupBy("digest").agg(response.alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), "n")
     seen = materialize(seen, "warc-copies")
     if (seen.agg(F.sum(F.coalesce(F.octet_length("first_url"), F.lit(0)) + 160)).first()[0] or 0) <= BROADCAST_BYTES:
-        seen = F.broadcast(seen)
-    p = p.join(seen, "digest", "left")
+        p = p.join(F.broadcast(seen.drop("n")), "digest", "left")
+    else:
+        p = join_groups(p, seen, ["digest"], how="left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return p.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
 

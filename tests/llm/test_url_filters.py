@@ -56,3 +56,13 @@ def test_exact_on_a_million_hosts(spark):
     # one host with a third of all rows
     hot = hosts.limit(2000).union(spark.range(1000).select(F.lit("h3.example"), F.lit(True)))
     assert cascade.mark(hot, "key", "m").where("m <> listed").count() == 0
+
+
+def test_block_list_names_hosts_and_their_subdomains(spark):
+    names = {r.host for r in U.block_list(spark).collect()}
+    assert len(names) > 1500 and "casino-win.example.com" in names and "free-bets.example.org" in names and "spam.example.net" in names
+    assert {r.asDict()["host"] for r in U.block_list(spark).groupBy("host").count().where("count > 1").collect()} == set()
+    urls = ["http://m.Casino-Win.example.com/en/1", "http://casino-win.example.com.evil.org/", "http://win.example.com/", "http://not-casino-win.example.com/x", "http://a.b.spam-farm.example.com/de"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.filter_urls(df, U.block_list(spark)).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "block"}

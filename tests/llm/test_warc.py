@@ -60,3 +60,19 @@ def test_captures_that_repeat_and_long_payloads(spark):
 def test_url_keys():
     assert W.url_key("https://WWW.Example.com/a/b?c#d") == "com,example,www)/a/b?c"
     assert W.url_key("http://x.y") == "y,x)/" and W.url_key(None) == ")/"
+
+
+def test_headers_lead_back_to_their_keys(spark):
+    for url in ("http://a.com/x\ny", "http://a.com/x y\tz", "http://b.org/\x01\x7f\x85?q= ", "\x0b http://c.net", "http://d.com/\xa0"):
+        assert W.url_key(W._clean(url)) == W.url_key(url) and " " not in W.url_key(url) and len(W.url_key(url).splitlines()) == 1
+    data = [(1, "http://a.com/x\ny", LONG, None), (2, "http://b.com/\x01", LONG, None), (3, None, LONG, None)]
+    folder, slices = W.archive_pages(spark.createDataFrame(data, SCHEMA))
+    reader = W.Reader(folder, W.load_slices(slices))
+    assert {reader.payload(W.url_key(u), i) for i, u, *_ in data} == {LONG.encode()}
+
+
+def test_a_third_of_all_pages_with_one_payload_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_BYTES", 0)
+    data = [(i if i % 50 else None, f"http://h{i % 9}/{i}", LONG if i % 3 == 0 else f"{'own ' * 30}{i // 2 if i % 5 else i}", None) for i in range(1500)]
+    got = W.round_trip(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in got), key=str) == brute(data)

@@ -17,8 +17,8 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
-    """Inner join of ``rows`` with ``groups`` (written, one row a key, ``count`` its rows), without ``count``.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str = "n", how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``groups`` (written, one row a key, ``count`` its rows), without ``count``.
 
     Heavy groups are at most HEAVY_PARTS by their definition; they are broadcast and their rows
     stay where they are.  All others are joined by a shuffle, whose largest key then holds less
@@ -28,6 +28,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str
     is_heavy = F.col(count) * HEAVY_PARTS > total
     heavy = groups.where(is_heavy).drop(count)
     if total < HEAVY_PARTS or heavy.isEmpty():
-        return rows.join(groups.drop(count), keys)
-    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(groups.where(~is_heavy).drop(count), keys)
+        return rows.join(groups.drop(count), keys, how)
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(groups.where(~is_heavy).drop(count), keys, how)
     return light.unionByName(rows.join(F.broadcast(heavy), keys))

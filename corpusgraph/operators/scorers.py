@@ -41,6 +41,7 @@ class DotScorer:
 class MeanScorer:
     """Arithmetic mean of the metric vector; items of lists match from 80 of 100 on the spelling ratio."""
 
+    weights = [1 / len(metrics.METRICS)] * len(metrics.METRICS)
     columns = ["name", "name_emb", "embedding", "desc_emb", "type", "authors", "topics", "brands", "divisions", "mpc_round", "forecast_round", "date"]
 
     def __call__(self, a: str, b: str) -> Column:
@@ -50,6 +51,8 @@ class MeanScorer:
 class WeightedScorer(MeanScorer):
     """Weighted sum of the metric vector over its length."""
 
+    weights = [w / len(metrics.METRICS) for w in metrics.WEIGHTS]
+
     def __call__(self, a: str, b: str) -> Column:
         return metrics.weighted_score(metrics.metric_vector(close=metrics.close_match()))
 

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.operators.composite import likely_pairs
 from corpusgraph.plans.scratch import materialize
 
 #: A block holds queries of about this many items in all, each query counted as MIN_ITEMS or more.
@@ -86,14 +87,18 @@ def scored_top_k(nodes: DataFrame, queries: DataFrame, scorer, seq: str, k: int
     """``(query_id, node_id, score, rank)``: each query row's best other nodes by any column scorer.
 
     Queries travel to the nodes ``block_rows`` at a time; the k best of a partition are kept before the
-    shuffle.  Rows with a null ``seq`` take no part; null scores come last.
+    shuffle.  Of a scorer with ``weights`` of the metric vector only pairs that may be among the best
+    are scored (``composite``).  Rows with a null ``seq`` take no part; null scores come last.
     """
     side = lambda df, p: df.where(F.col(seq).isNotNull()).select(*[F.col(c).alias(p + c) for c in dict.fromkeys([seq, *scorer.columns])])
     asked, rows = materialize(side(queries, "a_"), "queries"), side(nodes, "b_")
     n, paths = asked.count() // block_rows + 1, []
     for i in range(n):
         part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("a_" + seq), F.lit(n)) == i)
-        pairs = rows.join(F.broadcast(part), F.col("a_" + seq) != F.col("b_" + seq))
+        if weights := getattr(scorer, "weights", None):
+            pairs = likely_pairs(rows, part, seq, weights, k).join(F.broadcast(part), "a_" + seq)
+        else:
+            pairs = rows.join(F.broadcast(part), F.col("a_" + seq) != F.col("b_" + seq))
         best = top_k(pairs.select(F.col("a_" + seq).alias("query_id"), F.col("b_" + seq).alias("node_id"), F.round(scorer("a_", "b_"), 6).alias("score")), k)
         if n == 1:
             return best

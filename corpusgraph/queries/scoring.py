@@ -10,7 +10,7 @@ from corpusgraph.functions import metrics, text
 from corpusgraph.operators import analytics, chat, embedding, graph, pairs, rag, scorers, search, stats
 from corpusgraph.queries import read
 from corpusgraph.queries.graphs import _DIST, _edges
-from corpusgraph.queries.tables import _TYPES, _date
+from corpusgraph.queries.tables import _TYPES, _date, _ratio
 from corpusgraph.sources import io
 
 _TYPE_NAMES = sorted({*metrics.DOC_TYPES, *(t for row in metrics.DOC_TYPES.values() for t in row)})
@@ -46,6 +46,14 @@ def weighted_score_topk(spark, sf_dir):
     return search.scored_top_k(n, n.where("vec_id % 100 = 0"), scorers.WeightedScorer(), "vec_id")
 
 
+def spelled_score_topk(spark, sf_dir):
+    """The mean score with the names of parts, and their words with a digit as authors and topics, so that spelling counts."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.col("p_name").alias("part_name"))
+    words = F.transform(F.split("part_name", " "), lambda w: F.concat(w, (F.col("vec_id") % 3).cast("string")))
+    n = _described(spark, sf_dir).join(p, "vec_id").withColumns({"name": F.col("part_name"), "authors": words, "topics": words}).drop("part_name")
+    return search.scored_top_k(n, n.where("vec_id % 100 = 0"), scorers.MeanScorer(), "vec_id")
+
+
 def query_topk(spark, sf_dir):
     """Each benchmark text as a question to all documents."""
     docs = embedding.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
@@ -134,7 +142,7 @@ def desc_scores(spark, sf_dir):
 
 
 QUERIES = (
-    metric_vector_pairs, mean_score_topk, weighted_score_topk, query_topk, greedy_communities, connectivity, renamed_metadata, sampled_pair_hist, extract_prompts, rating_texts,
+    metric_vector_pairs, mean_score_topk, weighted_score_topk, spelled_score_topk, query_topk, greedy_communities, connectivity, renamed_metadata, sampled_pair_hist, extract_prompts, rating_texts,
     result_items, run_cases, vision_renders, author_items, desc_scores,
 )
 
@@ -165,6 +173,18 @@ def _best(score: str) -> str:
         SELECT query_id, node_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM r) WHERE rank <= 5"""
 
 
+#: The name and the words of both rows as numbers of a table of spellings; all else as in ``_VECTORS``.
+_SPELLED = f"""WITH p AS (SELECT vec_id, p_name, list_transform(string_split(p_name, ' '), lambda w: w || (vec_id % 3)) AS ws FROM embeddings JOIN part ON p_partkey = vec_id),
+pn AS (SELECT DISTINCT p_name AS s FROM p), nr AS MATERIALIZED (SELECT a.s AS x, b.s AS y, {_ratio('a.s', 'b.s')} AS r FROM pn a, pn b),
+pw AS (SELECT DISTINCT unnest(ws) AS s FROM p), wr AS MATERIALIZED (SELECT a.s AS x, b.s AS y FROM pw a, pw b WHERE {_ratio('lower(a.s)', 'lower(b.s)')} * 100 >= 80),
+pl AS (SELECT DISTINCT ws FROM p), pe AS (SELECT ws, unnest(ws) AS w FROM pl),
+pc AS (SELECT a.ws AS x, b.ws AS y, count(DISTINCT a.w) AS c FROM pe a JOIN wr ON wr.x = a.w JOIN pe b ON wr.y = b.w GROUP BY ALL),
+lj AS MATERIALIZED (SELECT a.ws AS x, b.ws AS y, round_even(2 * round_even(least(1.0::DOUBLE, coalesce(c, 0)::DOUBLE / (len(a.ws) + len(b.ws) - coalesce(c, 0))), 3) - 1, 3) AS j FROM pl a CROSS JOIN pl b LEFT JOIN pc ON pc.x = a.ws AND pc.y = b.ws),
+"""
+_SPELLED_V = """, z AS (SELECT v.* REPLACE (round_even(0.5 * (2 * nr.r - 1) + 0.5 * (list_inner_product(e.embedding::DOUBLE[], f.embedding::DOUBLE[])), 3) + 0.0 AS name, lj.j AS author, lj.j AS topic)
+    FROM v JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst JOIN nr ON nr.x = a.p_name AND nr.y = b.p_name JOIN lj ON lj.x = a.ws AND lj.y = b.ws JOIN embeddings e ON e.vec_id = src JOIN embeddings f ON f.vec_id = dst)"""
+
+
 _DRAW = "('0x' || substr(md5('0:' || i || ':{0}'), 1, 8))::BIGINT"
 _REGIONS = "WITH g AS (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1), n AS (SELECT count(*) AS n FROM nation)"
 
@@ -172,6 +192,7 @@ ORACLES = {
     "metric_vector_pairs": f"WITH {_VECTORS.format(on='a.vec_id < b.vec_id AND b.vec_id IN (SELECT n_nationkey FROM nation) AND a.vec_id IN (SELECT n_nationkey FROM nation)')} SELECT src, dst, {', '.join(_COLUMNS)}, round({_MEAN}, 6) AS average FROM v",
     "mean_score_topk": _best(_MEAN),
     "weighted_score_topk": _best(_WEIGHTED),
+    "spelled_score_topk": _best(_MEAN).replace("WITH ", _SPELLED, 1).replace(", r AS (", _SPELLED_V + ", r AS (", 1).replace("AS score FROM v)", "AS score FROM z)", 1),
     "greedy_communities": "SELECT n_nationkey AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS community FROM nation",
     "connectivity": f"{_REGIONS} SELECT round(sum(c * (c - 1) / 2 * (c - 1)) / (max(n) * (max(n) - 1) / 2), 6) AS avg_node_connectivity, 0::BIGINT AS node_connectivity, 0::BIGINT AS edge_connectivity FROM g, n",
     "renamed_metadata": "SELECT n_nationkey AS id, n_name AS title FROM nation",

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics, text
-from corpusgraph.operators import pairs, rag, scorers, stats
+from corpusgraph.operators import fuzzy, pairs, rag, scorers, stats
 from corpusgraph.plans.percentiles import percentiles
 from corpusgraph.plans.scratch import materialize
 from corpusgraph.queries import read
@@ -71,6 +71,26 @@ def matched_names(spark, sf_dir):
     return scorers.best_match(read(spark, sf_dir, "nation"), read(spark, sf_dir, "region"), "n_name", "r_name")
 
 
+def matched_part_names(spark, sf_dir):
+    """The part name spelled most like each part name turned round."""
+    p = read(spark, sf_dir, "part")
+    turned = p.select(F.array_join(F.reverse(F.split("p_name", " ")), " ").alias("turned"))
+    return scorers.best_match(turned, p, "turned", "p_name", 0.2)
+
+
+def close_part_names(spark, sf_dir):
+    """All pairs of part names with a spelling ratio of 0.7 or more."""
+    p = read(spark, sf_dir, "part")
+    return fuzzy.close_pairs(p, p, "p_name", "p_name", 0.7).select("x", "y", F.round("ratio", 6).alias("ratio"))
+
+
+def fuzzy_list_join(spark, sf_dir):
+    """Brands by the words of their parts' names, each with the brand's last digit: pairs that share words spelled alike."""
+    p = read(spark, sf_dir, "part").select("p_brand", F.explode(F.split("p_name", " ")).alias("word")).where("word is not null")
+    lists = p.groupBy("p_brand").agg(F.sort_array(F.collect_set(F.concat(F.upper(F.substring("word", 1, 2)), F.substring("word", 3, 20), F.substring("p_brand", -1, 1)))).alias("words"))
+    return fuzzy.fuzzy_list_pairs(lists, lists, "p_brand", "words")
+
+
 def split_types(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", text.split_list(F.replace(F.col("p_type"), F.lit(" "), F.lit(" > "))).alias("items"))
     return p.select("p_partkey", F.size("items").alias("n"), F.array_join("items", "/").alias("joined"))
@@ -137,7 +157,7 @@ def qa_filter(spark, sf_dir):
 
 
 QUERIES = (
-    date_score_pairs, date_score_wide, equality_score, type_score_pairs, exact_list_jaccard, brand_nan_rule, fuzzy_list_scores, name_ratio, matched_names, split_types, distinct_type_words,
+    date_score_pairs, date_score_wide, equality_score, type_score_pairs, exact_list_jaccard, brand_nan_rule, fuzzy_list_scores, name_ratio, matched_names, matched_part_names, close_part_names, fuzzy_list_join, split_types, distinct_type_words,
     order_epochs, stringified_metadata, half_even_rounding, robust_scale_by_run, weight_quartiles_by_run, metric_describe, metric_corr, table_profile, metric_regressions, principal_scores,
     type_pairs, qa_filter,
 )
@@ -167,6 +187,15 @@ def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0::DOUBLE * {table}[-1] / (length({a}) + length({b})) END"
 
 
+_MATCHED = f"""WITH k AS MATERIALIZED (SELECT *, regexp_replace(name, '[^a-zA-Z0-9]', '', 'g') AS x, regexp_replace(match, '[^a-zA-Z0-9]', '', 'g') AS y FROM (@K@)),
+        o AS (SELECT *, lower(x) AS lx, lower(y) AS ly, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS sh, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS lo FROM k),
+        z AS (SELECT name, match, sh, substr(lo, i::INT, length(sh)::INT) AS part FROM (SELECT *, unnest(range(1, length(lo) - length(sh) + 2)) AS i FROM o)),
+        b AS (SELECT name, match, max({_ratio('sh', 'part')}) AS best FROM z GROUP BY 1, 2),
+        s AS (SELECT name, match, round(0.4 * {_ratio('x', 'y')} + 0.3 * best + 0.3 * {_ratio('lx', 'ly')}, 6) AS score FROM o JOIN b USING (name, match))
+        SELECT name, match, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, length(match), match) AS r FROM s WHERE score > @LOW@) WHERE r = 1
+        UNION ALL SELECT DISTINCT name, '', -1.0 FROM k WHERE name NOT IN (SELECT name FROM s WHERE score > @LOW@)"""
+
+
 _REGRESSION = """SELECT '{0}' AS target, round(avg(a), 4) AS mape_mean, round(stddev_pop(a), 4) AS mape_std, round(avg(b), 4) AS mse_mean, round(stddev_pop(b), 4) AS mse_std FROM
     (SELECT f.fold, avg(abs(g.k + g.s * f.{1} - f.{0}) / abs(f.{0})) AS a, avg((g.k + g.s * f.{1} - f.{0}) ** 2) AS b
     FROM f JOIN (SELECT o.fold, regr_slope(f.{0}, f.{1}) AS s, regr_intercept(f.{0}, f.{1}) AS k FROM f JOIN (SELECT DISTINCT fold FROM f) o ON f.fold <> o.fold GROUP BY 1) g ON g.fold = f.fold GROUP BY f.fold)"""
@@ -187,13 +216,13 @@ ORACLES = {
         m AS (SELECT x, y FROM w WHERE {_ratio('x', 'y')} * 100 >= 80),
         c AS (SELECT p_partkey, count(DISTINCT u.x) AS c FROM u JOIN v USING (p_partkey) JOIN m ON m.x = lower(u.x) AND m.y = lower(v.y) WHERE trim(u.x) <> '' GROUP BY 1)
         SELECT p_partkey, round_even(2 * round_even(least(1.0::DOUBLE, coalesce(coalesce(c, 0)::DOUBLE / nullif(len(x) + len(y) - coalesce(c, 0), 0), 0)), 3) - 1, 3) AS score FROM p LEFT JOIN c USING (p_partkey)""",
-    "matched_names": f"""WITH k AS (SELECT DISTINCT n_name AS name, r_name AS match, regexp_replace(n_name, '[^a-zA-Z0-9]', '', 'g') AS x, regexp_replace(r_name, '[^a-zA-Z0-9]', '', 'g') AS y FROM nation, region),
-        o AS (SELECT *, lower(x) AS lx, lower(y) AS ly, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS sh, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS lo FROM k),
-        z AS (SELECT name, match, sh, substr(lo, i::INT, length(sh)::INT) AS part FROM (SELECT *, unnest(range(1, length(lo) - length(sh) + 2)) AS i FROM o)),
-        b AS (SELECT name, match, max({_ratio('sh', 'part')}) AS best FROM z GROUP BY 1, 2),
-        s AS (SELECT name, match, round(0.4 * {_ratio('x', 'y')} + 0.3 * best + 0.3 * {_ratio('lx', 'ly')}, 6) AS score FROM o JOIN b USING (name, match))
-        SELECT name, match, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, length(match), match) AS r FROM s WHERE score > 0) WHERE r = 1
-        UNION ALL SELECT DISTINCT name, '', -1.0 FROM k WHERE name NOT IN (SELECT name FROM s WHERE score > 0)""",
+    "matched_names": _MATCHED.replace("@K@", "SELECT DISTINCT n_name AS name, r_name AS match FROM nation, region").replace("@LOW@", "0"),
+    "matched_part_names": _MATCHED.replace("@K@", "SELECT * FROM (SELECT DISTINCT array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS name FROM part), (SELECT DISTINCT p_name AS match FROM part)").replace("@LOW@", "0.2"),
+    "close_part_names": f"""WITH p AS (SELECT DISTINCT p_name AS s FROM part), r AS (SELECT a.s AS x, b.s AS y, {_ratio('a.s', 'b.s')} AS ratio FROM p a, p b) SELECT x, y, round(ratio, 6) AS ratio FROM r WHERE ratio >= 0.7 - 1e-12""",
+    "fuzzy_list_join": f"""WITH p AS (SELECT DISTINCT p_brand AS k, upper(substr(w, 1, 2)) || substr(w, 3, 20) || right(p_brand, 1) AS w FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)),
+        d AS (SELECT DISTINCT lower(w) AS s FROM p), m AS MATERIALIZED (SELECT a.s AS x, b.s AS y FROM d a, d b WHERE {_ratio('a.s', 'b.s')} >= 0.8 - 1e-12), n AS (SELECT k, count(*) AS n FROM p GROUP BY k),
+        c AS (SELECT a.k AS a, b.k AS b, count(DISTINCT a.w) AS common FROM p a JOIN m ON m.x = lower(a.w) JOIN p b ON m.y = lower(b.w) GROUP BY ALL)
+        SELECT a, b, common, round_even(common::DOUBLE / (u.n + v.n - common), 3) AS jaccard FROM c JOIN n u ON u.k = a JOIN n v ON v.k = b""",
     "brand_nan_rule": f"SELECT a.p_partkey, CASE WHEN a.p_partkey % 10 = 0 THEN 0.0::DOUBLE WHEN a.p_brand = b.p_brand THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score {_PART}",
     "split_types": "SELECT p_partkey, len(string_split(p_type, ' '))::INT AS n, replace(p_type, ' ', '/') AS joined FROM part",
     "distinct_type_words": "SELECT value, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS value FROM part) GROUP BY value",

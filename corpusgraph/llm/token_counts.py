@@ -1,6 +1,8 @@
 """Token counts of whole texts, long ones by overlapping chunks that are spliced where they agree.
 
-A text up to CHUNK characters is encoded in one call.  A longer one is cut into chunks that share
+A text up to CHUNK characters is taken at once: where the tokenizer never joins what white space
+parts (``adds_up``), as the sum over its parts, each encoded by the library the first time a worker
+meets it.  A longer one is cut into chunks that share
 an overlap with the next; chunks are rows of their own, so one huge text is spread over tasks and
 none holds more than a chunk's encoding.  Of two neighbours, the left one is right up to a boundary
 that it finds, the right one from a boundary on that both find: the pre-tokenizer reads from left
@@ -20,12 +22,14 @@ treated as the library does by default.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ WIDER = (2, 8)
 LIMIT = 2048
 #: Characters of texts that are encoded in one call.
 CALL = 1 << 19
+#: Parts of at most so many characters are remembered, up to so many a worker.
+KNOWN_CHARS, KNOWN_PARTS = 48, 1 << 19
 _SPACES = frozenset(" \t\n\r\x0b\x0c\x85\xa0")
 
 _SUMMARY = "row long, part int, parts int, total long, left_at array<int>, left_before array<long>, right_at array<int>, right_before array<long>"
@@ -60,6 +66,60 @@ def special_length(path: str) -> int:
     return max((len(t.content) for t in load(path).get_added_tokens_decoder().values()), default=0)
 
 
+@lru_cache(maxsize=4)
+def adds_up(path: str) -> bool:
+    """Whether a text's tokens are those of its parts between spaces and line ends, by the vocabulary's file.
+
+    So it is where the words that the first pattern finds hold no white space and depend on nothing
+    beside them, no special string has any, and normalizing works on white space or single characters.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = spec.get("pre_tokenizer") or {}
+    first = first["pretokenizers"][0] if first.get("type") == "Sequence" else first
+    pattern = first.get("pattern", {}).get("Regex", "") if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") else ""
+    normal = spec.get("normalizer") or {}
+    steps = normal["normalizers"] if normal.get("type") == "Sequence" else [normal] if normal else []
+    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in steps)
+    special = [t["content"] for t in spec.get("added_tokens", [])]
+    return bool(pattern) and "(?" not in pattern and not regex.search(pattern, " \t\r\n") and plain and not any(c.isspace() for t in special for c in t)
+
+
+_known: dict[str, dict[str, int]] = {}
+
+
+def _encoded_lengths(path: str, texts: list[str]) -> list[int]:
+    out, i = [], 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= CALL):
+            size += len(texts[j])
+            j += 1
+        out += [len(e.ids) for e in load(path).encode_batch_fast(texts[i:j], add_special_tokens=False)]
+        i = j
+    return out
+
+
+def lengths(path: str, texts: list[str]) -> list[int]:
+    """The tokens of each text, whole."""
+    if not adds_up(path):
+        return _encoded_lengths(path, texts)
+    known, out = _known.setdefault(path, {"": 0}), []
+    for text in texts:
+        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        found = [known.get(p) for p in parts]
+        if None in found:
+            new = list({p for p, n in zip(parts, found, strict=True) if n is None})
+            here = dict(zip(new, _encoded_lengths(path, new), strict=True))
+            found = [here[p] if n is None else n for p, n in zip(parts, found, strict=True)]
+            if len(known) + len(here) > KNOWN_PARTS:
+                known.clear()
+                known[""] = 0
+            known.update((p, n) for p, n in here.items() if len(p) <= KNOWN_CHARS)
+        out.append(sum(found))
+    return out
+
+
 def _stable(text: str, at: int) -> bool:
     """Whether normalizing can't join the character with the one before it or put them in another order.
 
@@ -176,16 +236,8 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def scan(batches):
         for batch in batches:
-            texts, i, n = batch.column(1).to_pylist(), 0, batch.num_rows
-            counts = np.zeros(n, np.int64)
-            while i < n:
-                j, size = i, 0
-                while j < n and (j == i or size + len(texts[j] or "") <= CALL):
-                    size += len(texts[j] or "")
-                    j += 1
-                counts[i:j] = [len(e.ids) for e in load(path).encode_batch_fast([t or "" for t in texts[i:j]], add_special_tokens=False)]
-                i = j
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts)], names=["_key", "n_bytes", "n_tokens"])
+            counts = lengths(path, [t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["_key", "n_bytes", "n_tokens"])
 
     counted = rows.where(~is_long).mapInArrow(scan, f"_key {key_type}, n_bytes long, n_tokens long")
     long_rows = materialize(rows.where(is_long).withColumn("row", F.monotonically_increasing_id()), "long-texts")

@@ -72,3 +72,14 @@ def test_given_documents(spark, sf, path, want):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r.n_tokens for r in T.count_tokens(docs, path, chunk=500, overlap=100).collect()}
     assert got == {r.doc_id: want(r.text) for r in docs.collect()}
+
+
+def test_texts_as_sums_of_their_parts(path, want, monkeypatch):
+    assert T.adds_up(path) and not T.adds_up(path.replace("word_bpe_49k", "byte_bpe_50k"))
+    monkeypatch.setattr(T, "KNOWN_PARTS", 40)
+    rng = random.Random(6)
+    texts = [odd_text(rng, n) for n in range(0, 120)] * 2
+    assert T.lengths(path, texts) == [want(t) for t in texts]
+    byte = path.replace("word_bpe_49k", "byte_bpe_50k")
+    t = Tokenizer.from_file(byte)
+    assert T.lengths(byte, texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions.metrics import dot
 from corpusgraph.functions.text import min_max
-from corpusgraph.operators import analytics, graph, pairs, scorers, tuning
+from corpusgraph.operators import analytics, graph, pairs, scorers, tuning, vector_index
 from corpusgraph.plans.scratch import materialize
 from corpusgraph.queries import read
 
@@ -121,6 +121,23 @@ def topk_graph(spark, sf_dir):
     return graph.top_k_edges(pairs.vector_top_k(nodes, nodes, 6), 0.2)
 
 
+def index_topk(spark, sf_dir):
+    """``topk_dot`` through a written index."""
+    nodes = read(spark, sf_dir, "embeddings")
+    return vector_index.index_top_k(vector_index.build(nodes), nodes.where("vec_id % 100 = 0"), 5)
+
+
+def index_threshold_edges(spark, sf_dir):
+    """``threshold_graph_edges`` through a written index: only pairs of blocks that may hold an edge meet."""
+    return vector_index.index_pairs(vector_index.build(read(spark, sf_dir, "embeddings")), spark, THRESHOLD)
+
+
+def index_topk_graph(spark, sf_dir):
+    """``topk_graph`` through a written index."""
+    nodes = read(spark, sf_dir, "embeddings")
+    return graph.top_k_edges(vector_index.index_top_k(vector_index.build(nodes), nodes, 6), 0.2)
+
+
 def label_assortativity(spark, sf_dir):
     return analytics.attribute_assortativity(*_edges(spark, sf_dir), "vec_id", "label")
 
@@ -241,7 +258,7 @@ def trade_connectivity(spark, sf_dir):
 QUERIES = (
     topk_dot, topk_dot_one, allpairs_dot_stats, ordered_pairs_stats, cosine_pairs, node_stripes, every_other_edge, threshold_grid, edge_threshold,
     threshold_graph_edges, mean_edge_weight, graph_quick_stats, avg_clustering, graph_components, graph_connected, shortest_path_context, nearest_path_context,
-    hop_stats, path_lengths, modularity_by_label, degree_centrality, topk_graph, label_assortativity, degree_assortativity, numeric_assortativity,
+    hop_stats, path_lengths, modularity_by_label, degree_centrality, topk_graph, index_topk, index_threshold_edges, index_topk_graph, label_assortativity, degree_assortativity, numeric_assortativity,
     node_classification_1step, weighted_prf, node_classification, node_classification_prf, harmonic_classification, harmonic_classification_prf, communities, community_colours, evaluate_graph, threshold_objective, robust_scale,
     minmax_centrality_range, anchor_nodes, trade_edges, trade_communities, trade_connectivity,
 )
@@ -355,3 +372,4 @@ ORACLES = {
     "anchor_nodes": f"""WITH {_P}, b AS (SELECT src AS q, dst AS n, weight AS w FROM p UNION ALL SELECT dst, src, weight FROM p)
         SELECT q AS query_id, n AS node_id, w AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY w DESC, n) AS o FROM b WHERE q % 100 = 0) WHERE o = 1""",
 }
+ORACLES |= {f"index_{new}": ORACLES[old] for new, old in (("topk", "topk_dot"), ("threshold_edges", "threshold_graph_edges"), ("topk_graph", "topk_graph"))}

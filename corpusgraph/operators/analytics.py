@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from corpusgraph.operators.communities import modular_communities
 from corpusgraph.operators.graph import shortest_paths, symmetric
 from corpusgraph.plans.components import connected_components
 from corpusgraph.plans.positions import global_positions
@@ -105,21 +106,42 @@ def modularity(edges: DataFrame, membership: DataFrame, key: str, community: str
     return per.crossJoin(F.broadcast(total)).agg(F.round(F.sum(part), 6).alias("modularity"))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 10) -> DataFrame:
-    """``(node, community)``: every node takes its neighbours' heaviest label, in step (ties to the smaller)."""
-    both = materialize(symmetric(edges), "lp-edges")
-    labels = materialize(nodes.select(F.col(key).alias("node"), F.col(key).alias("community")), "lp")
-    for _ in range(rounds):
+def label_propagation(nodes: DataFrame, edges: DataFrame, key: str, rounds: int | None = None) -> DataFrame:
+    """``(node, community)``: every node takes its neighbours' heaviest label, in step (ties to the smaller).
+
+    Goes on until no label changes, or for ``rounds`` if given.  Nodes that take labels in step may
+    swing for ever; when a state of the labels comes back, each node gets the smallest label that
+    it holds within the cycle.  Nodes without edges keep their own label; null nodes and ends, and
+    edges without a weight, count for nothing; repeated nodes count once.
+    """
+    both = materialize(symmetric(edges).where("src is not null and dst is not null and weight is not null"), "lp-edges")
+    states = [materialize(nodes.select(F.col(key).alias("node"), F.col(key).alias("community")).where("node is not null").distinct(), "lp")]
+    seen = [_state(states[0])]
+    while rounds is None or len(states) <= rounds:
+        labels = states[-1]
         heard = both.join(labels, both["src"] == labels["node"]).groupBy("dst", "community").agg(F.sum("weight").alias("w"))
         own = labels.select(F.col("node").alias("dst"), "community", F.lit(1e-9).alias("w"))
         votes = heard.union(own).groupBy("dst", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("dst").agg(F.min_by("community", F.struct(-F.round("w", 9), F.col("community"))).alias("community"))
         new = materialize(best.select(F.col("dst").alias("node"), "community"), "lp")
-        changed = new.join(labels.withColumnRenamed("community", "old"), "node").where("community <> old").isEmpty()
-        labels = new
-        if changed:
-            break
-    return labels
+        now = _state(new)
+        # equal sums may be chance; the labels themselves decide
+        for i in [i for i, s in enumerate(seen) if s == now]:
+            if new.join(states[i].withColumnRenamed("community", "old"), "node").where("community <> old").isEmpty():
+                if i == len(states) - 1:
+                    return states[i]
+                cycle = states[i]
+                for more in states[i + 1 :]:
+                    cycle = cycle.union(more)
+                return materialize(cycle.groupBy("node").agg(F.min("community").alias("community")), "lp")
+        states.append(new)
+        seen.append(now)
+    return states[-1]
+
+
+def _state(labels: DataFrame) -> tuple:
+    """A sum that tells most states of labels apart."""
+    return tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("node", "community") % 1000003), F.sum(F.xxhash64("community", "node") % 998244353)).first())
 
 
 MAX_DRIVER_NODES = 2000
@@ -141,7 +163,7 @@ def greedy_communities(nodes: DataFrame, edges: DataFrame, key: str) -> DataFram
     """Greedy modularity merging (unweighted) of a small graph; ``(node, community)``.
 
     The pair of communities whose merger gains most is merged until none gains; ties go to the
-    pair with the smallest members.  Use ``label_propagation`` for large graphs.
+    pair with the smallest members.  Use ``modular_communities`` for large graphs.
     """
     ids, near = _adjacency(nodes, edges, key)
     m = sum(len(x) for x in near) / 2
@@ -259,13 +281,14 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame, key: str, attribute: str)
     Counts, clustering, paths, assortativities (the numeric one where ``attribute`` is a number),
     the modularity of ``attribute`` and of communities by label propagation, and precision, recall
     and F1 of both node classifiers: ``lgc_`` on all labels, ``harmonic_`` on every fifth node by
-    hash, whose label it does not see.  Left out: node and edge connectivity (``connectivity``, by
-    maximum flows on the driver) and greedy communities (``greedy_communities``), which have no
-    distributed form.
+    hash, whose label it does not see; ``merged_`` are the communities of greatest modularity found
+    (``modular_communities``).  Left out: node and edge connectivity (``connectivity``, by maximum flows on the
+    driver), which have no distributed form.
     """
     edges = materialize(edges, "graph-edges")
     out = quick_stats(nodes, edges)
     found = materialize(label_propagation(nodes, edges, key), "graph-communities")
+    merged = materialize(modular_communities(nodes, edges, key), "graph-communities")
     hidden = F.pmod(F.xxhash64(key), F.lit(5)) == 0
 
     def prf(prefix: str, seen: DataFrame, judged: DataFrame, harmonic: bool) -> DataFrame:
@@ -277,6 +300,7 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame, key: str, attribute: str)
         average_clustering(nodes, edges, key), is_connected(nodes, edges, key), path_stats(nodes, edges, key), degree_assortativity(nodes, edges, key),
         attribute_assortativity(nodes, edges, key, attribute), modularity(edges, nodes, key, attribute),
         found.agg(F.count_distinct("community").alias("communities")), modularity(edges, found, "node", "community").withColumnRenamed("modularity", "communities_modularity"),
+        merged.agg(F.count_distinct("community").alias("merged_communities")), modularity(edges, merged, "node", "community").withColumnRenamed("modularity", "merged_modularity"),
         prf("lgc", nodes, nodes, False), prf("harmonic", nodes.withColumn(attribute, F.when(~hidden, F.col(attribute))), nodes.where(hidden), True),
     ]
     if isinstance(nodes.schema[attribute].dataType, NumericType):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusgraph.functions.metrics import dot
 from corpusgraph.functions.text import min_max
 from corpusgraph.operators import analytics, graph, pairs, scorers, tuning, vector_index
+from corpusgraph.operators import communities as community_search
 from corpusgraph.plans.scratch import materialize
 from corpusgraph.queries import read
 
@@ -204,6 +205,32 @@ def evaluate_graph(spark, sf_dir):
     return analytics.evaluate_graph(*_edges(spark, sf_dir), "vec_id", "label")
 
 
+def communities_round(spark, sf_dir):
+    """The first round of ``communities``."""
+    return analytics.label_propagation(*_edges(spark, sf_dir), "vec_id", rounds=1)
+
+
+def modular_communities(spark, sf_dir):
+    return community_search.modular_communities(*_edges(spark, sf_dir), "vec_id")
+
+
+def forest_weight(spark, sf_dir):
+    """The heaviest spanning forest's edges and components."""
+    nodes, e = _edges(spark, sf_dir)
+    f = community_search.maximum_forest(e)
+    return f.agg(F.count("*").alias("n_edges")).crossJoin(nodes.agg(F.count("*").alias("n"))).select("n_edges", (F.col("n") - F.col("n_edges")).alias("components"))
+
+
+def threshold_profile(spark, sf_dir):
+    """Degree and connectivity at each point of the threshold grid."""
+    t = tuning.threshold_profile(*_edges(spark, sf_dir), "vec_id")
+    return t.select("idx", "threshold", "n_edges", "avg_degree", "connected")
+
+
+def tune_multi(spark, sf_dir):
+    return tuning.tune_multi(*_edges(spark, sf_dir), "vec_id")
+
+
 def threshold_objective(spark, sf_dir):
     nodes, e = _edges(spark, sf_dir, 0.2)
     rows = [(t, round(tuning.objective(nodes, e, "vec_id", t), 4)) for t in (0.25, 0.35)]
@@ -259,7 +286,7 @@ QUERIES = (
     topk_dot, topk_dot_one, allpairs_dot_stats, ordered_pairs_stats, cosine_pairs, node_stripes, every_other_edge, threshold_grid, edge_threshold,
     threshold_graph_edges, mean_edge_weight, graph_quick_stats, avg_clustering, graph_components, graph_connected, shortest_path_context, nearest_path_context,
     hop_stats, path_lengths, modularity_by_label, degree_centrality, topk_graph, index_topk, index_threshold_edges, index_topk_graph, label_assortativity, degree_assortativity, numeric_assortativity,
-    node_classification_1step, weighted_prf, node_classification, node_classification_prf, harmonic_classification, harmonic_classification_prf, communities, community_colours, evaluate_graph, threshold_objective, robust_scale,
+    node_classification_1step, weighted_prf, node_classification, node_classification_prf, harmonic_classification, harmonic_classification_prf, communities, communities_round, modular_communities, forest_weight, threshold_profile, tune_multi, community_colours, evaluate_graph, threshold_objective, robust_scale,
     minmax_centrality_range, anchor_nodes, trade_edges, trade_communities, trade_connectivity,
 )
 
@@ -373,3 +400,17 @@ ORACLES = {
         SELECT q AS query_id, n AS node_id, w AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY w DESC, n) AS o FROM b WHERE q % 100 = 0) WHERE o = 1""",
 }
 ORACLES |= {f"index_{new}": ORACLES[old] for new, old in (("topk", "topk_dot"), ("threshold_edges", "threshold_graph_edges"), ("topk_graph", "topk_graph"))}
+ORACLES |= {
+    "communities_round": f"""WITH {_E}, b AS (SELECT src AS a, dst AS b, weight AS w FROM e UNION ALL SELECT dst, src, weight FROM e),
+        v AS (SELECT b AS node, a AS community, sum(w) AS w FROM b GROUP BY ALL UNION ALL SELECT vec_id, vec_id, 1e-9 FROM embeddings)
+        SELECT node, community FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(w, 9) DESC, community) AS r FROM v) WHERE r = 1""",
+    "forest_weight": f"""WITH RECURSIVE {_E}, b AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e),
+        r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node),
+        c AS (SELECT count(DISTINCT root) AS c FROM (SELECT node, min(root) AS root FROM r GROUP BY node)), n AS (SELECT count(*) AS n FROM embeddings)
+        SELECT n - c AS n_edges, c AS components FROM c, n""",
+    "threshold_profile": f"""WITH RECURSIVE {_E}, span AS (SELECT min(weight) AS lo, max(weight) AS hi FROM e),
+        g AS (SELECT i::INT AS idx, round(lo + i * ((hi - lo) / 49), 6) AS t FROM range(50) z(i), span), b AS (SELECT src AS a, dst AS b, weight AS w FROM e UNION ALL SELECT dst, src, weight FROM e),
+        r AS (SELECT idx, t, (SELECT min(vec_id) FROM embeddings) AS node FROM g UNION SELECT r.idx, r.t, b.b FROM r JOIN b ON b.a = r.node AND b.w > r.t),
+        c AS (SELECT idx, count(*) AS reached FROM r GROUP BY idx), k AS (SELECT g.idx, g.t, count(e.weight) AS n_edges FROM g LEFT JOIN e ON e.weight > g.t GROUP BY ALL), n AS (SELECT count(*) AS n FROM embeddings)
+        SELECT k.idx, k.t AS threshold, n_edges, round(2 * n_edges / n, 6) AS avg_degree, reached = n AS connected FROM k JOIN c USING (idx), n""",
+}

@@ -288,7 +288,7 @@ def evaluate_graph(nodes: DataFrame, edges: DataFrame, key: str, attribute: str)
     edges = materialize(edges, "graph-edges")
     out = quick_stats(nodes, edges)
     found = materialize(label_propagation(nodes, edges, key), "graph-communities")
-    merged = materialize(modular_communities(nodes, edges, key), "graph-communities")
+    merged = materialize(modular_communities(nodes, edges, key, patience=1), "graph-communities")
     hidden = F.pmod(F.xxhash64(key), F.lit(5)) == 0
 
     def prf(prefix: str, seen: DataFrame, judged: DataFrame, harmonic: bool) -> DataFrame:

@@ -44,21 +44,22 @@ def all_pairs(nodes: DataFrame, seq: str = "vec_id", vector: str = "embedding",
         w = m[left] @ m[right].T
         a, b = np.meshgrid(ids[left], ids[right], indexing="ij")
         keep = a < b if x == y else a != b
-        if min_weight is not None:
-            keep &= (np.round(w, digits) if digits is not None else w) > min_weight
+        if min_weight is not None:  # what rounding may lift over it is decided on the rounded weights
+            keep &= w > min_weight - (10.0**-digits if digits is not None else 0.0)
         a, b, w = a[keep], b[keep], w[keep]
         if reduce is not None:
             return reduce[0](np.copysign(half_up(np.abs(w), digits), w) if digits is not None else w)
-        return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b), "weight": w})
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if both_ways:
+            low, high, w = np.concatenate([low, high]), np.concatenate([high, low]), np.concatenate([w, w])
+        return pa.table({"src": low, "dst": high, "weight": w})
 
     out = keyed.groupBy("x", "y").applyInArrow(score, reduce[1] if reduce else "src long, dst long, weight double")
     if reduce is not None:
         return out
     if digits is not None:
         out = out.withColumn("weight", F.round("weight", digits))
-    if both_ways:
-        out = out.union(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return out
+    return out if min_weight is None else out.where(F.col("weight") > min_weight)
 
 
 def theta_pairs(nodes: DataFrame, seq: str, score: Callable[[str, str], Column], columns: list[str], out: str = "weight") -> DataFrame:

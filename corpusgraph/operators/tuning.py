@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -93,13 +93,14 @@ def threshold_profile(nodes: DataFrame, edges: DataFrame, key: str, points: int
     return rows.select("idx", F.col("x.t").alias("threshold"), F.col("x.e").alias("n_edges"), F.round(F.try_divide(2 * F.col("x.e"), n), digits).alias("avg_degree"), left.alias("components"), (left == 1).alias("connected"))
 
 
-def tune_multi(nodes: DataFrame, edges: DataFrame, key: str, points: int = GRID, target_degree: float = TARGET_DEGREE) -> DataFrame:
+def tune_multi(nodes: DataFrame, edges: DataFrame, key: str, points: int = GRID, target_degree: float = TARGET_DEGREE, find: Callable[[DataFrame, DataFrame, str], DataFrame] = analytics.label_propagation) -> DataFrame:
     """One row ``(threshold, objective, avg_degree, connected, modularity, searched)``: the grid point of the least objective.
 
     The objective is the squared miss of the average degree, 1000 if the graph falls apart, less ten
     times the modularity of its communities; 10000 for a point without edges.  The first two parts are known for all points at once;
     as modularity is at most 1, communities are sought (``searched`` times) only at points that can still win, the best bound
-    first.  Ties go to the smaller threshold.
+    first.  ``find`` seeks them: label propagation, as ``objective`` does, or ``modular_communities``, which finds better
+    ones in more rounds.  Ties go to the smaller threshold.
     """
     table = threshold_profile(nodes, edges, key, points).collect()
     edges = materialize(edges.select("src", "dst", "weight"), "tune-edges")
@@ -109,7 +110,7 @@ def tune_multi(nodes: DataFrame, edges: DataFrame, key: str, points: int = GRID,
         if best is not None and rough - 10 >= best[0]:
             break
         kept = threshold_edges(edges, t)
-        found = communities.modular_communities(nodes, kept, key)
+        found = find(nodes, kept, key)
         q = analytics.modularity(kept, found, "node", "community").first()[0] or 0.0
         searched += 1
         got = (round(rough - 10 * q, 6), t, r, q)

@@ -83,9 +83,9 @@ def test_forest_has_the_heaviest_edges(spark):
         assert groups_of(30, over) == groups_of(30, [x for x in edges if x[2] > t])
 
 
-def test_profile_and_search_match_a_graph_for_each_point(spark, monkeypatch):
+def test_profile_and_search_match_a_graph_for_each_point(spark):
     # what the search does with communities doesn't depend on how they are found
-    monkeypatch.setattr(C, "modular_communities", lambda nodes, edges, key: A.components(nodes, edges, key).withColumnRenamed("component", "community"))
+    find = lambda nodes, edges, key: A.components(nodes, edges, key).withColumnRenamed("component", "community")
     rng = random.Random(6)
     n, edges = planted(rng, 3, 8, 0.8, 0.2)
     nodes, e = graph(spark, n, [(a, b, round(rng.random() * (1 if a % 3 == b % 3 else 0.6), 3)) for a, b, _ in edges])
@@ -95,11 +95,11 @@ def test_profile_and_search_match_a_graph_for_each_point(spark, monkeypatch):
         kept = [x for x in rows if x[2] > r.threshold]
         assert (r.n_edges, r.components, r.connected) == (len(kept), len(set(groups_of(n, kept))), len(set(groups_of(n, kept))) == 1)
         assert abs(r.avg_degree - 2 * len(kept) / n) < 1e-6
-    best = T.tune_multi(nodes, e, "id", points=5, target_degree=5).first()
+    best = T.tune_multi(nodes, e, "id", points=5, target_degree=5, find=find).first()
 
     def value(t):
         kept = e.where(e.weight > t)
-        q = A.modularity(kept, C.modular_communities(nodes, kept, "id"), "node", "community").first()[0]
+        q = A.modularity(kept, find(nodes, kept, "id"), "node", "community").first()[0]
         r = next(x for x in got if x.threshold == t)
         return (5 - r.avg_degree) ** 2 + (0 if r.connected else 1000) - 10 * q
 

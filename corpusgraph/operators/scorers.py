@@ -138,13 +138,14 @@ def principal_score(vectors: DataFrame, columns: list[str], k: int = 3, out: str
     return vectors.withColumn(out, sum(terms[1:], terms[0]))
 
 
-def best_match(names: DataFrame, candidates: DataFrame, name: str, candidate: str, min_score: float = 0.0) -> DataFrame:
+def best_match(names: DataFrame, candidates: DataFrame, name: str, candidate: str, min_score: float = 0.0, block_rows: int = 1024) -> DataFrame:
     """Each name's best candidate by spelling (over ``min_score``); ties go to the shorter, then smaller one.
 
-    Names and candidates meet in an index of their bigrams, from high scores down (``fuzzy.best_names``);
+    Names and candidates meet in an index of their bigrams, from high scores down (``fuzzy.best_names``); names
+    that nothing there settles meet all candidates in blocks of about ``block_rows``;
     every distinct name is matched once.  A null name has no match; null candidates take no part.
     """
     left = materialize(names.select(F.col(name).alias("name")).distinct().withColumn("_x", text.squeeze(F.col("name"))), "names")
     right = candidates.where(F.col(candidate).isNotNull()).select(F.col(candidate).alias("match")).distinct().withColumn("_y", text.squeeze(F.col("match")))
-    best = fuzzy.best_names(left.where("name is not null"), materialize(right, "candidates"), min_score)
+    best = fuzzy.best_names(left.where("name is not null"), materialize(right, "candidates"), min_score, block_rows=block_rows)
     return left.select("name").join(best, "name", "left").select("name", F.coalesce("match", F.lit("")).alias("match"), F.coalesce("score", F.lit(-1.0)).alias("score"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusgraph import build
 from corpusgraph.functions import metrics, text
-from corpusgraph.operators import analytics, chat, embedding, graph, pairs, rag, scorers, search, stats
+from corpusgraph.operators import analytics, chat, embedding, graph, pairs, rag, scorers, search, stats, vector_paths
 from corpusgraph.queries import read
-from corpusgraph.queries.graphs import _DIST, _edges
+from corpusgraph.queries.graphs import _DIST, _graph
 from corpusgraph.queries.tables import _TYPES, _date, _ratio
 from corpusgraph.sources import io
 
@@ -105,8 +105,8 @@ def rating_texts(spark, sf_dir):
 
 def result_items(spark, sf_dir):
     """The context nodes of each hundredth vector as result items."""
-    nodes, e = _edges(spark, sf_dir)
-    paths = graph.context_nodes(graph.shortest_paths(e, nodes.where("vec_id % 100 = 0").select(F.col("vec_id").alias("source"))), 10, "first")
+    g = _graph(spark, sf_dir)
+    nodes, paths = g.nodes, vector_paths.context_nodes(g, g.nodes.where("vec_id % 100 = 0").select("vec_id"), 10, "first")
     told = nodes.select("vec_id", F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("text"), F.col("label").cast("string").alias("description"), F.lit("2020-01-01").alias("date"), F.concat(F.lit("a/b/"), F.col("label").cast("string")).alias("path"))
     r = rag.result_documents(told, paths, "vec_id", "text", "description", "date", "path")
     return r.select("source", "place", "page_content", "metadata.doc_num", "metadata.doc_description", "metadata.doc_date", "metadata.doc_difference", "metadata.title")

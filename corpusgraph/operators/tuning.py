@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import analytics, communities
+from corpusgraph.operators import analytics, communities, vector_graph
 from corpusgraph.operators.graph import threshold_edges
 from corpusgraph.operators.pairs import all_pairs
+from corpusgraph.operators.vector_graph import VectorGraph
 from corpusgraph.plans.scratch import materialize
 
 GRID, TARGET_SHARE, TARGET_DEGREE = 50, 0.2, 10
@@ -86,8 +87,27 @@ def threshold_profile(nodes: DataFrame, edges: DataFrame, key: str, points: int
     at = _grid(lo, hi, points, digits)
     ends = nodes.select(F.col(key).alias("n")).where("n is not null").distinct()
     known = communities.maximum_forest(edges.join(ends, edges["src"] == ends["n"], "left_semi").join(ends, edges["dst"] == ends["n"], "left_semi"))
-    over = lambda df, name: df.agg(F.array(*[F.count_if(F.col("weight") > t) for t in at]).alias(name))
-    both = over(edges, "e").crossJoin(over(known, "f")).crossJoin(ends.agg(F.count("*").alias("n")))
+    return _profile_rows(ends, _over(edges, at, "e"), known, at, digits)
+
+
+def vector_profile(g: VectorGraph, points: int = GRID, digits: int = 6) -> DataFrame:
+    """``threshold_profile`` of a graph whose edges are never written: blocks count them, and return their forests."""
+    span = vector_graph.totals(g).first()
+    schema = "idx int, threshold double, n_edges long, avg_degree double, components long, connected boolean"
+    if span.lo is None:
+        return g.nodes.sparkSession.createDataFrame([], schema)
+    at = _grid(span.lo, span.hi, points, digits)
+    known = communities.maximum_forest(vector_graph.forest_edges(g))
+    ends = g.nodes.select(F.col(g.key).alias("n")).where("n is not null").distinct()
+    return _profile_rows(ends, vector_graph.profile(g, at), known, at, digits)
+
+
+def _over(edges: DataFrame, at: list[float], name: str) -> DataFrame:
+    return edges.agg(F.array(*[F.count_if(F.col("weight") > t) for t in at]).alias(name))
+
+
+def _profile_rows(ends: DataFrame, counted: DataFrame, known: DataFrame, at: list[float], digits: int) -> DataFrame:
+    both = counted.crossJoin(_over(known, at, "f")).crossJoin(ends.agg(F.count("*").alias("n")))
     rows = both.select("n", F.posexplode(F.arrays_zip("e", "f", F.array(*map(F.lit, at)).alias("t"))).alias("idx", "x"))
     n, left = F.col("n"), F.col("n") - F.col("x.f")
     return rows.select("idx", F.col("x.t").alias("threshold"), F.col("x.e").alias("n_edges"), F.round(F.try_divide(2 * F.col("x.e"), n), digits).alias("avg_degree"), left.alias("components"), (left == 1).alias("connected"))

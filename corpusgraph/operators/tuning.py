@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import analytics, communities, vector_graph
+from corpusgraph.operators import analytics, communities, vector_communities, vector_graph
 from corpusgraph.operators.graph import threshold_edges
 from corpusgraph.operators.pairs import all_pairs
 from corpusgraph.operators.vector_graph import VectorGraph
@@ -122,16 +122,33 @@ def tune_multi(nodes: DataFrame, edges: DataFrame, key: str, points: int = GRID,
     first.  ``find`` seeks them: label propagation, as ``objective`` does, or ``modular_communities``, which finds better
     ones in more rounds.  Ties go to the smaller threshold.
     """
-    table = threshold_profile(nodes, edges, key, points).collect()
     edges = materialize(edges.select("src", "dst", "weight"), "tune-edges")
+
+    def value(t: float) -> float | None:
+        kept = threshold_edges(edges, t)
+        return analytics.modularity(kept, find(nodes, kept, key), "node", "community").first()[0]
+
+    return _best_point(threshold_profile(nodes, edges, key, points), target_degree, value)
+
+
+def vector_tune_multi(g: VectorGraph, points: int = GRID, target_degree: float = TARGET_DEGREE) -> DataFrame:
+    """``tune_multi`` of a graph whose edges are never written, by label propagation."""
+
+    def value(t: float) -> float | None:
+        over = g._replace(threshold=max(t, g.threshold))
+        return vector_communities.modularity(over, vector_communities.label_propagation(over)).first()[0]
+
+    return _best_point(vector_profile(g, points), target_degree, value)
+
+
+def _best_point(profile: DataFrame, target_degree: float, value: Callable[[float], float | None]) -> DataFrame:
+    table = profile.collect()
     known = sorted(((target_degree - r.avg_degree) ** 2 + (0 if r.connected else 1000), r.threshold, r) for r in table if r.n_edges)
     best, searched = None, 0
     for rough, t, r in known:
         if best is not None and rough - 10 >= best[0]:
             break
-        kept = threshold_edges(edges, t)
-        found = find(nodes, kept, key)
-        q = analytics.modularity(kept, found, "node", "community").first()[0] or 0.0
+        q = value(t) or 0.0
         searched += 1
         got = (round(rough - 10 * q, 6), t, r, q)
         best = got if best is None or got[:2] < best[:2] else best
@@ -140,7 +157,17 @@ def tune_multi(nodes: DataFrame, edges: DataFrame, key: str, points: int = GRID,
         rows = [(min(r.threshold for r in table), 10000.0, 0.0, False, None, 0)] if table else []
     else:
         rows = [(best[1], best[0], best[2].avg_degree, best[2].connected, best[3], searched)]
-    return nodes.sparkSession.createDataFrame(rows, schema)
+    return profile.sparkSession.createDataFrame(rows, schema)
+
+
+def vector_objective(g: VectorGraph, target_degree: float = TARGET_DEGREE) -> float:
+    """``objective`` of a graph whose edges are never written."""
+    m, n = vector_graph.totals(g).first().n, g.nodes.count()
+    if not m or not n:
+        return 10000.0
+    connected = analytics.is_connected(g.nodes, materialize(vector_graph.forest_edges(g), "forest"), g.key).first()[0]
+    q = vector_communities.modularity(g, vector_communities.label_propagation(g)).first()[0]
+    return (target_degree - round(2 * m / n, 6)) ** 2 + (0 if connected else 1000) - 10 * (q or 0.0)
 
 
 def objective(nodes: DataFrame, edges: DataFrame, key: str, threshold: float, target_degree: float = TARGET_DEGREE) -> float:

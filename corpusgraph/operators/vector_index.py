@@ -36,6 +36,8 @@ SAMPLE, ROUNDS = 1 << 14, 6
 MAX_CELLS, MAX_BLOCKS = 4096, 1 << 20
 BLOCK_ROWS, QUERY_ROWS = 256, 1024
 DIGITS = 6
+#: Groups of blocks, and of queries, that meet: this many, or more where one would hold over GROUP_ROWS rows.
+GROUPS, GROUP_ROWS = 12, 1 << 15
 _EDGE = 2 * 10.0**-DIGITS
 _CELLS = 1 << 22
 
@@ -183,30 +185,102 @@ def index_top_k(path: str, queries: DataFrame, k: int = 5, seq: str = "vec_id",
     first = materialize(top_k(_looked_up(blocks, _picks(asked, shared, enough, False), k, itself), k), "first-look")
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("f"))
     again = asked.join(floors.distinct(), "id", "left").select("id", "v", F.coalesce("f", "floor").alias("floor"))
-    rest = _looked_up(blocks, materialize(_picks(again, shared, enough, True), "picks"), k, itself)
-    return top_k(first.select("query_id", "node_id", "score").unionByName(rest), k)
+    return top_k(_rest(blocks, again, shared, k, itself), k)
+
+
+def _groups(rows: int, least: int) -> int:
+    return max(1, min(-(-rows // least), max(GROUPS, -(-rows // GROUP_ROWS))))
+
+
+def _grouped(blocks: DataFrame, d: Directory) -> tuple[DataFrame, int]:
+    """Blocks in order of their cell, in groups that travel as one row ``(g, block, cell, radius, n, ids, v)``; how many groups."""
+    order = np.lexsort((d.block, d.cell))
+    rows = d.rows[order]
+    many = _groups(int(rows.sum()), BLOCK_ROWS)
+    g = (np.cumsum(rows) - rows) * many // max(1, int(rows.sum()))
+    at = blocks.sparkSession.createDataFrame(pa.table({"block": pa.array(d.block[order], pa.int64()), "g": pa.array(g, pa.int32())}))
+    packed = blocks.join(at, "block").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("block", "cell", "radius", "ids", "v"))).alias("r"))
+    packed = packed.select("g", *[F.col(f"r.{c}").alias(c) for c in ("block", "cell", "radius")], F.transform("r.ids", F.size).alias("n"), F.flatten("r.ids").alias("ids"), F.flatten("r.v").alias("v"))
+    return materialize(packed, "block-rows"), many
+
+
+def _numbers(x: pa.Scalar) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False)
+
+
+def _rest(blocks: DataFrame, asked: DataFrame, shared, k: int, itself: bool) -> DataFrame:
+    """``(query_id, node_id, score)``: each query's ``k`` best rows of each group of blocks, of those that reach its ``floor``.
+
+    A group of queries meets each group of blocks, so a query travels a bounded number of times, however
+    many blocks it looks into; blocks whose bound is under the query's k-th best so far are skipped there.
+    """
+    many = _groups(asked.count(), QUERY_ROWS)
+    held, groups = _grouped(blocks, shared.value)
+    dealt = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("part")).agg(F.collect_list(F.struct("id", "v", "floor")).alias("q"))
+    dealt = dealt.select("part", F.col("q.id").alias("qid"), F.flatten("q.v").alias("qv"), F.col("q.floor").alias("floor"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    copies = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    met = dealt.join(copies.hint("shuffle_hash"), ["part", "g"]).select("qid", "qv", "floor", "cell", "radius", "n", "ids", "v")
+
+    def scan(batches):
+        centroids = shared.value.centroids
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qid, qv, floor, cell, radius, n, ids, v = (_numbers(c[i]) for c in batch.columns)
+                q, m = qv.reshape(len(qid), -1), v.reshape(len(ids), -1)
+                norm, end = np.sqrt((q * q).sum(1)), np.cumsum(n)
+                best = Best(len(qid), k)
+                best.floor = floor.copy()
+                for j in range(len(n)):
+                    look = np.flatnonzero(q @ centroids[cell[j]] + norm * radius[j] >= best.floor - _EDGE)
+                    rows = slice(end[j] - n[j], end[j])
+                    step = max(1, _CELLS // max(1, int(n[j])))
+                    for lo in range(0, len(look), step):
+                        some = look[lo : lo + step]
+                        w = q[some] @ m[rows].T
+                        at, row = np.nonzero(w >= (best.floor[some] - _EDGE)[:, None])
+                        score = half_up(w[at, row], DIGITS)
+                        at, row = some[at], ids[rows][row]
+                        keep = score >= best.floor[at]
+                        if not itself:
+                            keep &= qid[at] != row
+                        best.add(at[keep], row[keep], score[keep])
+                yield best.batch(qid)
+
+    return met.mapInArrow(scan, "query_id long, node_id long, score double")
 
 
 def index_pairs(path: str, spark: SparkSession, threshold: float) -> DataFrame:
     """``(src, dst, weight)``: all pairs of rows of the index with a product over ``threshold`` (strictly, as rounded).
 
-    Only pairs of blocks whose bound reaches the threshold meet, each once.
+    Groups of blocks meet, each pair once; there only pairs of blocks whose bound reaches the threshold are multiplied.
     """
     blocks = spark.read.parquet(f"{path}/blocks")
     shared = spark.sparkContext.broadcast(directory(spark, path))
-    met = materialize(block_pairs(blocks, shared, threshold), "block-pairs")
-    side = lambda p: blocks.select(F.col("block").alias(p), F.col("ids").alias(p + "_ids"), F.col("v").alias(p + "_v"))
-    both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_ids", "a_v", "b_ids", "b_v")
+    held, groups = _grouped(blocks, shared.value)
+    names = ["block", "cell", "radius", "n", "ids", "v"]
+    left = held.select(F.col("g").alias("x"), F.explode(F.sequence(F.col("g"), F.lit(groups - 1))).alias("y"), *[F.col(c).alias("a_" + c) for c in names])
+    right = held.select(F.explode(F.sequence(F.lit(0), F.col("g"))).alias("x"), F.col("g").alias("y"), *[F.col(c).alias("b_" + c) for c in names])
+    both = left.join(right.hint("shuffle_hash"), ["x", "y"]).select("x", "y", *["a_" + c for c in names], *["b_" + c for c in names])
 
     def scan(batches):
+        centroids = shared.value.centroids
+        norm = np.sqrt((centroids**2).sum(axis=1))
         for batch in batches:
             for i in range(batch.num_rows):
-                x, xv, y, yv = (c[i].values.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
-                w = half_up(xv.reshape(len(x), -1) @ yv.reshape(len(y), -1).T, DIGITS)
-                keep = w > threshold
-                keep &= x[:, None] < y[None, :] if batch.column(0)[i] == batch.column(1)[i] else x[:, None] != y[None, :]
-                p, q = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[p], y[q])), pa.array(np.maximum(x[p], y[q])), pa.array(w[p, q])], names=["src", "dst", "weight"])
+                same = batch.column(0)[i] == batch.column(1)[i]
+                xb, xc, xr, xn, x, xv, yb, yc, yr, yn, y, yv = (_numbers(c[i]) for c in batch.columns[2:])
+                xv, yv, to, till = xv.reshape(len(x), -1), yv.reshape(len(y), -1), np.cumsum(xn), np.cumsum(yn)
+                for a in range(len(xb)):
+                    ids, m = x[to[a] - xn[a] : to[a]], xv[to[a] - xn[a] : to[a]]
+                    bound = centroids[yc] @ centroids[xc[a]] + norm[xc[a]] * yr + norm[yc] * xr[a] + xr[a] * yr
+                    for b in np.flatnonzero((bound > threshold - _EDGE) & (not same or yb >= xb[a])):
+                        rows = slice(till[b] - yn[b], till[b])
+                        w = m @ yv[rows].T
+                        p, q = np.nonzero(w > threshold - _EDGE)
+                        w, s, t = half_up(w[p, q], DIGITS), ids[p], y[rows][q]
+                        keep = (w > threshold) & (s < t if xb[a] == yb[b] else s != t)
+                        s, t = s[keep], t[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t)), pa.array(w[keep])], names=["src", "dst", "weight"])
 
     return both.mapInArrow(scan, "src long, dst long, weight double")
 

@@ -57,3 +57,25 @@ def test_few_and_no_rows(spark):
     empty = V.build(df.limit(0))
     assert V.index_top_k(empty, df, 2).count() == 0 and V.index_top_k(path, df.limit(0), 2).count() == 0
     assert V.index_pairs(empty, spark, 0.0).count() == 0
+
+
+def test_blocks_travel_in_a_bounded_number_of_groups(spark, monkeypatch):
+    """However many blocks a search looks into, a row meets the groups, whose number doesn't grow with the blocks."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(V, "QUERY_ROWS", 16)
+    monkeypatch.setattr(V, "GROUPS", 3)
+    m = clustered(400, seed=2)
+    df = table(spark, m, ODD)
+    path = V.build(df, block_rows=8)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    held, groups = V._grouped(blocks, V.directory(spark, path))
+    assert groups == 3 and held.count() == 3 < blocks.count() / 10
+    picked = []
+    picks = V._picks
+    monkeypatch.setattr(V, "_picks", lambda asked, shared, k, floors: picked.append(floors) or picks(asked, shared, k, floors))
+    got = sorted(map(tuple, V.index_top_k(path, df, 3, itself=False).collect()), key=lambda r: (r[0], r[3]))
+    score = V.half_up(m @ m.T)
+    np.fill_diagonal(score, -np.inf)
+    assert got == [(q, int(n), float(score[q, n]), i + 1) for q in range(len(m)) for i, n in enumerate(np.lexsort((np.arange(len(m)), -score[q]))[:3])]
+    assert picked == [False]
+    assert V.index_pairs(path, spark, 5.0).count() == int((np.triu(score, 1) > 5.0).sum())

@@ -118,9 +118,10 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, key: str, rounds: int
     both = materialize(symmetric(edges).where("src is not null and dst is not null and weight is not null"), "lp-edges")
 
     def step(labels: DataFrame) -> DataFrame:
-        heard = both.join(labels, both["src"] == labels["node"]).groupBy("dst", "community").agg(F.sum("weight").alias("w"))
+        heard = both.join(labels, both["src"] == labels["node"]).select("dst", "community", F.col("weight").alias("w"))
         own = labels.select(F.col("node").alias("dst"), "community", F.lit(1e-9).alias("w"))
-        votes = heard.union(own).groupBy("dst", "community").agg(F.sum("w").alias("w"))
+        # votes travel once, to their node, which serves both sums
+        votes = heard.union(own).repartition("dst").groupBy("dst", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("dst").agg(F.min_by("community", F.struct(-F.round("w", 9), F.col("community"))).alias("community"))
         return best.select(F.col("dst").alias("node"), "community")
 

@@ -16,6 +16,8 @@ from corpusgraph.operators.vector_graph import VectorGraph
 from corpusgraph.plans.scratch import materialize
 
 GRID, TARGET_SHARE, TARGET_DEGREE = 50, 0.2, 10
+#: Edges of a graph of at most this average degree are written; their number grows with the nodes.
+MOST_DEGREE = 64
 
 
 def threshold_table(edges: DataFrame, points: int = GRID, digits: int = 6) -> DataFrame:
@@ -131,14 +133,26 @@ def tune_multi(nodes: DataFrame, edges: DataFrame, key: str, points: int = GRID,
     return _best_point(threshold_profile(nodes, edges, key, points), target_degree, value)
 
 
-def vector_tune_multi(g: VectorGraph, points: int = GRID, target_degree: float = TARGET_DEGREE) -> DataFrame:
-    """``tune_multi`` of a graph whose edges are never written, by label propagation."""
+def vector_tune_multi(g: VectorGraph, points: int = GRID, target_degree: float = TARGET_DEGREE, most_degree: float = MOST_DEGREE) -> DataFrame:
+    """``tune_multi`` of a graph of which no more than ``most_degree / 2`` edges a node are ever written, by label propagation.
+
+    The profile tells how many edges a point has.  Where these are few, as they are near a small target, they are
+    written once and labels spread along them; where not, labels spread between blocks of vectors.
+    """
+    profile = materialize(vector_profile(g, points), "profile")
+    few = {r.threshold for r in profile.where(F.col("avg_degree") <= most_degree).collect()}
+    written: list[tuple[float, DataFrame]] = []
 
     def value(t: float) -> float | None:
         over = g._replace(threshold=max(t, g.threshold))
-        return vector_communities.modularity(over, vector_communities.label_propagation(over)).first()[0]
-
-    return _best_point(vector_profile(g, points), target_degree, value)
+        if t not in few:
+            return vector_communities.modularity(over, vector_communities.label_propagation(over)).first()[0]
+        if not written or t < written[-1][0]:
+            written.append((t, materialize(vector_graph.edges(over), "tune-edges")))
+        kept = threshold_edges(written[-1][1], t)
+        return analytics.modularity(kept, analytics.label_propagation(g.nodes, kept, g.key), "node", "community").first()[0]
+
+    return _best_point(profile, target_degree, value)
 
 
 def _best_point(profile: DataFrame, target_degree: float, value: Callable[[float], float | None]) -> DataFrame:

@@ -96,3 +96,22 @@ def test_thresholds_in_blocks_equal_those_of_written_pairs(spark, monkeypatch):
     want = [tuple(r) for r in tuning.threshold_table(pairs.all_pairs(df)).orderBy("idx").collect()]
     assert [tuple(r) for r in tuning.product_threshold_table(df, "vec_id").orderBy("idx").collect()] == want
     assert tuning.product_threshold_table(df.limit(1), "vec_id").count() == 0
+
+
+def test_sets_meet_in_tiles_and_are_made_once(spark, monkeypatch):
+    """Common and rare items, ties and queries of several tiles and blocks; however many blocks, a row's set is made once."""
+    for name, value in {"TILE_ROWS": 16, "FIRST_ROWS": 4, "TILE_QUERIES": 3, "COMMON_LEAST": 2, "COMMON_SHARE": 0.3, "COMMON_MOST": 6}.items():
+        monkeypatch.setattr(search, name, value, raising=False)
+    have = sets(4, 200) | {300 + i: {"w1", "w2", f"only{i % 7}"} for i in range(20)}
+    made = spark.sparkContext.accumulator(0)
+
+    def make(text):
+        made.add(1)
+        return text.split()
+
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in have.items()], "id long, s string").repartition(3)
+    df = df.select("id", F.udf(make, "array<string>").asNondeterministic()("s").alias("s0"))
+    want = best({q: {n: half_up(len(a & b) / len(a | b)) for n, b in have.items() if n != q and a & b} for q, a in have.items() if q % 10 == 0}, 5)
+    score = lambda both, a, b: search.share(both[0], a[0], b[0])
+    assert found(search.sparse_top_k(df, df.where("id % 10 = 0"), 1, score, 5, limit=2000)) == want  # six blocks or so
+    assert made.value <= 2 * len(have)

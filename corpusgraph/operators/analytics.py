@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -13,7 +14,7 @@ from corpusgraph.operators.communities import modular_communities
 from corpusgraph.operators.graph import shortest_paths, symmetric
 from corpusgraph.plans.components import connected_components
 from corpusgraph.plans.positions import global_positions
-from corpusgraph.plans.scratch import materialize
+from corpusgraph.plans.scratch import materialize, shuffle_partitions
 
 
 def quick_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,6 +117,8 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, key: str, rounds: int
     edges without a weight, count for nothing; repeated nodes count once.
     """
     both = materialize(symmetric(edges).where("src is not null and dst is not null and weight is not null"), "lp-edges")
+    # dealt by source once, so that a round's join moves labels only
+    both = both.repartition(shuffle_partitions(both.sparkSession), "src").persist(StorageLevel.DISK_ONLY)
 
     def step(labels: DataFrame) -> DataFrame:
         heard = both.join(labels, both["src"] == labels["node"]).select("dst", "community", F.col("weight").alias("w"))
@@ -125,7 +128,10 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, key: str, rounds: int
         best = votes.groupBy("dst").agg(F.min_by("community", F.struct(-F.round("w", 9), F.col("community"))).alias("community"))
         return best.select(F.col("dst").alias("node"), "community")
 
-    return settle(nodes.select(F.col(key).alias("node")), step, rounds)
+    try:
+        return settle(nodes.select(F.col(key).alias("node")), step, rounds)
+    finally:
+        both.unpersist()
 
 
 def settle(nodes: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int | None) -> DataFrame:

@@ -9,6 +9,7 @@ from tests.test_oracles import rows
 
 NAMES = [
     "cosine_pairs",
+    "every_other_edge",
 ]
 
 

@@ -10,6 +10,7 @@ from tests.test_oracles import rows
 NAMES = [
     "cosine_pairs",
     "every_other_edge",
+    "mean_edge_weight",
 ]
 
 

@@ -11,6 +11,7 @@ NAMES = [
     "cosine_pairs",
     "every_other_edge",
     "mean_edge_weight",
+    "graph_quick_stats",
 ]
 
 

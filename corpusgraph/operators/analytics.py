@@ -32,7 +32,11 @@ def degrees(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Degree over nodes less one, and the same scaled to 0..1 over the graph."""
-    d = degrees(nodes, edges, key)
+    return centrality(degrees(nodes, edges, key))
+
+
+def centrality(d: DataFrame) -> DataFrame:
+    """``degree_centrality`` of ``(node, degree)``."""
     stats = d.agg(F.count("*").alias("n"), F.min("degree").alias("lo"), F.max("degree").alias("hi"))
     d = d.crossJoin(F.broadcast(stats))
     return d.select("node", F.round(F.try_divide(F.col("degree"), F.col("n") - 1), 6).alias("centrality"), F.round(F.try_divide(F.col("degree") - F.col("lo"), F.col("hi") - F.col("lo")), 6).alias("scaled"))

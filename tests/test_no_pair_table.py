@@ -12,6 +12,7 @@ NAMES = [
     "every_other_edge",
     "mean_edge_weight",
     "graph_quick_stats",
+    "degree_centrality",
 ]
 
 

@@ -13,6 +13,7 @@ NAMES = [
     "mean_edge_weight",
     "graph_quick_stats",
     "degree_centrality",
+    "graph_components",
 ]
 
 

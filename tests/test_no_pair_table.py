@@ -14,6 +14,7 @@ NAMES = [
     "graph_quick_stats",
     "degree_centrality",
     "graph_components",
+    "community_colours",
 ]
 
 

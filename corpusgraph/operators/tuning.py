@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import analytics, communities, vector_communities, vector_graph
 from corpusgraph.operators.graph import threshold_edges
-from corpusgraph.operators.pairs import all_pairs
 from corpusgraph.operators.vector_graph import VectorGraph
 from corpusgraph.plans.scratch import materialize
 
@@ -40,29 +37,21 @@ def _grid(lo: float, hi: float, points: int, digits: int) -> list[float]:
 
 
 def product_threshold_table(nodes: DataFrame, seq: str, vector: str = "embedding", points: int = GRID, digits: int = 6) -> DataFrame:
-    """``threshold_table`` of the products of all pairs, of which none is written.
+    """``threshold_table`` of the products of all pairs, of which none is written: two rounds of blocks that meet (``vector_graph.PairWeights``).
 
-    Two rounds of blocked products: a block gives its least and greatest weight, then its ``points``
-    counts.  Fewer than two nodes with vectors give no rows.
+    Fewer than two nodes with vectors give no rows.
     """
-    nodes = materialize(nodes.select(seq, vector), "vectors")
-
-    def ends(w: np.ndarray) -> pa.Table:
-        w = w[~np.isnan(w)]
-        return pa.table({"lo": pa.array([w.min()] if len(w) else [], pa.float64()), "hi": pa.array([w.max()] if len(w) else [], pa.float64())})
-
-    lo, hi = all_pairs(nodes, seq, vector, digits=digits, reduce=(ends, "lo double, hi double")).agg(F.min("lo"), F.max("hi")).first()
-    if lo is None:
-        return nodes.sparkSession.createDataFrame([], "idx int, threshold double, share double")
-    at = _grid(lo, hi, points, digits)
-
-    def counts(w: np.ndarray) -> pa.Table:
-        w = np.sort(w[~np.isnan(w)])
-        over = len(w) - np.searchsorted(w, at, "right")
-        return pa.table({"idx": pa.array(range(points), pa.int32()), "threshold": pa.array(at, pa.float64()), "k": over, "n": np.full(points, len(w))})
-
-    per = all_pairs(nodes, seq, vector, digits=digits, reduce=(counts, "idx int, threshold double, k long, n long"))
-    return per.groupBy("idx", "threshold").agg(F.round(F.sum("k") / F.sum("n"), digits).alias("share"))
+    h = vector_graph.PairWeights(nodes, seq, vector, digits)
+    spark, unit = nodes.sparkSession, 10.0**digits
+    if not h.n:
+        return spark.createDataFrame([], "idx int, threshold double, share double")
+    at = _grid(h.lo / unit, h.hi / unit, points, digits)
+    bound = [round(t * unit) for t in at]
+    step = vector_graph._STEP
+    x, k = h.inside([b >> step for b in bound])
+    over = [int(h.count[h.step > b >> step].sum() + k[(x >> step == b >> step) & (x > b)].sum()) for b in bound]
+    rows = spark.createDataFrame([(i, t, o) for i, (t, o) in enumerate(zip(at, over, strict=True))], "idx int, threshold double, k long")
+    return rows.select("idx", "threshold", F.round(F.col("k") / h.n, digits).alias("share"))
 
 
 def best_threshold(table: DataFrame, share: float = TARGET_SHARE) -> DataFrame:

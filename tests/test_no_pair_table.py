@@ -15,6 +15,7 @@ NAMES = [
     "degree_centrality",
     "graph_components",
     "community_colours",
+    "threshold_grid",
 ]
 
 

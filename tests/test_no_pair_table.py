@@ -16,6 +16,7 @@ NAMES = [
     "graph_components",
     "community_colours",
     "threshold_grid",
+    "edge_threshold",
 ]
 
 
